@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, exact_dedup, line_dedup, sharding
+from . import (
+    chat_format,
+    decontamination,
+    exact_dedup,
+    line_dedup,
+    lm_scoring,
+    near_dedup,
+    pii,
+    sentencepiece_codec,
+    sharding,
+    toxicity,
+)
 from .common import table
 
 
@@ -33,6 +44,31 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-entropy differences of all documents; the target is the documents labelled quality 1."""
+    return lm_scoring.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, with parity against the reference library and the round trip."""
+    return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), sentencepiece_codec.read_model())
+
+
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents."""
+    return near_dedup.near_classes(table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents."""
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    return pii.digests(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 8 contiguous shards of nearly equal bytes."""
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
@@ -44,7 +80,19 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op2_decontamination, op3_line_dedup, op9_sharding, op10_exact_dedup)
+    f.__name__: f
+    for f in (
+        op1_chat_format,
+        op2_decontamination,
+        op3_line_dedup,
+        op4_lm_scoring,
+        op5_sentencepiece,
+        op6_near_dedup,
+        op7_toxicity,
+        op8_pii,
+        op9_sharding,
+        op10_exact_dedup,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
