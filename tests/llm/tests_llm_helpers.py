@@ -1,0 +1 @@
+from test_operators import brute_classes, words  # noqa: F401
