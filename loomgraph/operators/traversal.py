@@ -47,7 +47,7 @@ def bfs(start: DataFrame, edges: DataFrame, depth: int | None = None, direction:
 def follow(start: DataFrame, step: DataFrame) -> DataFrame:
     """(repository_id, id, ancestor, depth) along a table with at most one ``base`` per id; each id is its own ancestor at 0.
 
-    Pointers double each round, so a chain of n takes about log2(n) rounds; a cycle ends where it returns.
+    All ids take one step a round, so rounds count the longest chain, not the ids; a cycle ends where it returns.
     """
     front = start.select(REPO, "id", F.col("id").alias("ancestor"), F.lit(0).alias("depth"))
     seen, level = front, 0

@@ -23,11 +23,10 @@ SELECT doc_id, CASE WHEN n_chars > 12000 THEN NULL ELSE substr(text, 1, 64) END
   length(text) > 12000 OR len(string_split(text, chr(10))) > 250 AS is_large FROM documents""",
     "extract_links": """SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages""",
     "link_graph_edges": r"""
-WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host FROM pages),
-l AS (SELECT page_id, regexp_extract(href, '^[a-z]+://([^/?#]+)', 1) AS link_host
-      FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages))
-SELECT host AS src, link_host AS dst, count(DISTINCT page_id) AS n_pages FROM l JOIN p USING (page_id)
-WHERE link_host IN (SELECT host FROM p) GROUP BY ALL""",
+WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]+/([^/?#]*)', 1) AS src FROM pages),
+l AS (SELECT page_id, regexp_extract(href, '^/([^/?#]+)', 1) AS dst
+      FROM (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages))
+SELECT src, dst, count(DISTINCT page_id) AS n_pages FROM l JOIN p USING (page_id) WHERE dst IN (SELECT src FROM p) GROUP BY ALL""",
     "dir_prefixes": f"""
 WITH s AS (SELECT string_split({_PATH}, '/') AS a FROM pages)
 SELECT array_to_string(a[1:i], '/') AS folder, count(*) AS n_pages FROM (SELECT a, unnest(range(1, len(a))) AS i FROM s) GROUP BY ALL""",

@@ -55,19 +55,14 @@ def extract_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href")).distinct()
 
 
-def _hosts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(page_id, host) of pages, and (page_id, link_host) of their links."""
-    host = lambda c: F.regexp_extract(c, r"^[a-z]+://([^/?#]+)", 1)
-    return table(spark, sf_dir, "pages").select("page_id", host("url").alias("host")), extract_links(spark, sf_dir).select("page_id", host("href").alias("link_host"))
-
-
 @query
 def link_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links between hosts with pages, each pair once with the number of pages that link."""
-    pages, links = _hosts(spark, sf_dir)
-    known = pages.select(F.col("host").alias("link_host")).distinct()
-    ends = links.join(known, "link_host", "left_semi").join(pages, "page_id")
-    return ends.groupBy(F.col("host").alias("src"), F.col("link_host").alias("dst")).agg(F.countDistinct("page_id").alias("n_pages"))
+    """Links between the top folders of sites, each pair once with its pages; dropped where no page is in the folder linked to."""
+    top = F.regexp_extract("url", r"^[a-z]+://[^/?#]+/([^/?#]*)", 1)
+    pages = table(spark, sf_dir, "pages").select("page_id", top.alias("src"))
+    links = extract_links(spark, sf_dir).select("page_id", F.regexp_extract("href", r"^/([^/?#]+)", 1).alias("dst"))
+    known = links.join(pages.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+    return known.join(pages, "page_id").groupBy("src", "dst").agg(F.countDistinct("page_id").alias("n_pages"))
 
 
 @query
