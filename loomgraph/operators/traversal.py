@@ -30,7 +30,8 @@ def bfs(start: DataFrame, edges: DataFrame, depth: int | None = None, direction:
 
     ``parent`` is the smallest id of the level before that leads to a node.
     """
-    links = _links(edges, direction)
+    # Every level joins the links again: derive them once.
+    links = stored(_links(edges, direction), "bfs-links") if depth is None or depth > 1 else _links(edges, direction)
     seen = start.select(REPO, "id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"))
     front, level = seen, 0
     while depth is None or level < depth:
@@ -51,7 +52,7 @@ def follow(start: DataFrame, step: DataFrame) -> DataFrame:
     """
     front = start.select(REPO, "id", F.col("id").alias("ancestor"), F.lit(0).alias("depth"))
     seen, level = front, 0
-    step = step.select(REPO, F.col("id").alias("ancestor"), "base")
+    step = stored(step.select(REPO, F.col("id").alias("ancestor"), "base"), "follow-step")
     while True:
         level += 1
         ahead = front.join(step, [REPO, "ancestor"]).select(REPO, "id", F.col("base").alias("ancestor"), F.lit(level).alias("depth"))
@@ -63,8 +64,8 @@ def follow(start: DataFrame, step: DataFrame) -> DataFrame:
 
 def nearest_above(ids: DataFrame, parents: DataFrame, targets: DataFrame) -> DataFrame:
     """(repository_id, id, container): the first target met on the way up from each id, itself included; null without."""
-    hit = targets.select(REPO, F.col("id").alias("at"), F.lit(True).alias("is_target"))
-    up = parents.select(REPO, F.col("id").alias("at"), F.col("parent").alias("above"))
+    hit = stored(targets.select(REPO, F.col("id").alias("at"), F.lit(True).alias("is_target")), "above-targets")
+    up = stored(parents.select(REPO, F.col("id").alias("at"), F.col("parent").alias("above")), "above-parents")
     state = ids.select(REPO, "id", F.col("id").alias("at"))
     done = None
     for _ in range(10_000):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions.paths import extension, ignored, language, normalized
 
 MAX_BYTES = 1024 * 1024
+_COLUMNS = ("absolute_path", "extension", "language", "size", "last_modified", "ord", "content")
 # Languages that have a parser.
 PARSED = ("javascript", "react", "typescript", "react-ts", "python", "java", "go", "rust")
 
@@ -39,7 +40,9 @@ def file_table(rows: DataFrame, repository_id: str, with_content: bool = True) -
     ]
     if with_content:
         columns.append(text_of(F.col("content"), F.col("length")).alias("content"))
-    return in_path_order(rows.select(*columns))
+    # Places come from paths alone; contents don't take part in the sort.
+    places = in_path_order(rows.select(columns[0], columns[1]))
+    return rows.select(*columns).join(places, ["repository_id", "path"]).select("repository_id", "path", *[c for c in _COLUMNS if with_content or c != "content"])
 
 
 def text_of(content: Column, length: Column) -> Column:
