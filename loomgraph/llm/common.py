@@ -58,3 +58,14 @@ def words_of(text: Column) -> Column:
     """The words ``[0-9a-z and all non-ASCII]+`` of a text, in order; null or empty gives none."""
     parts = F.split(ascii_lower(F.coalesce(text, F.lit(""))), WORD_CLASS)
     return F.filter(parts, lambda w: w != "")
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Bounds the rows of an Arrow batch for the Python stages of this session.
+
+    Spark's usual 10,000 rows are meant for narrow rows; of whole texts they would fill an executor.
+    A smaller setting stays.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))

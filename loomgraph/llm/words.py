@@ -98,7 +98,7 @@ class Words:
         return out_owner, out_hash
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that one holds about ``limit`` bytes of text; a longer text is one piece by itself."""
     for batch in batches:
         sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
