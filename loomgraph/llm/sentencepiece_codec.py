@@ -30,8 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 MARK = "▁"
-CACHE = 400_000
+CACHE = 250_000
+#: Segments that the library encodes in one call; its encodings are far larger than the ids.
+CALL = 4_000
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _NORMAL, _CONTROL, _BYTE = 1, 3, 6
 
@@ -142,20 +146,22 @@ class _Store:
 
     def reset(self) -> None:
         self.number: dict[str, int] = {}
-        self.parts: list[np.ndarray] = []
-        self.lengths: list[int] = []
-        self.same: list[bool] = []
+        self.ids, self.start, self.same = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, bool)
 
     def learn(self, segments: set[str]) -> None:
         new = [s for s in segments if s not in self.number]
-        if not new:
-            return
-        ours, theirs = self.codec.encode_segments(new), self.codec.reference_segments(new)
+        parts, lengths, same = [self.ids], [], []
+        for at in range(0, len(new), CALL):
+            part = new[at : at + CALL]
+            ours, theirs = self.codec.encode_segments(part), self.codec.reference_segments(part)
+            parts.append(np.fromiter((i for ids in ours for i in ids), dtype=np.int32))
+            lengths += [len(ids) for ids in ours]
+            same += [a == b for a, b in zip(ours, theirs, strict=True)]
         for s in new:
             self.number[s] = len(self.number)
-        self.parts.append(np.fromiter((i for ids in ours for i in ids), dtype=np.int32))
-        self.lengths += [len(ids) for ids in ours]
-        self.same += [a == b for a, b in zip(ours, theirs, strict=True)]
+        self.ids = np.concatenate(parts)
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(lengths, dtype=np.int64)])
+        self.same = np.concatenate([self.same, np.array(same, dtype=bool)])
 
 
 _ENCODED = "ids array<int>, n_tokens bigint, n_bytes bigint, n_fallback bigint, parity boolean, roundtrip boolean"
@@ -173,25 +179,23 @@ def _encoder(model: bytes, keep: str):
         store = _Store(codec)
         from .words import pieces
 
-        for batch in pieces(batches, "text", 4_000_000):
+        for batch in pieces(batches, "text", 1_000_000):
             texts = batch.column("text").fill_null("").to_pylist()
             cut = [codec.segments(t) for t in texts]
             if len(store.number) > CACHE:
                 store.reset()
             store.learn({s for c in cut for s in c})
-            ids_flat = np.concatenate(store.parts) if store.parts else np.zeros(0, np.int32)
-            store.parts = [ids_flat] if len(ids_flat) else []
-            starts = np.concatenate([[0], np.cumsum(np.array(store.lengths, dtype=np.int64))])
+            starts = store.start
             number = store.number
             order = np.fromiter((number[s] for c in cut for s in c), dtype=np.int64)
             text_first = np.concatenate([[0], np.cumsum([len(c) for c in cut])]).astype(np.int64)
-            ids = ids_flat[ranges(starts[order], starts[order + 1])]
+            ids = store.ids[ranges(starts[order], starts[order + 1])]
             token_upto = np.concatenate([[0], np.cumsum(starts[order + 1] - starts[order])])
             offsets = token_upto[text_first]
             sizes = codec.byte_start[ids + 1] - codec.byte_start[ids]
             byte_upto = np.concatenate([[0], np.cumsum(sizes)])
             raw = codec.decode_bytes(ids)
-            same_upto = np.concatenate([[0], np.cumsum(~np.array(store.same, dtype=bool)[order])])
+            same_upto = np.concatenate([[0], np.cumsum(~store.same[order])])
             fallback = np.concatenate([[0], np.cumsum(codec.is_byte[ids])])
             back, parity = [], []
             for i, text in enumerate(texts):
@@ -224,6 +228,7 @@ def read_model(path: str = MODEL) -> bytes:
 
 def encode(documents: DataFrame, model: bytes) -> DataFrame:
     """doc_id, ids, n_tokens, n_bytes, n_fallback, parity, roundtrip for every row of ``documents``."""
+    small_batches(documents.sparkSession)
     rows = documents.select("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(_encoder(model, "doc_id"), f"doc_id {kind}, {_ENCODED}")
