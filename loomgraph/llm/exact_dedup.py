@@ -5,8 +5,9 @@ space; a null text counts as empty.  The digest is the SHA-256 of that normalise
 
 Spark deals the work out twice.  Each input partition keeps its own index and sends one entry per
 live digest on (pre-aggregation: a group of copies, however hot, leaves a partition as one row).
-Entries are then dealt by digest, and a second round of indexes merges them.  Memory is bounded by
-the digests of one partition; an executor's loss only repeats its partitions.
+Entries are then dealt by digest, sorted, and a second round of indexes merges them.  An index of
+``FULL`` digests is sent on and begun anew, so memory is bounded whatever a partition holds; an
+executor's loss only repeats its partitions.
 
 Defined cases: an empty table gives an empty result; rows that repeat both doc_id and text are one
 document's repeats, the smallest row tag stays; a null doc_id sorts after every other id; extra
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import stored
 
 SLOTS = 4
+#: Live digests that one index holds at most.
+FULL = 200_000
 
 
 class CuckooIndex:
@@ -142,12 +145,7 @@ class CuckooIndex:
 _ENTRY = "digest binary, keep_id bigint, keep_tag bigint, group_size bigint"
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    index = CuckooIndex()
-    for batch in batches:
-        # A null id sorts last: (1, 0) after every (0, id).
-        for digest, doc_id, tag, count in zip(*(batch.column(c).to_pylist() for c in ("digest", "keep_id", "keep_tag", "group_size")), strict=True):
-            index.add(digest, (doc_id is None, doc_id or 0, tag), count)
+def _live_rows(index: CuckooIndex) -> Iterator[pa.RecordBatch]:
     rows = list(index.live())
     for at in range(0, len(rows), 50_000):
         part = rows[at : at + 50_000]
@@ -161,6 +159,23 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One entry per live digest; a full index is sent on between two digests, and a fresh one begins.
+
+    Of unsorted input a digest may then be sent more than once; sorted input gives each exactly once.
+    """
+    index, last = CuckooIndex(), None
+    for batch in batches:
+        # A null id sorts last: (1, 0) after every (0, id).
+        for digest, doc_id, tag, count in zip(*(batch.column(c).to_pylist() for c in ("digest", "keep_id", "keep_tag", "group_size")), strict=True):
+            if digest != last and len(index) >= FULL:
+                yield from _live_rows(index)
+                index = CuckooIndex()
+            index.add(digest, (doc_id is None, doc_id or 0, tag), count)
+            last = digest
+    yield from _live_rows(index)
+
+
 def digest_of(text: Column) -> Column:
     """SHA-256 (32 bytes) of the text with blanks normalised."""
     return F.unhex(F.sha2(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " "), 256))
@@ -170,7 +185,7 @@ def live_digests(rows: DataFrame) -> DataFrame:
     """(digest, keep_id, keep_tag, group_size) of each live digest of ``rows`` (doc_id, digest, tag)."""
     entries = rows.select("digest", F.col("doc_id").alias("keep_id"), F.col("tag").alias("keep_tag"), F.lit(1).cast("bigint").alias("group_size"))
     local = entries.mapInArrow(_merge, _ENTRY)
-    return local.repartition("digest").mapInArrow(_merge, _ENTRY)
+    return local.repartition("digest").sortWithinPartitions("digest").mapInArrow(_merge, _ENTRY)
 
 
 def find_copies(documents: DataFrame) -> DataFrame:
