@@ -262,8 +262,8 @@ def test_residual_comparison_finds_links_between_classes():
     import pandas as pd
 
     rng = np.random.default_rng(0)
-    one = rng.integers(0, 1 << 16, near_dedup.K).astype(np.uint16)
-    frame = pd.DataFrame({"rep": [1, 2, 3], "root": [1, 2, 3], "block": [0, 0, 1], "sketch": [one.tobytes(), one.tobytes(), rng.integers(0, 1 << 16, near_dedup.K).astype(np.uint16).tobytes()]})
+    one = rng.integers(0, 1 << 16, near_dedup.SKETCH).astype(np.uint16)
+    frame = pd.DataFrame({"rep": [1, 2, 3], "root": [1, 2, 3], "block": [0, 0, 1], "sketch": [one.tobytes(), one.tobytes(), rng.integers(0, 1 << 16, near_dedup.SKETCH).astype(np.uint16).tobytes()]})
     assert near_dedup._rest((0, 0, 0, 0), frame[["rep", "root", "block", "sketch"]]).values.tolist() == [[1, 2]]
     assert near_dedup._rest((0, 0, 0, 1), frame).values.tolist() == []
 
@@ -391,6 +391,14 @@ def test_exact_dedup(spark, odd, none):
     assert exact_dedup.find_copies(none).count() == 0 and exact_dedup.drop_copies(none).count() == 0
 
 
+def test_full_indexes_are_sent_on(monkeypatch):
+    monkeypatch.setattr(exact_dedup, "FULL", 3)
+    keys = sorted(bytes([i]) * 32 for i in range(10) for _ in range(1 + i % 3))
+    batch = pa.RecordBatch.from_pydict({"digest": pa.array(keys, pa.binary()), "keep_id": list(range(len(keys))), "keep_tag": [0] * len(keys), "group_size": [1] * len(keys)})
+    got = [r for b in exact_dedup._merge(iter([batch])) for r in b.to_pylist()]
+    assert len(got) == 10 and sum(r["group_size"] for r in got) == len(keys) and {r["digest"] for r in got} == set(keys)
+
+
 def test_cuckoo_index_inserts_deletes_and_resizes():
     index, keys = exact_dedup.CuckooIndex(buckets=4, max_kicks=20), [hashlib.sha256(str(i).encode()).digest() for i in range(3000)]
     for i, k in enumerate(keys):
