@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small_batches, stored
 from .words import Words, pieces
 
 FIT_ROWS = 20_000
@@ -43,10 +43,13 @@ MIN_DOCS = 3
 MIN_WEIGHT = 3.0
 CONTEXT = 60
 FUZZY_LENGTH = 5
-FUZZY_DOCS = 10
+#: Only words that this share of the toxic sample holds (and five documents) are worth misspelling.
+FUZZY_SHARE, FUZZY_DOCS = 0.02, 5
 PREFIXES = range(4, 9)
 CUT = 0.7
 FEATURES = 5
+#: Bytes of text whose different words are looked up together.
+PIECE = 2_000_000
 
 
 class Trie:
@@ -175,7 +178,7 @@ def _held_out(doc_id: Column) -> Column:
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many toxic and clean texts of each half hold a term."""
-    for batch in pieces(batches, "text"):
+    for batch in pieces(batches, "text", PIECE):
         words = Words(batch.column("text"))
         counts: Counter = Counter()
         for i, (toxic, half) in enumerate(zip(batch.column("toxic").to_pylist(), batch.column("half").to_pylist(), strict=True)):
@@ -205,7 +208,7 @@ def _lexicon(rows: list, toxic: np.ndarray, clean: np.ndarray, sizes: tuple[floa
     for i in np.flatnonzero((weight >= MIN_WEIGHT) & (toxic >= MIN_DOCS - 1)):
         kind, term = rows[i]["kind"], rows[i]["term"]
         (words if kind == "w" else starts)[term] = float(weight[i])
-        if kind == "w" and len(term) >= FUZZY_LENGTH and toxic[i] >= FUZZY_DOCS:
+        if kind == "w" and len(term) >= FUZZY_LENGTH and toxic[i] >= max(FUZZY_DOCS, FUZZY_SHARE * sizes[0]):
             fuzzy.append(term)
     return Lexicon(words, starts, fuzzy, ordinary)
 
@@ -226,6 +229,7 @@ def _regression(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int =
 
 def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[Lexicon, np.ndarray]:
     """Lexicon and regression coefficients, from at most ``fit_rows`` labelled rows outside the held-out third."""
+    small_batches(documents.sparkSession)
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~_held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int"))
@@ -261,7 +265,7 @@ def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tu
         lexicon.ordinary = ordinary
 
     def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PIECE):
             words = Words(batch.column("text"))
             half = batch.column("half").to_numpy()
             x = np.where((half == 0)[:, None], features(words, halves[0]), features(words, halves[1]))
@@ -277,7 +281,7 @@ def score(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
     lexicon, beta = fit(documents, labels, fit_rows)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PIECE):
             x = features(Words(batch.column("text")), lexicon)
             value = 1 / (1 + np.exp(-np.clip(x @ beta[:-1] + beta[-1], -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(value)], names=["doc_id", "held_out", "score"])
@@ -294,7 +298,7 @@ def drop_toxic(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(iter([batch]), batch.schema.names[at]):
+            for part in pieces(iter([batch]), batch.schema.names[at], PIECE):
                 x = features(Words(part.column(at)), lexicon)
                 value = 1 / (1 + np.exp(-np.clip(x @ beta[:-1] + beta[-1], -30, 30)))
                 yield part.filter(pa.array(value < CUT))
