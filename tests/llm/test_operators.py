@@ -264,7 +264,9 @@ def test_residual_comparison_finds_links_between_classes():
     rng = np.random.default_rng(0)
     one = rng.integers(0, 1 << 16, near_dedup.SKETCH).astype(np.uint16)
     frame = pd.DataFrame({"rep": [1, 2, 3], "root": [1, 2, 3], "block": [0, 0, 1], "sketch": [one.tobytes(), one.tobytes(), rng.integers(0, 1 << 16, near_dedup.SKETCH).astype(np.uint16).tobytes()]})
-    assert near_dedup._rest((0, 0, 0, 0), frame[["rep", "root", "block", "sketch"]]).values.tolist() == [[1, 2]]
+    frame["bands"] = [np.array([7, 7, 9]), np.array([7, 7, 9]), np.array([1, 7, 9])]
+    assert near_dedup._rest((0, 0, 0, 0), frame).values.tolist() == [[1, 2]]
+    assert near_dedup._rest((1, 0, 0, 0), frame).values.tolist() == []  # left to the first band they share
     assert near_dedup._rest((0, 0, 0, 1), frame).values.tolist() == []
 
 
