@@ -186,6 +186,43 @@ def test_lm_scoring_matches_brute_force(spark, odd, none):
     assert lm_scoring.score(odd, labels.limit(0)).filter("isnan(score)").count() == 0
 
 
+def test_lm_scoring_counts_every_word_and_bigram(spark, odd):
+    # 66,000 words that are more frequent than the last four: a capped vocabulary can't tell those apart.
+    docs = [(i, " ".join(f"v{k}" for k in range(i % 2 * 33_000, i % 2 * 33_000 + 33_000))) for i in range(6)]
+    docs += [(10, "ra rb ra rb v7"), (11, "rc rd rc v9 rd"), (12, "ra rb v7 rc"), (13, None), (14, "v1"), (None, "rb rd")]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    labels = spark.createDataFrame([(10, 1), (10, 0), (1, 1), (12, 0), (None, 1)], "doc_id int, quality int")
+    many, few = ({r["doc_id"]: r for r in lm_scoring.score(frame, labels, **k).collect()} for k in ({"chunk": 50_000}, {}))
+
+    def counts(chosen):
+        one, two, context = collections.Counter(), collections.Counter(), collections.Counter()
+        for _, t in chosen:
+            w = words(t)
+            one.update(w)
+            two.update(zip(["", *w], w, strict=False))
+            context.update(["", *w][: len(w)])
+        return one, two, context
+
+    good, every = counts([d for d in docs if d[0] in (1, 10)]), counts(docs)
+    tokens = sum(good[0].values())
+
+    def loss(t, model, k):
+        one, two, context = model
+        w, s = words(t), lm_scoring.SMOOTH_CLASS
+        p = [(two[a, b] * k + s * (one[b] * k + 1) / (tokens + len(every[0]))) / (context[a] * k + s) for a, b in zip(["", *w], w, strict=False)]
+        return -sum(map(math.log, p)) / len(w)
+
+    for i, t in docs:
+        assert many[i]["n_tokens"] == few[i]["n_tokens"] == len(words(t))
+        for got in (many[i], few[i]):
+            if t:
+                assert got["target_loss"] == pytest.approx(loss(t, good, 1), abs=1e-9)
+                assert got["background_loss"] == pytest.approx(loss(t, every, tokens / sum(every[0].values())), abs=1e-9)
+            else:
+                assert got["score"] is None
+    assert lm_scoring.score(odd, labels, chunk=2000).count() == len(ODD)
+
+
 def test_sentencepiece_parity_and_round_trip(odd, none):
     import sentencepiece
 
