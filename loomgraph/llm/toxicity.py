@@ -5,9 +5,10 @@ often than clean ones, with their log odds as weights.  They are learned from a
 labelled rows: the ``FIT_ROWS`` with the smallest id hashes, and never rows whose crc32(doc_id) mod 3
 is 1, which are held out.  At most ``LEXICON`` entries are kept.
 
-Matching.  Each distinct word of a batch is looked up as it is, by its beginnings, and, if it shares
-a half with a lexicon word (one edit leaves one half intact), by walking the trie with the bit-parallel
-Levenshtein automaton of the word at distance 1.  A misspelling counts only if the sample's clean
+Matching.  Each distinct word is looked up as it is, by its beginnings, and, if it or a word made by
+leaving out one of its letters is a lexicon word or one made so of it (true of all words one edit
+apart), by walking the trie with the bit-parallel Levenshtein automaton of the word at distance 1.
+All lexicon words are in the trie.  A misspelling counts only if the sample's clean
 documents don't use that word.
 
 Context.  A match is quoted if, within ``CONTEXT`` characters on its line, quotation marks open before
@@ -42,9 +43,8 @@ LEXICON = 4_000
 MIN_DOCS = 3
 MIN_WEIGHT = 3.0
 CONTEXT = 60
-FUZZY_LENGTH = 5
-#: Only words that this share of the toxic sample holds (and five documents) are worth misspelling.
-FUZZY_SHARE, FUZZY_DOCS = 0.02, 5
+#: Words whose weights a task remembers.
+SEEN = 200_000
 PREFIXES = range(4, 9)
 CUT = 0.7
 FEATURES = 5
@@ -88,18 +88,25 @@ class Trie:
         return found
 
 
+def _shortened(word: str) -> Iterator[str]:
+    """The word, and what is left of it without one letter."""
+    yield word
+    for i in range(len(word)):
+        yield word[:i] + word[i + 1 :]
+
+
 class Lexicon:
     """Weights of words and beginnings; misspellings through the trie."""
 
     def __init__(self, words: dict[str, float], starts: dict[str, float], fuzzy: list[str], ordinary: frozenset[str] = frozenset()):
         self.words, self.starts, self.ordinary = words, starts, ordinary
         self.trie = Trie(iter(fuzzy))
-        self.heads = {w[: len(w) // 2] for w in fuzzy}
-        self.tails = {w[len(w) // 2 :] for w in fuzzy}
-        self.head_lengths, self.tail_lengths = sorted({len(x) for x in self.heads}), sorted({len(x) for x in self.tails})
+        self.keys = {x for w in fuzzy for x in _shortened(w)}
+        self.longest = max(map(len, fuzzy), default=0)
+        self.seen: dict[int, tuple[float, float]] = {}
 
     def near(self, word: str) -> list[str]:
-        if any(word[:n] in self.heads for n in self.head_lengths) or any(word[-n:] in self.tails for n in self.tail_lengths):
+        if len(word) <= self.longest + 1 and any(x in self.keys for x in _shortened(word)):
             return self.trie.within_one(word)
         return []
 
@@ -110,7 +117,7 @@ class Lexicon:
             if n > len(word):
                 break
             plain = max(plain, self.starts.get(word[:n], 0.0))
-        if plain or len(word) < FUZZY_LENGTH - 1 or word in self.ordinary:
+        if plain or word in self.ordinary:
             return plain, 0.0
         return 0.0, max((self.words[x] for x in self.near(word)), default=0.0)
 
@@ -137,10 +144,17 @@ def features(words: Words, lexicon: Lexicon) -> np.ndarray:
     out = np.zeros((len(words.count), FEATURES))
     if not len(words.hash):
         return out
-    _, first, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
+    found, first, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
     plain, edited = np.zeros(len(first)), np.zeros(len(first))
-    for at, k in enumerate(first):
-        plain[at], edited[at] = lexicon.match(words.word(k))
+    seen = lexicon.seen
+    for at, (h, k) in enumerate(zip(found.tolist(), first.tolist(), strict=True)):
+        weights = seen.get(h)
+        if weights is None:
+            if len(seen) >= SEEN:
+                seen.clear()
+            weights = seen[h] = lexicon.match(words.word(k))
+        if weights != (0.0, 0.0):
+            plain[at], edited[at] = weights
     hit = np.flatnonzero((plain + edited)[inverse])
     if not len(hit):
         return out
@@ -208,7 +222,7 @@ def _lexicon(rows: list, toxic: np.ndarray, clean: np.ndarray, sizes: tuple[floa
     for i in np.flatnonzero((weight >= MIN_WEIGHT) & (toxic >= MIN_DOCS - 1)):
         kind, term = rows[i]["kind"], rows[i]["term"]
         (words if kind == "w" else starts)[term] = float(weight[i])
-        if kind == "w" and len(term) >= FUZZY_LENGTH and toxic[i] >= max(FUZZY_DOCS, FUZZY_SHARE * sizes[0]):
+        if kind == "w":
             fuzzy.append(term)
     return Lexicon(words, starts, fuzzy, ordinary)
 
@@ -258,9 +272,9 @@ def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tu
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"term": pa.array([w for w in batch.column("term").to_pylist() if w not in whole.words and whole.near(w)], pa.string())})
 
-    # Ordinary words one edit from the lexicon: few, as they are drawn from the bounded sample.
+    # Ordinary words one edit from the lexicon: all of them, and few, as they are drawn from the bounded sample.
     ordinary = terms.filter((F.col("kind") == "w") & (clean_docs >= 1)).select("term").mapInArrow(near_words, "term string")
-    ordinary = frozenset(r["term"] for r in ordinary.limit(LEXICON).collect())
+    ordinary = frozenset(r["term"] for r in ordinary.collect())
     for lexicon in (whole, *halves):
         lexicon.ordinary = ordinary
 

@@ -355,6 +355,16 @@ def test_toxicity(spark, none):
     assert toxicity.score(none, marks).count() == 0 and toxicity.score(frame, marks.limit(0)).filter("predicted = 1").count() == 0
 
 
+def test_rare_and_short_lexicon_words_are_found_misspelt():
+    rows = [{"kind": "w", "term": x} for x in ("grumble", "vile", "mud")]
+    lexicon = toxicity._lexicon(rows, np.array([300.0, 3.0, 3.0]), np.zeros(3), (2000.0, 18_000.0))
+    for word in ("grunble", "vlle", "vil", "viile", "mudd"):
+        assert lexicon.match(word)[1] > 0, word
+    assert lexicon.match("grammar") == lexicon.match("village") == (0.0, 0.0)
+    texts = toxicity.features(Words(pa.array(["so vlle a word", "so fine a word", "so vlle a word"])), lexicon)
+    assert texts[0, 4] > 0 and (texts[0] == texts[2]).all() and not texts[1].any()
+
+
 def test_levenshtein_automaton_equals_brute_force():
     def distance(a, b):
         row = list(range(len(b) + 1))
