@@ -33,6 +33,32 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: lineage ends there, whoever is lost later."""
-    path = os.path.join(shared_dir(df.sparkSession), f"{label}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).store(df, label)
+
+
+class Scratch:
+    """Tables that one run writes to the shared folder; ``clear`` and ``keep`` delete those that nothing reads any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.tables: list[tuple[DataFrame, str]] = []
+
+    def store(self, df: DataFrame, label: str) -> DataFrame:
+        path = os.path.join(shared_dir(self.spark), f"{label}-{uuid.uuid4().hex}")
+        df.write.parquet(path)
+        back = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((back, path))
+        return back
+
+    def clear(self, *frames: DataFrame) -> None:
+        """Deletes the tables of ``frames``."""
+        hadoop, conf = self.spark._jvm.org.apache.hadoop.fs, self.spark._jsc.hadoopConfiguration()
+        for table in list(self.tables):
+            if any(table[0] is f for f in frames):
+                self.tables.remove(table)
+                where = hadoop.Path(table[1])
+                where.getFileSystem(conf).delete(where, True)
+
+    def keep(self, *frames: DataFrame) -> None:
+        """Deletes all tables of this run but those of ``frames``."""
+        self.clear(*(table[0] for table in self.tables if not any(table[0] is f for f in frames)))
