@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.session import Scratch, stored
+
 WORD_CLASS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -18,36 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees.
-
-    A cluster names it in ``spark.checkpoint.dir``.  Only where that setting and the context's
-    own checkpoint folder are both unset (tests on one machine) a temporary folder is taken.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if not current.isDefined():
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return str(current.get()).rstrip("/")
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` once to the shared folder and reads it back.
-
-    Cuts lineage in a way that survives lost executors, gives the optimiser true sizes, and keeps
-    the data compressed and columnar.
-    """
-    spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     pure = F.octet_length(text) == F.length(text)
@@ -64,8 +37,50 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bounds the rows of an Arrow batch for the Python stages of this session.
 
     Spark's usual 10,000 rows are meant for narrow rows; of whole texts they would fill an executor.
-    A smaller setting stays.
+    A smaller setting stays.  Spark reads the setting when a frame runs, after the operator has returned,
+    so it can't be put back: operators that call this say so by calling it.
     """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= rows:
         spark.conf.set(key, str(rows))
+
+
+def give_back() -> None:
+    """Returns the memory that this process has freed to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """An Arrow function whose worker keeps nothing when its task ends: workers live on from stage to stage."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    """128 bits that tell rows of different (doc_id, text) apart; null differs from empty ids."""
+    return F.md5(F.concat(F.coalesce(F.concat(F.lit("i"), doc_id.cast("string")), F.lit("n")), F.lit("\n"), F.coalesce(text, F.lit(""))))
+
+
+def join_weighed(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+    """``rows`` joined with ``table`` on ``key``, which is unique in the table; ``weight`` is how many rows have it.
+
+    Keys of a thousandth of all rows or more, a thousand keys at most, are broadcast; the others are shuffled.
+    """
+    least = (table.agg(F.sum(weight)).first()[0] or 0) / 1000
+    hot, rest = F.broadcast(table.filter(F.col(weight) >= least)), table.filter(F.col(weight) < least)
+    few = rows.join(hot, key)
+    many = rows.join(hot.select(key), key, "left_anti").join(rest.hint("merge"), key)
+    return few.unionByName(many)
+
+
+__all__ = ["Scratch", "ascii_lower", "give_back", "join_weighed", "lean", "row_key", "small_batches", "stored", "table", "words_of"]

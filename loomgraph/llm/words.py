@@ -27,18 +27,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_powers = np.ones(1, dtype=np.uint64)
-_inverses = np.ones(1, dtype=np.uint64)
+#: Bytes of text that are hashed together; what hashing holds besides the words follows this, not the text.
+_BLOCK = 1 << 18
 
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers, _inverses
-    if len(_powers) < n:
-        size = max(n, 2 * len(_powers))
+    with np.errstate(over="ignore"):
+        return tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, x)]), dtype=np.uint64) for x in (_BASE, _INVERSE))
+
+
+_TABLES = _tables(_BLOCK)
+
+
+def _word_hashes(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each word, by differences of prefix sums, block by block; a word may be longer than a block."""
+    out = np.empty(len(start), dtype=np.uint64)
+    a = 0
+    while a < len(start):
+        b = max(a + 1, int(np.searchsorted(end, start[a] + _BLOCK, side="right")))
+        at, n = int(start[a]), int(end[b - 1] - start[a])
+        powers, inverses = _TABLES if n <= _BLOCK else _tables(n)
         with np.errstate(over="ignore"):
-            _powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, _BASE)]), dtype=np.uint64)
-            _inverses = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, _INVERSE)]), dtype=np.uint64)
-    return _powers, _inverses
+            sums = np.zeros(n + 1, dtype=np.uint64)
+            np.cumsum((low[at : at + n].astype(np.uint64) + np.uint64(1)) * powers[:n], out=sums[1:])
+            first, last = start[a:b] - at, end[a:b] - at
+            out[a:b] = mix((sums[last] - sums[first]) * inverses[first] + (last - first).astype(np.uint64))
+        a = b
+    return out
 
 
 class Words:
@@ -60,10 +75,7 @@ class Words:
         after = np.concatenate([is_word[1:], [False]]) if len(is_word) else is_word
         self.start = np.flatnonzero(is_word & (~before | border[:-1]))
         self.end = np.flatnonzero(is_word & (~after | border[1:])) + 1
-        powers, inverses = _tables(len(is_word) + 1)
-        with np.errstate(over="ignore"):
-            sums = np.concatenate([[np.uint64(0)], np.cumsum((self.low.astype(np.uint64) + np.uint64(1)) * powers[: len(is_word)], dtype=np.uint64)])
-            self.hash = mix((sums[self.end] - sums[self.start]) * inverses[self.start] + (self.end - self.start).astype(np.uint64))
+        self.hash = _word_hashes(self.low, self.start, self.end)
         #: Word k of text i is number first[i] + k.
         self.first = np.searchsorted(self.start, self.text_start)
         self.count = np.diff(self.first)

@@ -295,28 +295,32 @@ def test_near_classes(spark, odd, none):
     assert left.columns == odd.columns and {r["doc_id"] for r in left.collect()} >= {1, 2, 6, 9, None} and 7 not in {r["doc_id"] for r in left.collect()}
 
 
-def test_residual_comparison_finds_links_between_classes():
-    import pandas as pd
-
-    rng = np.random.default_rng(0)
-    one = rng.integers(0, 1 << 16, near_dedup.SKETCH).astype(np.uint16)
-    frame = pd.DataFrame({"rep": [1, 2, 3], "root": [1, 2, 3], "block": [0, 0, 1], "sketch": [one.tobytes(), one.tobytes(), rng.integers(0, 1 << 16, near_dedup.SKETCH).astype(np.uint16).tobytes()]})
-    frame["bands"] = [np.array([7, 7, 9]), np.array([7, 7, 9]), np.array([1, 7, 9])]
-    assert near_dedup._rest((0, 0, 0, 0), frame).values.tolist() == [[1, 2]]
-    assert near_dedup._rest((1, 0, 0, 0), frame).values.tolist() == []  # left to the first band they share
-    assert near_dedup._rest((0, 0, 0, 1), frame).values.tolist() == []
-
-
-def test_sketches_keep_links_at_the_threshold():
-    """Each kept pair's chance at 0.8 is one minus the miss rate stated; 8,000 pairs lost some 14 at 0.18 %."""
-    import pandas as pd
-
-    rng = np.random.default_rng(5)
-    one = rng.integers(0, 1 << 16, near_dedup.SKETCH).astype(np.uint16)
-    others = np.where(rng.random((8000, near_dedup.SKETCH)) < near_dedup.THRESHOLD, one, one + np.uint16(1))
-    rows = [one, *others]
-    frame = pd.DataFrame({"rep": range(len(rows)), "root": [0] + [1] * 8000, "block": 0, "sketch": [x.tobytes() for x in rows], "bands": [[i] for i in range(len(rows))]})
-    assert len(near_dedup._rest((0, 0, 0, 0), frame)) == 8000
+def test_classes_of_a_band_value_without_a_common_text(spark, monkeypatch):
+    """Copies of an unseen text, near 0.8 to one another, and chains: links that the first leader doesn't see."""
+    rng = np.random.default_rng(4)
+    docs = []
+    for g in range(3):
+        base = sentence(100 + g, 220).split()
+        for v in range(40):
+            own = list(base)
+            for at in rng.choice(220, 4 + v % 3, replace=False):
+                own[at] = f"e{v}x{at}"
+            docs.append((1000 * g + v, " ".join(own)))
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(frame).collect()}
+    want = brute_classes(docs)
+    assert len(set(want.values())) > 3 and got == want
+
+
+def test_near_classes_of_null_and_string_ids(spark):
+    same, other = sentence(900, 80), sentence(901, 80)
+    docs = [(None, same), (None, other), (None, None), ("b", same.upper()), ("a", same + " tail"), ("c", other), ("c", sentence(902, 80)), ("d", ""), ("c", other)]
+    frame = spark.createDataFrame(docs, "doc_id string, text string")
+    got = sorted(((r["doc_id"], r["class_id"], r["class_size"]) for r in near_dedup.near_classes(frame).collect()), key=repr)
+    want = [(None, "a", 3), (None, "c", 3), (None, None, 1), ("a", "a", 3), ("b", "a", 3), ("c", "c", 1), ("c", "c", 3), ("c", "c", 3), ("d", "d", 1)]
+    assert got == sorted(want, key=repr)
+    left = sorted(((r["doc_id"], r["text"]) for r in near_dedup.drop_near_copies(frame).collect()), key=repr)
+    assert left == sorted([("a", same + " tail"), ("c", other), ("c", sentence(902, 80)), ("d", ""), (None, None)], key=repr)
 
 
 def test_dart_signatures_estimate_the_weighted_coefficient():
