@@ -1,15 +1,16 @@
 """SentencePiece encoding and decoding on the ``tokenizers`` library.
 
 The model protobuf is parsed and rebuilt: its normaliser (a compiled character map where there is
-one, the dummy prefix, surplus blanks), the metaspace marker, and its pieces, as a unigram model with
-scores or as a merge model whose merges follow from the scores, both with byte fallback.
+one, the dummy prefix, surplus blanks, which are blanks only: tabs and line ends stay), the metaspace
+marker, and its pieces, as a unigram model with scores or as a merge model whose merges follow from the
+scores, both with byte fallback.  User-defined pieces are cut out of the marked text first, the longest
+where several begin, and are never merged.
 
-A piece never holds the marker after another character (checked when a model is loaded), so a text
-is encoded segment by segment, a segment being a run of markers and what follows up to the next.  A
-task encodes each different segment once, in multithreaded batches, and puts the ids together with
-arrays.  Every segment is also encoded by the ``sentencepiece`` library, and the ids are compared;
-since segments don't influence each other, equal segments mean equal texts.  The segments kept are
-bounded by ``CACHE``.  A model that breaks the condition is encoded text by text.
+Texts are encoded whole, in multithreaded batches of bounded size.  A text beyond ``UNIT`` characters
+is cut before runs of markers: a piece never holds the marker after another character (checked when a
+model is loaded, else texts stay whole), so the parts don't influence each other.  What has no blank
+for longer than that stays in one part.  Every original text is also encoded, whole and unnormalised, by
+the ``sentencepiece`` library, and ``parity`` tells whether all ids are the same.
 
 Decoding maps ids to bytes and markers to blanks; a text that itself holds the marker, or that its
 normaliser changes, doesn't come back as it was, which ``roundtrip`` says.
@@ -21,6 +22,7 @@ are left alone.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 from collections.abc import Iterator
@@ -30,14 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import lean, small_batches
+from .words import pieces
 
 MARK = "▁"
-CACHE = 250_000
-#: Segments that the library encodes in one call; its encodings are far larger than the ids.
-CALL = 4_000
+#: Characters of one part of a long text, and bytes of text taken together: encodings are far larger than the ids.
+UNIT, CALL = 1 << 15, 500_000
+#: Threads of a batch; executors run several tasks.
+THREADS = 2
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-_NORMAL, _CONTROL, _BYTE = 1, 3, 6
+_NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
 
 
 class Codec:
@@ -57,7 +61,7 @@ class Codec:
         if trained.model_type == trained.UNIGRAM:
             body = models.Unigram([(p.piece, p.score) for p in pieces], unk_id=trained.unk_id, byte_fallback=trained.byte_fallback)
         elif trained.model_type == trained.BPE:
-            body = models.BPE(vocab=number, merges=self._merges(number), unk_token=pieces[trained.unk_id].piece, byte_fallback=trained.byte_fallback, fuse_unk=True)
+            body = models.BPE(vocab=number, merges=self._merges(number), unk_token=pieces[trained.unk_id].piece, byte_fallback=trained.byte_fallback, fuse_unk=True, cache_capacity=0)
         else:
             raise ValueError(f"model type {trained.model_type} isn't supported")
         self.tokenizer = Tokenizer(body)
@@ -65,59 +69,83 @@ class Codec:
         if spec.precompiled_charsmap:
             steps.append(normalizers.Precompiled(spec.precompiled_charsmap))
         if spec.remove_extra_whitespaces:
-            steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Strip()]
+            steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Replace(Regex("^ | $"), "")]
         self.clean = normalizers.Sequence(steps) if steps else None
-        self.bytes = [self._bytes_of(p) for p in pieces]
-        lengths = np.array([len(b) for b in self.bytes], dtype=np.int64)
-        self.byte_start = np.concatenate([[0], np.cumsum(lengths)])
-        self.byte_data = np.frombuffer(b"".join(self.bytes), dtype=np.uint8)
+        spelt = [self._bytes_of(p, trained.unk_surface) for p in pieces]
+        self.byte_start = np.concatenate([[0], np.cumsum([len(b) for b in spelt], dtype=np.int64)])
+        self.byte_data = np.frombuffer(b"".join(spelt), dtype=np.uint8)
         self.is_byte = np.array([p.type == _BYTE for p in pieces])
-        self.separable = not any(MARK in p.piece.lstrip(MARK) for p in pieces)
+        self.user = {p.piece: i for i, p in enumerate(pieces) if p.type == _USER}
+        self.user_cut = re.compile("(" + "|".join(map(re.escape, sorted(self.user, key=len, reverse=True))) + ")") if self.user else None
+        self.separable = not any(MARK in p.piece.lstrip(MARK) for p in pieces if p.type != _USER)
 
     def _merges(self, number: dict[str, int]) -> list[tuple[str, str]]:
-        """All splits of pieces into two pieces, best score of the joined piece first."""
+        """All splits of pieces into two pieces, best score of the joined piece first.
+
+        Where scores are equal the reference library joins what stands leftmost, so a run of one character grows
+        from its beginning: longer left parts go first.
+        """
         found = []
         for p in self.proto.pieces:
             if p.type == _NORMAL:
                 for cut in range(1, len(p.piece)):
                     a, b = p.piece[:cut], p.piece[cut:]
                     if a in number and b in number:
-                        found.append((-p.score, number[a], number[b], a, b))
+                        found.append((-p.score, -len(a), number[a], number[b], a, b))
         found.sort()
-        return [(x[3], x[4]) for x in found]
+        return [x[-2:] for x in found]
 
     @staticmethod
-    def _bytes_of(piece) -> bytes:
+    def _bytes_of(piece, unknown: str) -> bytes:
         if piece.type == _BYTE:
             return bytes([int(piece.piece[1:-1], 16)])
+        if piece.type == _UNKNOWN:
+            return unknown.encode()
         return b"" if piece.type == _CONTROL else piece.piece.replace(MARK, " ").encode()
 
-    def segments(self, text: str) -> list[str]:
-        """The normalised text, cut before each run of markers."""
+    def marked(self, text: str) -> str:
+        """The normalised text, with markers for blanks."""
         if self.clean:
             text = self.clean.normalize_str(text)
-        if not text:
-            return []
-        if not self.separable:
-            return [(MARK if self.prefix else "") + text.replace(" ", MARK)]
-        if self.prefix and "  " not in text and MARK not in text and text[0] != " " and text[-1] != " ":
-            return [MARK + w for w in text.split(" ")]
-        marked = (MARK if self.prefix else "") + text.replace(" ", MARK)
-        return re.findall(f"{MARK}+[^{MARK}]*|^[^{MARK}]+", marked)
-
-    def encode_segments(self, segments: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(segments, add_special_tokens=False)]
-
-    def reference_segments(self, segments: list[str], threads: int = 1) -> list[list[int]]:
-        """The same by the sentencepiece library, which adds the marker of the dummy prefix itself."""
-        plain = [(s[1:] if self.prefix else s).replace(MARK, " ") for s in segments]
-        ids = self.reference.encode(plain, num_threads=threads)
-        # A lone marker is an empty text there.
-        empty = self.tokenizer.encode(MARK, add_special_tokens=False).ids if self.prefix else []
-        return [i if p else empty for i, p in zip(ids, plain, strict=True)]
+        return (MARK if self.prefix else "") + text.replace(" ", MARK) if text else ""
+
+    def _cut(self, marked: str) -> list[str]:
+        if len(marked) <= UNIT or not self.separable:
+            return [marked] if marked else []
+        parts, start = [], 0
+        while len(marked) - start > UNIT:
+            at = marked.rfind(MARK, start + 1, start + UNIT)
+            while at > start and marked[at - 1] == MARK:
+                at -= 1
+            if at <= start:  # no blank in reach
+                at = marked.find(MARK, start + UNIT)
+                while at > 0 and marked[at - 1] == MARK:
+                    at = marked.find(MARK, at + 1)
+                if at < 0:
+                    break
+            parts.append(marked[start:at])
+            start = at
+        return [*parts, marked[start:]]
+
+    def parts(self, text: str) -> list[str]:
+        """What is encoded by itself; every other part is a user-defined piece where the model has such."""
+        marked = self.marked(text)
+        if not self.user_cut:
+            return self._cut(marked)
+        return [y for x in self.user_cut.split(marked) for y in ([x] if x in self.user else self._cut(x))]
+
+    def encode_texts(self, texts: list[str]) -> list[list[int]]:
+        cut = [self.parts(t) for t in texts]
+        todo = [x for parts in cut for x in parts if x not in self.user]
+        ids = iter([e.ids for e in self.tokenizer.encode_batch_fast(todo, add_special_tokens=False)])
+        out = []
+        for parts in cut:
+            own = [[self.user[x]] if x in self.user else next(ids) for x in parts]
+            out.append(own[0] if len(own) == 1 else [i for x in own for i in x])
+        return out
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids in self.encode_segments(self.segments(text)) for i in ids]
+        return self.encode_texts([text])[0]
 
     def decode_bytes(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of all ids in a row."""
@@ -137,87 +165,40 @@ def ranges(starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     return np.arange(total) + shift
 
 
-class _Store:
-    """Ids of the segments seen by a task, flat, with their parity."""
-
-    def __init__(self, codec: Codec):
-        self.codec = codec
-        self.reset()
-
-    def reset(self) -> None:
-        self.number: dict[str, int] = {}
-        self.ids, self.start, self.same = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, bool)
-
-    def learn(self, segments: set[str]) -> None:
-        new = [s for s in segments if s not in self.number]
-        parts, lengths, same = [self.ids], [], []
-        for at in range(0, len(new), CALL):
-            part = new[at : at + CALL]
-            ours, theirs = self.codec.encode_segments(part), self.codec.reference_segments(part)
-            parts.append(np.fromiter((i for ids in ours for i in ids), dtype=np.int32))
-            lengths += [len(ids) for ids in ours]
-            same += [a == b for a, b in zip(ours, theirs, strict=True)]
-        for s in new:
-            self.number[s] = len(self.number)
-        self.ids = np.concatenate(parts)
-        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(lengths, dtype=np.int64)])
-        self.same = np.concatenate([self.same, np.array(same, dtype=bool)])
+_ENCODED = "ids array<int>, n_tokens bigint, n_bytes bigint, n_fallback bigint, parity boolean, roundtrip boolean"
 
 
-_ENCODED = "ids array<int>, n_tokens bigint, n_bytes bigint, n_fallback bigint, parity boolean, roundtrip boolean"
-_CODECS: dict[int, Codec] = {}
+@functools.lru_cache(maxsize=1)
+def _codec(model: bytes) -> Codec:
+    """One a worker: building it takes as long as encoding a megabyte."""
+    return Codec(model)
 
 
-def _encoder(model: bytes, keep: str):
+def _encoder(model: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
-        key = hash(model)
-        if key not in _CODECS:
-            _CODECS.clear()
-            _CODECS[key] = Codec(model)
-        codec = _CODECS[key]
-        store = _Store(codec)
-        from .words import pieces
-
-        for batch in pieces(batches, "text", 1_000_000):
+        os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
+        codec = _codec(model)
+        for batch in pieces(batches, "text", CALL):
             texts = batch.column("text").fill_null("").to_pylist()
-            cut = [codec.segments(t) for t in texts]
-            if len(store.number) > CACHE:
-                store.reset()
-            store.learn({s for c in cut for s in c})
-            starts = store.start
-            number = store.number
-            order = np.fromiter((number[s] for c in cut for s in c), dtype=np.int64)
-            text_first = np.concatenate([[0], np.cumsum([len(c) for c in cut])]).astype(np.int64)
-            ids = store.ids[ranges(starts[order], starts[order + 1])]
-            token_upto = np.concatenate([[0], np.cumsum(starts[order + 1] - starts[order])])
-            offsets = token_upto[text_first]
-            sizes = codec.byte_start[ids + 1] - codec.byte_start[ids]
-            byte_upto = np.concatenate([[0], np.cumsum(sizes)])
+            ours, theirs = codec.encode_texts(texts), codec.reference.encode(texts, num_threads=1)
+            parity = [a == b for a, b in zip(ours, theirs, strict=True)]
+            lists = pa.array(ours, pa.list_(pa.int32()))
+            del ours, theirs
+            offsets, ids = lists.offsets.to_numpy(), lists.values.to_numpy()
+            byte_upto = np.concatenate([[0], np.cumsum(codec.byte_start[ids + 1] - codec.byte_start[ids])])
             raw = codec.decode_bytes(ids)
-            same_upto = np.concatenate([[0], np.cumsum(~store.same[order])])
-            fallback = np.concatenate([[0], np.cumsum(codec.is_byte[ids])])
-            back, parity = [], []
-            for i, text in enumerate(texts):
-                a, b = byte_upto[offsets[i]], byte_upto[offsets[i + 1]]
+            fallback = np.concatenate([[0], np.cumsum(codec.is_byte[ids])])[offsets]
+            back, sizes = [], []
+            for text, a, b in zip(texts, byte_upto[offsets[:-1]], byte_upto[offsets[1:]], strict=True):
                 a += bool(codec.prefix and b > a and raw[a] == 32)
-                back.append(raw[a:b].tobytes() == text.encode())
-                parity.append(bool(same_upto[text_first[i]] == same_upto[text_first[i + 1]]))
-            n = np.diff(offsets)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids)),
-                    pa.array(n),
-                    pa.array([len(t.encode()) for t in texts], pa.int64()),
-                    pa.array(fallback[offsets[1:]] - fallback[offsets[:-1]]),
-                    pa.array(parity),
-                    pa.array(back),
-                ],
-                names=[keep, "ids", "n_tokens", "n_bytes", "n_fallback", "parity", "roundtrip"],
-            )
-
-    return run
+                plain = text.encode()
+                sizes.append(len(plain))
+                back.append(raw[a:b].tobytes() == plain)
+            columns = [lists, pa.array(np.diff(offsets).astype(np.int64)), pa.array(sizes, pa.int64()), pa.array(np.diff(fallback).astype(np.int64)), pa.array(parity), pa.array(back)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "ids", "n_tokens", "n_bytes", "n_fallback", "parity", "roundtrip"])
+
+    return lean(run)
 
 
 def read_model(path: str = MODEL) -> bytes:
@@ -231,14 +212,14 @@ def encode(documents: DataFrame, model: bytes) -> DataFrame:
     small_batches(documents.sparkSession)
     rows = documents.select("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_encoder(model, "doc_id"), f"doc_id {kind}, {_ENCODED}")
+    return rows.mapInArrow(_encoder(model), f"doc_id {kind}, {_ENCODED}")
 
 
 def decode(encoded: DataFrame, model: bytes) -> DataFrame:
     """doc_id and text for rows of (doc_id, ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model)
+        codec = _codec(model)
         for batch in batches:
             texts = [codec.decode(x or []) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])

@@ -257,6 +257,62 @@ def test_unigram_models_are_rebuilt():
         assert codec.encode(t) == codec.reference.encode(t)
 
 
+def altered(change):
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    m = proto.ModelProto()
+    m.ParseFromString(sentencepiece_codec.read_model())
+    change(m)
+    return sentencepiece_codec.Codec(m.SerializeToString())
+
+
+BLANKS = ["\ta  b\n", "x\n", "\n\n", "  lead and trail  ", " ", "   ", "", "a \t b", "▁ a", "one two"]
+
+
+def test_other_normalisers_have_parity():
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    def squeeze(m):
+        m.normalizer_spec.remove_extra_whitespaces = True
+
+    def mapped(m):
+        squeeze(m)
+        spec = proto.NormalizerSpec.FromString(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_normalizer_spec())
+        m.normalizer_spec.precompiled_charsmap = spec.precompiled_charsmap
+
+    def bare(m):
+        m.normalizer_spec.add_dummy_prefix = False
+
+    for change in (squeeze, mapped, bare):
+        codec = altered(change)
+        for t in [*BLANKS, "ﬁne ① ｆｕｌｌ"]:
+            assert codec.encode(t) == codec.reference.encode(t), (change.__name__, t)
+
+
+def test_user_defined_pieces_stay_whole():
+    def define(m):
+        next(p for p in m.pieces if p.piece == "qu").type = 4
+        for name in ("<mask>", "<mask>x"):
+            piece = m.pieces.add()
+            piece.piece, piece.score, piece.type = name, 0.0, 4
+
+    codec = altered(define)
+    for t in [*BLANKS, "the <mask> quick", "<mask>x<mask>", "queue qu", "a<mask> b"]:
+        assert codec.encode(t) == codec.reference.encode(t), t
+
+
+def test_long_texts_are_cut_where_parts_do_not_meet(spark):
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.read_model())
+    unbroken = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(1_000_000))
+    for t in [("word  " * 20_000) + unbroken[:50_000] + " tail " * 9_000, " " * 70_000, "a" + " " * 40_000 + "b " * 30_000]:
+        assert len(codec.parts(t)) >= 1 and codec.encode(t) == codec.reference.encode(t)
+    assert len(codec.parts("word " * 20_000)) > 2
+    frame = spark.createDataFrame([(1, unbroken), (2, None)], "doc_id int, text string")
+    rows = {r["doc_id"]: r for r in sentencepiece_codec.encode(frame, sentencepiece_codec.read_model()).drop("ids").collect()}
+    assert rows[1]["parity"] and rows[1]["roundtrip"] and rows[1]["n_bytes"] == 1_000_000 and rows[2]["n_tokens"] == 0
+
+
 def brute_classes(docs):
     sets = {}
     for i, t in docs:
