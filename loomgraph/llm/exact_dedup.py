@@ -6,13 +6,14 @@ space; a null text counts as empty.  The digest is the SHA-256 of that normalise
 Spark deals the work out twice.  Each input partition keeps its own index and sends one entry per
 live digest on (pre-aggregation: a group of copies, however hot, leaves a partition as one row).
 Entries are then dealt by digest, sorted, and a second round of indexes merges them.  An index of
-``FULL`` digests is sent on and begun anew, so memory is bounded whatever a partition holds; an
-executor's loss only repeats its partitions.
+``FULL`` live digests sends on and deletes those that it has met only once, or all if most have copies, so memory is
+bounded whatever a partition holds, and hot groups stay; an executor's loss only repeats its partitions.
 
 Defined cases: an empty table gives an empty result; rows that repeat both doc_id and text are one
-document's repeats, the smallest row tag stays; a null doc_id sorts after every other id; extra
-columns are left alone, names such as ``digest`` or ``kept`` in the input do not clash because only
-(doc_id, text) enter the index.
+document's repeats, the smallest row tag stays; a null doc_id sorts after every other id; ids may be of
+any type that can be ordered; extra columns are left alone, names such as ``digest`` or ``kept`` in the
+input do not clash because only (doc_id, text) enter the index.  When copies are dropped, rows that
+repeat both doc_id and text become one.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import Scratch, join_weighed, lean, row_key
 
 SLOTS = 4
 #: Live digests that one index holds at most.
@@ -142,38 +143,45 @@ class CuckooIndex:
                 yield key, value[0], value[1]
 
 
-_ENTRY = "digest binary, keep_id bigint, keep_tag bigint, group_size bigint"
-
-
-def _live_rows(index: CuckooIndex) -> Iterator[pa.RecordBatch]:
-    rows = list(index.live())
-    for at in range(0, len(rows), 50_000):
-        part = rows[at : at + 50_000]
+def _live_rows(live: list[tuple[bytes, tuple, int]], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(live), 50_000):
+        part = live[at : at + 50_000]
         yield pa.RecordBatch.from_pydict(
             {
                 "digest": pa.array([d for d, _, _ in part], pa.binary()),
-                "keep_id": pa.array([None if o[0] else o[1] for _, o, _ in part], pa.int64()),
+                "keep_id": pa.array([None if o[0] else o[1] for _, o, _ in part], kind),
                 "keep_tag": pa.array([o[2] for _, o, _ in part], pa.int64()),
                 "group_size": pa.array([n for _, _, n in part], pa.int64()),
             }
         )
 
 
+def _evicted(index: CuckooIndex) -> list[tuple[bytes, tuple, int]]:
+    """Deletes from a full index what it has met once, or everything if that is less than half of it."""
+    live = list(index.live())
+    once = [x for x in live if x[2] == 1]
+    gone = once if 2 * len(once) >= len(live) else live
+    for digest, _, _ in gone:
+        index.delete(digest)
+    return gone
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One entry per live digest; a full index is sent on between two digests, and a fresh one begins.
+    """One entry per live digest; a full index sends on what it deletes between two digests.
 
-    Of unsorted input a digest may then be sent more than once; sorted input gives each exactly once.
+    Of unsorted input a digest may then be sent more than once; sorted input gives each exactly once, as a
+    deleted digest doesn't come again.
     """
-    index, last = CuckooIndex(), None
+    index, last, kind = CuckooIndex(), None, pa.int64()
     for batch in batches:
-        # A null id sorts last: (1, 0) after every (0, id).
+        kind = batch.schema.field("keep_id").type
+        # A null id sorts last: (True, ...) after every (False, id).
         for digest, doc_id, tag, count in zip(*(batch.column(c).to_pylist() for c in ("digest", "keep_id", "keep_tag", "group_size")), strict=True):
             if digest != last and len(index) >= FULL:
-                yield from _live_rows(index)
-                index = CuckooIndex()
-            index.add(digest, (doc_id is None, doc_id or 0, tag), count)
+                yield from _live_rows(_evicted(index), kind)
+            index.add(digest, (doc_id is None, 0 if doc_id is None else doc_id, tag), count)
             last = digest
-    yield from _live_rows(index)
+    yield from _live_rows(list(index.live()), kind)
 
 
 def digest_of(text: Column) -> Column:
@@ -184,18 +192,21 @@ def digest_of(text: Column) -> Column:
 def live_digests(rows: DataFrame) -> DataFrame:
     """(digest, keep_id, keep_tag, group_size) of each live digest of ``rows`` (doc_id, digest, tag)."""
     entries = rows.select("digest", F.col("doc_id").alias("keep_id"), F.col("tag").alias("keep_tag"), F.lit(1).cast("bigint").alias("group_size"))
-    local = entries.mapInArrow(_merge, _ENTRY)
-    return local.repartition("digest").sortWithinPartitions("digest").mapInArrow(_merge, _ENTRY)
+    kind = f"digest binary, keep_id {entries.schema['keep_id'].dataType.simpleString()}, keep_tag bigint, group_size bigint"
+    local = entries.mapInArrow(lean(_merge), kind)
+    return local.repartition("digest").sortWithinPartitions("digest").mapInArrow(lean(_merge), kind)
+
+
+def _digests(documents: DataFrame, scratch: Scratch) -> DataFrame:
+    return scratch.store(documents.select("doc_id", digest_of(F.col("text")).alias("digest"), F.monotonically_increasing_id().alias("tag")), "digests")
 
 
 def find_copies(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    rows = stored(
-        documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), digest_of(F.col("text")).alias("digest"), F.monotonically_increasing_id().alias("tag")),
-        "digests",
-    )
-    joined = rows.join(live_digests(rows), "digest")
-    return joined.select(
+    scratch = Scratch(documents.sparkSession)
+    rows = _digests(documents, scratch)
+    live = scratch.store(live_digests(rows), "live-digests")
+    return join_weighed(rows, live, "digest", "group_size").select(
         "doc_id",
         "keep_id",
         "group_size",
@@ -207,9 +218,12 @@ def find_copies(documents: DataFrame) -> DataFrame:
 def drop_copies(documents: DataFrame) -> DataFrame:
     """``documents`` without later copies; columns as they came.
 
-    The kept (doc_id, digest) pairs are joined back; rows that repeat such a pair shrink to one.
+    Texts are shuffled once, by what tells rows of different (doc_id, digest) apart: rows that repeat both meet on
+    the map side already, and the others of a group of copies go to as many places as they have ids.
     """
-    kept = find_copies(documents).filter("kept").select(F.col("doc_id").alias("__keep_id"), F.unhex("text_sha256").alias("__keep_digest"))
-    tagged = documents.withColumn("__digest", digest_of(F.col("text"))).withColumn("__id", F.col("doc_id").cast("bigint"))
-    stay = tagged.join(kept, F.col("__id").eqNullSafe(F.col("__keep_id")) & (F.col("__digest") == F.col("__keep_digest")), "left_semi")
-    return stay.dropDuplicates(["__id", "__digest"]).drop("__id", "__digest")
+    scratch = Scratch(documents.sparkSession)
+    live = scratch.store(live_digests(_digests(documents, scratch)), "live-digests")
+    scratch.keep(live)
+    kept = live.select(row_key(F.col("keep_id"), F.hex("digest")).alias("__key"))
+    rows = documents.withColumn("__key", row_key(F.col("doc_id"), F.hex(digest_of(F.col("text"))))).dropDuplicates(["__key"])
+    return rows.join(kept.hint("merge"), "__key", "left_semi").select(*documents.columns)

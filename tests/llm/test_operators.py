@@ -515,9 +515,20 @@ def test_exact_dedup(spark, odd, none):
 def test_full_indexes_are_sent_on(monkeypatch):
     monkeypatch.setattr(exact_dedup, "FULL", 3)
     keys = sorted(bytes([i]) * 32 for i in range(10) for _ in range(1 + i % 3))
-    batch = pa.RecordBatch.from_pydict({"digest": pa.array(keys, pa.binary()), "keep_id": list(range(len(keys))), "keep_tag": [0] * len(keys), "group_size": [1] * len(keys)})
-    got = [r for b in exact_dedup._merge(iter([batch])) for r in b.to_pylist()]
-    assert len(got) == 10 and sum(r["group_size"] for r in got) == len(keys) and {r["digest"] for r in got} == set(keys)
+    mixed = [keys[(7 * i) % len(keys)] for i in range(len(keys))]
+    for given in (keys, mixed):
+        batch = pa.RecordBatch.from_pydict({"digest": pa.array(given, pa.binary()), "keep_id": list(range(len(keys))), "keep_tag": [0] * len(keys), "group_size": [1] * len(keys)})
+        got = [r for b in exact_dedup._merge(iter([batch])) for r in b.to_pylist()]
+        assert sum(r["group_size"] for r in got) == len(keys) and {r["digest"] for r in got} == set(keys) and (given is mixed or len(got) == 10)
+
+
+def test_exact_dedup_of_string_ids(spark):
+    frame = spark.createDataFrame([("b", "x  y", 1), ("a", "x y", 2), (None, "x\ty", 3), ("c", None, 4), ("c", "", 5), (None, "z", 6), (None, "z", 6)], "doc_id string, text string, kept int")
+    rows = sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.find_copies(frame).collect()), key=repr)
+    want = [("b", "a", 3, False), ("a", "a", 3, True), (None, "a", 3, False), ("c", "c", 2, True), ("c", "c", 2, False), (None, None, 2, True), (None, None, 2, False)]
+    assert rows == sorted(want, key=repr)
+    left = exact_dedup.drop_copies(frame).collect()
+    assert len(left) == 3 and {(r["doc_id"], (r["text"] or "")) for r in left} == {("a", "x y"), ("c", ""), (None, "z")}
 
 
 def test_cuckoo_index_inserts_deletes_and_resizes():
