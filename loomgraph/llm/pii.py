@@ -1,8 +1,9 @@
 r"""Personal data by anchor expansion.
 
 An Aho-Corasick automaton finds anchors: at-signs, URL schemes and identifier cues.  Deterministic
-local parsers then expand each anchor to the left and right and validate what they find.  Digits
-anchor the numeric kinds.  Kinds, in the order in which equal starts are listed:
+local parsers then expand each anchor to the left and right and validate what they find.  Stretches of
+digits and what may stand between them anchor the numeric kinds, whose parsers read a stretch once, from
+left to right.  Kinds, in the order in which equal starts are listed:
 
 * ``email``: at-sign anchors, ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+``
 * ``ip``: four dotted numbers of at most 255
@@ -10,7 +11,10 @@ anchor the numeric kinds.  Kinds, in the order in which equal starts are listed:
 * ``phone``: a plus sign and 9 to 15 digits with blanks, dots, brackets and hyphens
 * ``url``: an address after ``http://``, ``https://``, ``ftp://`` or ``www.``, without closing punctuation
 * ``mailto``: the address after ``mailto:``
-* ``account``: the token after a cue such as ``user id``, ``account number`` or ``iban``, with a digit
+* ``account``: what follows a cue, up to its own end: after ``iban`` groups of letters and digits whose
+  checksum (mod 97) holds, after ``ssn`` nine digits whose parts may occur, else a token of 4 to 64
+  characters with a digit
+* ``secret``: a token of 16 characters or more with letters and digits after a cue such as ``token`` or ``password``
 * ``handle``: ``@name`` where no letter or digit comes before and no address is
 
 The first four follow their base patterns exactly (leftmost, not overlapping per kind, failing
@@ -33,29 +37,38 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import lean, small_batches
+from .words import pieces
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "url", "mailto", "account", "handle")
+KINDS = (*BASE, "url", "mailto", "account", "secret", "handle")
 _RANK = {kind: i for i, kind in enumerate(KINDS)}
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+#: A maximal run of what the numeric kinds are made of.
+_STRETCH = re.compile(r"[0-9+][\x20().0-9+-]*")
+#: From the first digit of a number only, and never giving a digit back: each number is read four times at most.
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGITS = re.compile(r"[^0-9]+")
 _URL_TAIL = re.compile(r"[^\s<>\"'`|\\^{}\[\]]+")
-_ID = re.compile(r"(?:\s*(?:is|no\.?|number|id|#|:|=))*\s*([A-Za-z0-9][A-Za-z0-9-]{3,33})", re.IGNORECASE)
-_HANDLE = re.compile(r"[A-Za-z0-9_]{2,30}")
+_GAP = re.compile(r"(?:\s{0,4}(?:is|no\.?|number|id|key|#|:|=))*\s{0,4}[\"'`]?", re.IGNORECASE)
+_TOKEN = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]*")
+_SECRET = re.compile(r"[A-Za-z0-9+/_=.~-]+")
+_GROUPS = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:[\x20-]?[A-Za-z0-9])*")
+_SSN = re.compile(r"([0-9]{3})([\x20-]?)([0-9]{2})\2([0-9]{4})(?![0-9A-Za-z])")
+_HANDLE = re.compile(r"[A-Za-z0-9_]{2,}")
 
 SCHEMES = ("http://", "https://", "ftp://", "www.")
-CUES = ("iban", "account number", "account no", "account:", "acct", "user id", "userid", "user:", "username", "login:", "ssn", "passport", "customer id", "member id")
+CUES = ("account number", "account no", "account:", "acct", "user id", "userid", "user:", "username", "login:", "passport", "customer id", "member id")
+SECRETS = ("token", "secret", "api key", "api_key", "apikey", "password", "passwd", "bearer")
 
 
 def _automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
-    for anchor, kind in [("@", "at"), ("mailto:", "mailto"), *((s, "url") for s in SCHEMES), *((c, "account") for c in CUES)]:
+    for anchor, kind in [("@", "at"), ("mailto:", "mailto"), *((s, "url") for s in SCHEMES), ("iban", "iban"), ("ssn", "ssn"), *((c, "account") for c in CUES), *((c, "secret") for c in SECRETS)]:
         found.add_word(anchor, (kind, len(anchor)))
     found.make_automaton()
     return found
@@ -78,24 +91,74 @@ def _lower_ascii(text: str) -> str:
 
 def _numbers(text: str) -> list[tuple[str, int, int]]:
     spans = []
-    for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
-            spans.append(("ip", m.start(), m.end()))
-    for m in _CARD.finditer(text):
-        digits = _NOT_DIGITS.sub("", m.group())
-        if 12 <= len(digits) <= 19 and _luhn(digits):
-            spans.append(("card", m.start(), m.end()))
-    if "+" in text:
-        for m in _PHONE.finditer(text):
-            if 9 <= len(_NOT_DIGITS.sub("", m.group())) <= 15:
-                spans.append(("phone", m.start(), m.end()))
+    for stretch in _STRETCH.finditer(text):
+        at, end = stretch.span()
+        if end - at < 7:  # the shortest is 1.1.1.1
+            continue
+        part = stretch.group()
+        if "." in part:
+            for m in _IP.finditer(part):
+                if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+                    spans.append(("ip", at + m.start(), at + m.end()))
+        for m in _CARD.finditer(part):
+            if m.end() - m.start() >= 12:
+                digits = _NOT_DIGITS.sub("", m.group())
+                if 12 <= len(digits) <= 19 and _luhn(digits):
+                    spans.append(("card", at + m.start(), at + m.end()))
+        if "+" in part:
+            for m in _PHONE.finditer(part):
+                if 9 <= len(_NOT_DIGITS.sub("", m.group())) <= 15:
+                    spans.append(("phone", at + m.start(), at + m.end()))
     return spans
 
 
+def _iban(text: str, at: int) -> int:
+    """The end of the longest account number at ``at`` that is whole groups and passes mod 97; 0 for none."""
+    m = _GROUPS.match(text, at)
+    if not m:
+        return 0
+    found, value, size = 0, "", 0
+    head = ""
+    for i in range(at, min(m.end(), at + 80)):
+        c = text[i].upper()
+        if not c.isalnum():
+            continue
+        size += 1
+        if size > 34:
+            break
+        digits = c if c.isdigit() else str(ord(c) - 55)
+        if size <= 4:
+            head += digits
+        else:
+            value += digits
+        whole = i + 1 == m.end() or text[i + 1] in " -"
+        if size >= 15 and whole and int(value + head) % 97 == 1:
+            found = i + 1
+    return found
+
+
+def _identifier(kind: str, text: str, cue_end: int) -> tuple[str, int, int] | None:
+    """What a cue announces, expanded to its boundary and validated."""
+    at = _GAP.match(text, cue_end).end()
+    if kind == "iban":
+        end = _iban(text, at)
+        return ("account", at, end) if end else None
+    if kind == "ssn":
+        m = _SSN.match(text, at)
+        fits = m and m[1] not in ("000", "666") and m[1][0] != "9" and m[3] != "00" and m[4] != "0000"
+        return ("account", at, m.end()) if fits else None
+    m = (_SECRET if kind == "secret" else _TOKEN).match(text, at)
+    token = m.group().rstrip("._-") if m else ""
+    if not any(c.isdigit() for c in token):
+        return None
+    fits = len(token) >= 16 and any(c.isalpha() for c in token) if kind == "secret" else 4 <= len(token) <= 64
+    return (kind, at, at + len(token)) if fits else None
+
+
 def spans_of(text: str, automaton: ahocorasick.Automaton, digits: bool = True) -> list[tuple[str, int, int]]:
     """All (kind, start, end) of a text, ordered by start, kind and end."""
     spans = _numbers(text) if digits else []
-    last = {"email": 0, "url": 0, "account": 0}
+    last = {"email": 0, "url": 0, "cue": 0}
     for end, (kind, length) in automaton.iter(_lower_ascii(text)):
         start, end = end + 1 - length, end + 1
         if kind == "at":
@@ -122,10 +185,9 @@ def spans_of(text: str, automaton: ahocorasick.Automaton, digits: bool = True) -
                 if stop > end:
                     spans.append(("url", start, stop))
                     last["url"] = stop
-        elif start >= last["account"] and (start == 0 or not text[start - 1].isalnum()) and (m := _ID.match(text, end)):
-            if any(c.isdigit() for c in m.group(1)):
-                spans.append(("account", m.start(1), m.end(1)))
-                last["account"] = m.end(1)
+        elif start >= last["cue"] and (start == 0 or not text[start - 1].isalnum()) and (span := _identifier(kind, text, end)):
+            spans.append(span)
+            last["cue"] = span[2]
     return sorted(spans, key=lambda s: (s[1], _RANK[s[0]], s[2]))
 
 
@@ -138,7 +200,7 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     automaton = _automaton()
-    for batch in batches:
+    for batch in pieces(batches, "text"):
         column = batch.column("text")
         # A text without digits can't hold the numeric kinds; one scan of the batch tells.
         has_digit = pc.match_substring_regex(column, "[0-9]").to_pylist()
@@ -158,7 +220,7 @@ def find_pii(documents: DataFrame) -> DataFrame:
     """doc_id, counts of the base kinds, n_added, base and spans (``kind:start:end``, comma-joined)."""
     small_batches(documents.sparkSession)
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(_find, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {_FOUND}")
+    return rows.mapInArrow(lean(_find), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {_FOUND}")
 
 
 def mask(text: str, spans: str) -> str:
@@ -173,7 +235,7 @@ def mask(text: str, spans: str) -> str:
 
 
 def digests(found: DataFrame) -> DataFrame:
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_added")
 
 
 __all__ = ["BASE", "KINDS", "digests", "find_pii", "mask", "spans_of"]

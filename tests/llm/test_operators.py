@@ -471,6 +471,30 @@ def test_pii(spark, odd, none):
     assert pii.digests(pii.find_pii(odd)).count() == len(ODD) and pii.find_pii(none).count() == 0
 
 
+def added(text):
+    return [(k, text[a:b]) for k, a, b in pii.spans_of(text, pii._automaton()) if k not in pii.BASE]
+
+
+def test_identifiers_end_at_their_own_boundary_and_are_validated():
+    assert added("IBAN: DE89 3704 0044 0532 0130 00 is ours") == [("account", "DE89 3704 0044 0532 0130 00")]
+    assert added("iban DE89370400440532013000.") == [("account", "DE89370400440532013000")]
+    assert added("IBAN: DE88 3704 0044 0532 0130 00") == [] and added("iban GB82-WEST-1234-5698-7654-32") == [("account", "GB82-WEST-1234-5698-7654-32")]
+    assert added("ssn 078-05-1120") == [("account", "078-05-1120")] and added("ssn 666-05-1120, ssn 078-00-1120") == []
+    assert added("user id: " + "a1" * 31) == [("account", "a1" * 31)] and added("user id: " + "a1" * 33) == [] and added("passport: none") == []
+    assert added('token = "11acdfb36bb72224148e6160f674b4be45601bff" x') == [("secret", "11acdfb36bb72224148e6160f674b4be45601bff")]
+    assert added("password is swordfish") == [] and added("hi @" + "n" * 45 + " @") == [("handle", "@" + "n" * 45)]
+
+
+@pytest.mark.parametrize("part", ["7", "1.", "1 ", "+1", "+1(", "a@", "www.", "iban ", "token=a1", "1.2.3.x", "12-", "@", "user id: "])
+def test_long_runs_are_read_once(part):
+    import time
+
+    automaton, text = pii._automaton(), part * (1_000_000 // len(part))
+    begun = time.process_time()
+    spans = pii.spans_of(text, automaton)
+    assert time.process_time() - begun < 8 and all(a < b for _, a, b in spans)
+
+
 def test_sharding(odd, none):
     rows = sharding.assign_shards(odd).collect()
     assert len(rows) == len(ODD)
