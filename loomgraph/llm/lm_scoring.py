@@ -3,9 +3,10 @@
 The target model is counted on the documents labelled as good, the background model on all
 documents.  Both are word bigram models over every word of the corpus, V in number:
 P(word | previous) = (n(previous, word) + S p(word)) / (n(previous) + S), where
-p(word) = (n(word) + 1) / (N + V) and S is ``SMOOTH_CLASS``; it sums to one over the V words.  No count is
+p(word) = (n(word) + 1) / (N + V) and S is ``SMOOTH``; it sums to one over the V words.  No count is
 left out and none is shared, so what is gathered grows with the corpus.  Background counts are scaled
-to the target's number of tokens, so the same smoothing weighs alike in both.
+to the target's number of tokens, so the same smoothing weighs alike in both.  A document is scored by the
+counts of all others: its own are taken off both models, so a target document doesn't vouch for itself.
 
 A document's losses are the mean negative log probabilities (nats) of its tokens under each model;
 ``score`` is target loss minus background loss, the mean of the per-token differences: low scores
@@ -18,10 +19,6 @@ one block from each chunk (so the commonest bigram stands in a block once, howev
 answers each chunk with the totals of the keys it asked for, in their order.  The chunk then scores its
 texts.  Nothing but the number of bytes reaches the driver, and nothing is broadcast.
 
-With ``size`` given, ``score`` uses class bigrams of a fixed size instead: the ``size`` most frequent words,
-everything else being one unknown word, in ``classes`` classes by rank, and
-P(class | class of previous) P(word | class).  The registered query doesn't use them.
-
 Defined cases: words as in ``words`` (a null or empty text has none, its losses and score are null);
 several labels of one document make it a target if any does; without target tokens both models
 smooth to the same uniform shape for the target; repeated rows count as often as they stand (rows of
@@ -32,7 +29,6 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -43,182 +39,10 @@ from pyspark.sql import functions as F
 from .common import small_batches
 from .words import Words, mix, pieces
 
-#: Classes of the models of fixed size.
-CLASSES = 512
 #: Bytes of text that one task counts and scores together.
 CHUNK = 12_000_000
-#: Weight, in tokens, of the class distribution in each bigram row, and of the uniform one in a class.
-SMOOTH_CLASS, SMOOTH_WORD = 50.0, 0.1
-
-
-@dataclass(frozen=True)
-class Vocabulary:
-    """Words as sorted hashes with their ids; id 0 is unknown, id r+1 the word of rank r."""
-
-    hashes: np.ndarray
-    ids: np.ndarray
-    classes: int
-
-    @property
-    def size(self) -> int:
-        return len(self.hashes) + 1
-
-    def word_ids(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.zeros(len(hashes), dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.ids[at], 0)
-
-    def class_of(self) -> np.ndarray:
-        """The class of each word id: 0 unknown, then one class a word, then shared classes."""
-        ids, own = np.arange(self.size), self.classes // 2
-        return np.where(ids < own, ids, own + (ids - own) % (self.classes - own))
-
-
-def count_words(documents: DataFrame) -> DataFrame:
-    """(hash, n) of every word of ``documents``."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, waiting = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            all_keys = np.concatenate([keys, *[k for k, _ in waiting]])
-            all_counts = np.concatenate([counts, *[c for _, c in waiting]])
-            found, inverse = np.unique(all_keys, return_inverse=True)
-            return found, np.bincount(inverse, weights=all_counts, minlength=len(found)).astype(np.int64)
-
-        def batch_of(k: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c)], names=["hash", "n"])
-
-        for part in pieces(batches, "text"):
-            waiting.append(np.unique(Words(part.column("text")).hash, return_counts=True))
-            if sum(len(k) for k, _ in waiting) > 1_000_000:
-                keys, counts = merged()
-                waiting = []
-                if len(keys) > 1_000_000:  # what a task holds stays bounded; the shuffle adds up the rest
-                    yield batch_of(keys, counts)
-                    keys, counts = keys[:0], counts[:0]
-        keys, counts = merged()
-        for at in range(0, len(keys), 200_000):
-            yield batch_of(keys[at : at + 200_000], counts[at : at + 200_000])
-
-    local = documents.select("text").mapInArrow(count, "hash bigint, n bigint")
-    return local.groupBy("hash").agg(F.sum("n").alias("n"))
-
-
-def vocabulary(documents: DataFrame, size: int, classes: int = CLASSES) -> Vocabulary:
-    """The ``size`` most frequent words (ties by hash); at most that many rows reach the driver."""
-    top = count_words(documents).orderBy(F.col("n").desc(), "hash").limit(size).select("hash").toArrow().column("hash").to_numpy()
-    hashes = top.view(np.uint64)
-    order = np.argsort(hashes)
-    return Vocabulary(hashes[order], (order + 1).astype(np.int64), classes)
-
-
-def _tokens(words: Words, vocabulary: Vocabulary, class_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word ids, bigram cells (previous class times classes plus class) and text numbers of all tokens."""
-    ids = vocabulary.word_ids(words.hash)
-    now = class_of[ids]
-    before = np.empty_like(now)
-    before[1:] = now[:-1]
-    before[words.first[:-1][words.count > 0]] = vocabulary.classes  # the start of a text
-    return ids, before * vocabulary.classes + now, words.text_of_word()
-
-
-def word_id_rows(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """doc_id and the word ids of each text as packed integers: a third of the text's size, for the shuffle."""
-    width = np.uint16 if vocabulary.size <= 1 << 16 else np.uint32
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches, "text"):
-            words = Words(part.column("text"))
-            ids = vocabulary.word_ids(words.hash).astype(width)
-            rows = [ids[a:b].tobytes() for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rows, pa.binary())], names=["doc_id", "ids"])
-
-    return documents.select("doc_id", "text").mapInArrow(pack, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, ids binary")
-
-
-def _counts(marked: DataFrame, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
-    """Word and bigram counts of target (``good``) and all rows (ids, good), as dense arrays."""
-    class_of, classes = vocabulary.class_of(), vocabulary.classes
-    sizes = {"word": vocabulary.size, "pair": (classes + 1) * classes}
-    width = np.uint16 if vocabulary.size <= 1 << 16 else np.uint32
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {(kind, good): np.zeros(n, dtype=np.int64) for kind, n in sizes.items() for good in (0, 1)}
-        for batch in batches:
-            for part in pieces(iter([batch]), "ids"):
-                for good in (False, True):
-                    chosen = part.filter(part.column("good")) if good else part
-                    texts = [np.frombuffer(x, dtype=width) for x in chosen.column("ids").to_pylist() if x]
-                    if not texts:
-                        continue
-                    ids = np.concatenate(texts).astype(np.int64)
-                    now = class_of[ids]
-                    before = np.empty_like(now)
-                    before[1:] = now[:-1]
-                    before[np.cumsum([0, *[len(x) for x in texts[:-1]]])] = classes
-                    for kind, keys in (("word", ids), ("pair", before * classes + now)):
-                        total[kind, int(good)] += np.bincount(keys, minlength=sizes[kind])
-        for kind in sizes:
-            some = np.flatnonzero(total[kind, 0])
-            for at in range(0, len(some), 100_000):
-                keys = some[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([kind] * len(keys)), pa.array(keys), pa.array(total[kind, 0][keys]), pa.array(total[kind, 1][keys])], names=["kind", "key", "n", "good"]
-                )
-
-    rows = marked.select("ids", "good").mapInArrow(count, "kind string, key bigint, n bigint, good bigint")
-    # One row per cell at most: bounded by vocabulary and classes.
-    table = rows.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).toArrow()
-    out, kinds = {}, table.column("kind").to_numpy(zero_copy_only=False)
-    for kind, size in sizes.items():
-        mine = kinds == kind
-        for name in ("n", "good"):
-            out[kind, name] = np.zeros(size)
-            out[kind, name][table.column("key").to_numpy()[mine]] = table.column(name).to_numpy()[mine]
-    return out
-
-
-def model(words: np.ndarray, pairs: np.ndarray, class_of: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Log probabilities: of a word within its class, and of a class after each class (flat)."""
-    in_class = np.bincount(class_of, weights=words, minlength=classes)
-    members = np.bincount(class_of, minlength=classes)
-    word = np.log(words + SMOOTH_WORD) - np.log((in_class + SMOOTH_WORD * members)[class_of])
-    some = members > 0
-    prior = np.where(some, in_class + 1, 0) / (in_class.sum() + some.sum())
-    rows = pairs.reshape(classes + 1, classes)
-    with np.errstate(divide="ignore"):
-        pair = np.log((rows + SMOOTH_CLASS * prior) / (rows.sum(axis=1, keepdims=True) + SMOOTH_CLASS))
-    return word, pair.ravel()
-
-
-def _class_scored(rows: DataFrame, labels: DataFrame, size: int, classes: int) -> DataFrame:
-    shared = vocabulary(rows, size, classes)
-    good = labels.filter(F.col("quality") == 1).select(F.col("doc_id").alias("good_id")).distinct().withColumn("good", F.lit(True))
-    # The labels grow with the corpus, so both sides are shuffled at every size; texts go as word ids.
-    marked = word_id_rows(rows, shared).join(good.hint("merge"), F.col("doc_id") == F.col("good_id"), "left").select("ids", F.coalesce("good", F.lit(False)).alias("good"))
-    n = _counts(marked, shared)
-    class_of = shared.class_of()
-    scale = n["word", "good"].sum() / max(1.0, n["word", "n"].sum())
-    target = model(n["word", "good"], n["pair", "good"], class_of, classes)
-    background = model(n["word", "n"] * scale, n["pair", "n"] * scale, class_of, classes)
-
-    def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches, "text"):
-            words = Words(part.column("text"))
-            ids, pairs, owner = _tokens(words, shared, class_of)
-            count = words.count
-            out = []
-            for word, pair in (target, background):
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    out.append(-np.bincount(owner, weights=word[ids] + pair[pairs], minlength=len(count)) / count)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(count.astype(np.int64)), *[pa.array(x, mask=count == 0) for x in out]], names=["doc_id", "n_tokens", "target_loss", "background_loss"]
-            )
-
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(losses, f"doc_id {kind}, n_tokens bigint, target_loss double, background_loss double")
+#: Weight, in tokens, of the words' own distribution after each word.
+SMOOTH = 50.0
 
 
 _WORD, _CONTEXT, _PAIR = (np.uint64(x) for x in range(3))
@@ -231,22 +55,34 @@ def _key(hashes: np.ndarray, kind: np.uint64) -> np.ndarray:
 
 
 def _pack(counts: np.ndarray) -> bytes:
-    width = np.min_scalar_type(int(counts.max())) if len(counts) else np.uint8
-    return counts.astype(width).tobytes()
+    width = np.min_scalar_type(int(counts.max())) if len(counts) else np.dtype(np.uint8)
+    return _squeezed(counts.astype(width).tobytes())
 
 
 def _pack_keys(keys: np.ndarray) -> bytes:
     """Sorted keys as their differences, byte plane by byte plane: the upper planes compress to nothing."""
-    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return _squeezed(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def _squeezed(raw: bytes) -> bytes:
+    """Length and zstd: most counts are 0 or 1."""
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _loose(packed: bytes) -> pa.Buffer:
+    return pa.decompress(memoryview(packed)[8:], decompressed_size=int.from_bytes(packed[:8], "little"), codec="zstd")
 
 
 def _unpack_keys(packed: bytes) -> np.ndarray:
-    planes = np.frombuffer(packed, dtype=np.uint8).reshape(8, -1)
+    planes = np.frombuffer(_loose(packed), dtype=np.uint8).reshape(8, -1)
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
 def _unpack(packed: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(packed, dtype=f"u{len(packed) // n}").astype(np.float64) if n else np.zeros(0)
+    if not n:
+        return np.zeros(0)
+    raw = _loose(packed)
+    return np.frombuffer(raw, dtype=f"u{raw.size // n}").astype(np.float64)
 
 
 class Grams:
@@ -280,6 +116,12 @@ class Grams:
         """How often each key occurs among the tokens, or among those of weight 1."""
         return sum(np.bincount(x, weights=weights, minlength=len(self.keys)) for x in (self.word, self.context, self.pair)).astype(np.int64)
 
+    def own(self, places: np.ndarray) -> np.ndarray:
+        """Of each token, how often its text has what stands at its place (of words, contexts or bigrams)."""
+        owner = np.repeat(np.arange(len(self.count)), self.count)
+        _, inverse, counts = np.unique(owner * len(self.keys) + places, return_inverse=True, return_counts=True)
+        return counts[inverse]
+
     def cuts(self, ranges: int) -> np.ndarray:
         """Where each of the equal ranges of keys begins, and the end."""
         firsts = np.array([(i << 64) // ranges for i in range(ranges)], dtype=np.uint64)
@@ -322,16 +164,24 @@ def _add_range(blocks: pa.Table) -> pa.Table:
 
 def _score_chunk(ranges: int):
     def losses(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        grams, answers = Grams(texts), answers.sort_by("range")
+        good = answers.filter(pc.field("range") == -1)
+        grams, answers = Grams(texts), answers.filter(pc.field("range") >= 0).sort_by("range")
         cuts = grams.cuts(ranges)
         vocabulary, tokens, good_tokens = (sum(answers.column(x).to_pylist()) for x in ("words", "tokens", "good_tokens"))
-        owner, out = np.repeat(np.arange(len(grams.count)), grams.count), []
-        for name, scale, size in (("good", 1.0, good_tokens), ("n", good_tokens / max(1, tokens), good_tokens)):
-            n = np.concatenate([_unpack(x, b - a) for x, a, b in zip(answers.column(name).to_pylist(), cuts[:-1], cuts[1:], strict=True)]) * scale
-            prior = (n[grams.word] + 1) / (size + vocabulary)
-            log = np.log((n[grams.pair] + SMOOTH_CLASS * prior) / (n[grams.context] + SMOOTH_CLASS))
-            with np.errstate(invalid="ignore", divide="ignore"):
-                out.append(-np.bincount(owner, weights=log, minlength=len(grams.count)) / grams.count)
+        owner = np.repeat(np.arange(len(grams.count)), grams.count)
+        chosen = pc.is_in(texts.column("doc_id"), value_set=good.column("doc_id").combine_chunks()).to_numpy()
+        total = {name: np.concatenate([_unpack(x, b - a) for x, a, b in zip(answers.column(name).to_pylist(), cuts[:-1], cuts[1:], strict=True)]) for name in ("good", "n")}
+        sums = {name: np.zeros(len(grams.count)) for name in total}
+        own = {kind: grams.own(place) for kind, place in (("word", grams.word), ("context", grams.context), ("pair", grams.pair))}
+        for name, scale, size in (("good", 1.0, good_tokens), ("n", good_tokens / max(1, tokens), tokens)):
+            # What the text itself was counted for goes: always from the background, from the target if it is one.
+            share = chosen.astype(float) if name == "good" else np.ones(len(chosen))
+            weight = share[owner]
+            word, context, pair = ((total[name][place] - weight * own[kind]) * scale for kind, place in (("word", grams.word), ("context", grams.context), ("pair", grams.pair)))
+            prior = (word + 1) / ((size - share * grams.count)[owner] * scale + vocabulary)
+            sums[name] = np.bincount(owner, weights=np.log((pair + SMOOTH * prior) / (context + SMOOTH)), minlength=len(grams.count))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            out = [-sums[name] / grams.count for name in ("good", "n")]
         mask = grams.count == 0
         return pa.table([texts.column("doc_id"), pa.array(grams.count.astype(np.int64)), *[pa.array(x, mask=mask) for x in out]], names=["doc_id", "n_tokens", "target_loss", "background_loss"])
 
@@ -345,18 +195,19 @@ def _scored(documents: DataFrame, labels: DataFrame, chunk: int) -> DataFrame:
     dealt = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(chunks)).alias("chunk")
     texts = documents.select("doc_id", "text", dealt).groupBy("chunk")
     good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").try_cast(kind).alias("doc_id"), F.lit("").alias("text"))
-    good = good.select("doc_id", dealt).distinct().groupBy("chunk")
-    blocks = texts.cogroup(good).applyInArrow(_count_chunk(chunks), "range bigint, chunk bigint, keys binary, n binary, good binary")
+    good = good.select("doc_id", dealt).distinct()
+    blocks = texts.cogroup(good.groupBy("chunk")).applyInArrow(_count_chunk(chunks), "range bigint, chunk bigint, keys binary, n binary, good binary")
     answers = blocks.groupBy("range").applyInArrow(_add_range, "chunk bigint, range bigint, n binary, good binary, words bigint, tokens bigint, good_tokens bigint")
+    # The target's ids go along with the answers, under range -1.
+    answers = answers.unionByName(good.select("chunk", F.lit(-1).cast("bigint").alias("range"), "doc_id"), allowMissingColumns=True)
     return texts.cogroup(answers.groupBy("chunk")).applyInArrow(_score_chunk(chunks), f"doc_id {kind}, n_tokens bigint, target_loss double, background_loss double")
 
 
-def score(documents: DataFrame, labels: DataFrame, size: int | None = None, classes: int = CLASSES, chunk: int = CHUNK) -> DataFrame:
+def score(documents: DataFrame, labels: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score for every row of ``documents``.
 
     ``labels`` has doc_id and quality; quality 1 marks the target's documents.
     """
     small_batches(documents.sparkSession)
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    scored = _scored(rows, labels, chunk) if size is None else _class_scored(rows, labels, size, classes)
-    return scored.withColumn("score", F.col("target_loss") - F.col("background_loss"))
+    return _scored(rows, labels, chunk).withColumn("score", F.col("target_loss") - F.col("background_loss"))

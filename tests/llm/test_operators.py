@@ -136,57 +136,7 @@ def test_line_dedup(spark, odd, none):
     assert None in texts[1] and texts[11] == ["a b c ", "a b c "] and texts[13] == ["x\ny"]
 
 
-def test_lm_scoring_matches_brute_force(spark, odd, none):
-    docs = [(i, f"alpha beta {'gamma delta' if i % 2 else 'noise chatter junk'} alpha w{i % 5}") for i in range(40)] + [(100, None), (101, "")]
-    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
-    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 40)] + [(1, None), (None, 1), (3, 1)], "doc_id bigint, quality int")
-    got = {r["doc_id"]: r for r in lm_scoring.score(frame, labels, size=6, classes=4).collect()}
-    assert got[100]["score"] is None and got[101]["n_tokens"] == 0
-    assert max(got[i]["score"] for i in range(1, 40, 2)) < min(got[i]["score"] for i in range(0, 40, 2))
-    # Brute force with dictionaries.
-    hash_of = {w: int(Words(pa.array([w])).hash[0]) for _, t in docs for w in words(t)}
-    count = collections.Counter(w for _, t in docs for w in words(t))
-    top = sorted(count, key=lambda w: (-count[w], np.uint64(hash_of[w]).astype(np.int64)))[:6]
-    ids = {w: r + 1 for r, w in enumerate(top)}
-    cls = lambda x: x if x < 2 else 2 + (x - 2) % 2
-    members = collections.Counter(cls(x) for x in range(7))
-
-    def counts(chosen):
-        one, two = collections.Counter(), collections.Counter()
-        for _, t in chosen:
-            before = 4
-            for w in words(t):
-                one[ids.get(w, 0)] += 1
-                two[before, cls(ids.get(w, 0))] += 1
-                before = cls(ids.get(w, 0))
-        return one, two
-
-    good, every = counts([d for d in docs if d[0] < 40 and d[0] % 2]), counts(docs)
-    scale = sum(good[0].values()) / sum(every[0].values())
-
-    def loss(t, one, two, k):
-        in_class = collections.Counter()
-        for x, n in one.items():
-            in_class[cls(x)] += n * k
-        total, before = 0.0, 4
-        for w in words(t):
-            x = ids.get(w, 0)
-            c = cls(x)
-            prior = (in_class[c] + 1) / (sum(in_class.values()) + len(members))
-            row = sum(n * k for (a, _), n in two.items() if a == before)
-            total -= math.log((two[before, c] * k + lm_scoring.SMOOTH_CLASS * prior) / (row + lm_scoring.SMOOTH_CLASS))
-            total -= math.log((one[x] * k + lm_scoring.SMOOTH_WORD) / (in_class[c] + lm_scoring.SMOOTH_WORD * members[c]))
-            before = c
-        return total / len(words(t))
-
-    for i, t in docs[:8]:
-        assert got[i]["target_loss"] == pytest.approx(loss(t, *good, 1), abs=1e-9)
-        assert got[i]["background_loss"] == pytest.approx(loss(t, *every, scale), abs=1e-9)
-    assert lm_scoring.score(odd, labels).count() == len(ODD) and lm_scoring.score(none, labels).count() == 0
-    assert lm_scoring.score(odd, labels.limit(0)).filter("isnan(score)").count() == 0
-
-
-def test_lm_scoring_counts_every_word_and_bigram(spark, odd):
+def test_lm_scoring_counts_every_word_and_bigram(spark, odd, none):
     # 66,000 words that are more frequent than the last four: a capped vocabulary can't tell those apart.
     docs = [(i, " ".join(f"v{k}" for k in range(i % 2 * 33_000, i % 2 * 33_000 + 33_000))) for i in range(6)]
     docs += [(10, "ra rb ra rb v7"), (11, "rc rd rc v9 rd"), (12, "ra rb v7 rc"), (13, None), (14, "v1"), (None, "rb rd")]
@@ -203,24 +153,29 @@ def test_lm_scoring_counts_every_word_and_bigram(spark, odd):
             context.update(["", *w][: len(w)])
         return one, two, context
 
-    good, every = counts([d for d in docs if d[0] in (1, 10)]), counts(docs)
-    tokens = sum(good[0].values())
+    target = [d for d in docs if d[0] in (1, 10)]
+    vocabulary = len(counts(docs)[0])
+    scale = sum(counts(target)[0].values()) / sum(counts(docs)[0].values())
 
     def loss(t, model, k):
         one, two, context = model
-        w, s = words(t), lm_scoring.SMOOTH_CLASS
-        p = [(two[a, b] * k + s * (one[b] * k + 1) / (tokens + len(every[0]))) / (context[a] * k + s) for a, b in zip(["", *w], w, strict=False)]
+        w, s = words(t), lm_scoring.SMOOTH
+        tokens = sum(one.values()) * k
+        p = [(two[a, b] * k + s * (one[b] * k + 1) / (tokens + vocabulary)) / (context[a] * k + s) for a, b in zip(["", *w], w, strict=False)]
         return -sum(map(math.log, p)) / len(w)
 
-    for i, t in docs:
+    for d in docs:
+        i, t = d
         assert many[i]["n_tokens"] == few[i]["n_tokens"] == len(words(t))
         for got in (many[i], few[i]):
             if t:
-                assert got["target_loss"] == pytest.approx(loss(t, good, 1), abs=1e-9)
-                assert got["background_loss"] == pytest.approx(loss(t, every, tokens / sum(every[0].values())), abs=1e-9)
+                # The models of all other documents.
+                assert got["target_loss"] == pytest.approx(loss(t, counts([x for x in target if x is not d]), 1), abs=1e-9)
+                assert got["background_loss"] == pytest.approx(loss(t, counts([x for x in docs if x is not d]), scale), abs=1e-9)
             else:
                 assert got["score"] is None
-    assert lm_scoring.score(odd, labels, chunk=2000).count() == len(ODD)
+    assert lm_scoring.score(odd, labels, chunk=2000).count() == len(ODD) and lm_scoring.score(none, labels).count() == 0
+    assert lm_scoring.score(odd, labels.limit(0)).filter("isnan(score)").count() == 0
 
 
 def test_sentencepiece_parity_and_round_trip(odd, none):
