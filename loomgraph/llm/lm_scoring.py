@@ -28,7 +28,6 @@ columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa

@@ -3,7 +3,7 @@
 Lexicon.  Words and word beginnings (4 to 8 characters) that toxic labelled documents hold far more
 often than clean ones, with their log odds as weights.  They are learned from a bounded sample of the
 labelled rows: the ``FIT_ROWS`` with the smallest id hashes, and never rows whose crc32(doc_id) mod 3
-is 1, which are held out.  At most ``LEXICON`` entries are kept.
+is 1, which are held out.  Every term that is frequent and telling enough in that sample is kept.
 
 Matching.  Each distinct word is looked up as it is, by its beginnings, and, if it or a word made by
 leaving out one of its letters is a lexicon word or one made so of it (true of all words one edit
@@ -35,11 +35,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import Scratch, lean, small_batches
 from .words import Words, pieces
 
 FIT_ROWS = 20_000
-LEXICON = 4_000
 MIN_DOCS = 3
 MIN_WEIGHT = 3.0
 CONTEXT = 60
@@ -49,7 +48,7 @@ PREFIXES = range(4, 9)
 CUT = 0.7
 FEATURES = 5
 #: Bytes of text whose different words are looked up together.
-PIECE = 2_000_000
+PIECE = 500_000
 
 
 class Trie:
@@ -249,20 +248,22 @@ def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tu
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int"))
     # The sample is bounded by ``fit_rows``, so it can be broadcast.
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample.withColumnRenamed("doc_id", "label_id")), F.col("doc_id") == F.col("label_id"))
-    texts = stored(texts.select("doc_id", "text", "toxic", "half"), "toxic-sample")
+    scratch = Scratch(documents.sparkSession)
+    texts = scratch.store(texts.select("doc_id", "text", "toxic", "half"), "toxic-sample")
     sizes = {(r["toxic"], r["half"]): float(r["count"]) for r in texts.groupBy("toxic", "half").count().collect()}
     t, c = np.array([sizes.get((1, h), 0.0) for h in (0, 1)]), np.array([sizes.get((0, h), 0.0) for h in (0, 1)])
     if not t.sum() or not c.sum():
         # One kind of label: nothing to tell apart.
         return Lexicon({}, {}, []), np.array([0.0] * FEATURES + [30.0 if t.sum() else -30.0])
 
-    counted = texts.select("text", "toxic", "half").mapInArrow(_count_terms, "kind string, term string, toxic int, half int, n bigint")
+    counted = texts.select("text", "toxic", "half").mapInArrow(lean(_count_terms), "kind string, term string, toxic int, half int, n bigint")
     per = [F.sum(F.when((F.col("toxic") == y) & (F.col("half") == h), F.col("n")).otherwise(0)).alias(f"n{y}{h}") for y in (1, 0) for h in (0, 1)]
     terms = counted.groupBy("kind", "term").agg(*per)
     toxic_docs, clean_docs = F.col("n10") + F.col("n11"), F.col("n00") + F.col("n01")
     odds = F.log((toxic_docs + 0.5) / (t.sum() + 1)) - F.log((clean_docs + 0.5) / (c.sum() + 1))
-    terms = stored(terms, "toxic-terms")
-    rows = terms.filter((toxic_docs >= MIN_DOCS) & (odds >= MIN_WEIGHT - 1)).orderBy((toxic_docs * odds).desc(), "kind", "term").limit(LEXICON).collect()
+    terms = scratch.store(terms, "toxic-terms")
+    # As many as the bounded sample's words allow.
+    rows = terms.filter((toxic_docs >= MIN_DOCS) & (odds >= MIN_WEIGHT - 1)).orderBy("kind", "term").collect()
     n = {k: np.array([float(r[k]) for r in rows]) for k in ("n10", "n11", "n00", "n01")}
 
     whole = _lexicon(rows, n["n10"] + n["n11"], n["n00"] + n["n01"], (t.sum(), c.sum()))
@@ -285,9 +286,12 @@ def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tu
             x = np.where((half == 0)[:, None], features(words, halves[0]), features(words, halves[1]))
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), *[pa.array(x[:, j]) for j in range(FEATURES)]], names=["toxic", *[f"x{j}" for j in range(FEATURES)]])
 
-    table = texts.mapInArrow(crossed, "toxic int, " + ", ".join(f"x{j} double" for j in range(FEATURES))).toArrow()
+    table = texts.mapInArrow(lean(crossed), "toxic int, " + ", ".join(f"x{j} double" for j in range(FEATURES))).toArrow()
+    scratch.keep()
     x = np.stack([table.column(f"x{j}").to_numpy() for j in range(FEATURES)], axis=1)
-    return whole, _regression(x, table.column("toxic").to_numpy().astype(float))
+    y = table.column("toxic").to_numpy().astype(float)
+    order = np.lexsort((y, *x.T))  # sums then don't depend on how rows were dealt
+    return whole, _regression(x[order], y[order])
 
 
 def score(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -302,7 +306,7 @@ def score(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
 
     rows = documents.select("doc_id", _held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(scored, f"doc_id {kind}, held_out boolean, score double").withColumn("predicted", (F.col("score") >= CUT).cast("int"))
+    return rows.mapInArrow(lean(scored), f"doc_id {kind}, held_out boolean, score double").withColumn("predicted", (F.col("score") >= CUT).cast("int"))
 
 
 def drop_toxic(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -317,4 +321,4 @@ def drop_toxic(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS
                 value = 1 / (1 + np.exp(-np.clip(x @ beta[:-1] + beta[-1], -30, 30)))
                 yield part.filter(pa.array(value < CUT))
 
-    return documents.mapInArrow(clean, documents.schema)
+    return documents.mapInArrow(lean(clean), documents.schema)

@@ -370,6 +370,88 @@ def test_toxicity(spark, none):
     assert toxicity.score(none, marks).count() == 0 and toxicity.score(frame, marks.limit(0)).filter("predicted = 1").count() == 0
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def brute_toxicity(docs, toxic, half):
+    """Scores by plain loops: ``toxic`` and ``half`` of each learned document, ``docs`` are (id, text)."""
+    texts = {i: low(t) for i, t in docs}
+    terms_of = {i: {("w", w) for w in words(texts[i]) if 3 <= len(w) <= 32} | {("p", w[:n]) for w in words(texts[i]) for n in range(4, 9) if n <= len(w)} for i in toxic}
+
+    def counts(halves):
+        n = collections.Counter()
+        for i in toxic:
+            if half[i] in halves:
+                n[toxic[i]] += 1
+                n.update((term, toxic[i]) for term in terms_of[i])
+        return n
+
+    every = counts((0, 1))
+    odds = lambda n, t: math.log((n[t, 1] + 0.5) / (n[1] + 1)) - math.log((n[t, 0] + 0.5) / (n[0] + 1))
+    candidates = [t for t in {x for s in terms_of.values() for x in s} if every[t, 1] >= 3 and odds(every, t) >= 2]
+
+    def lexicon(halves):
+        n = counts(halves)
+        chosen = {t: odds(n, t) for t in candidates if odds(n, t) >= 3 and n[t, 1] >= 2}
+        return {t: w for (k, t), w in chosen.items() if k == "w"}, {t: w for (k, t), w in chosen.items() if k == "p"}
+
+    whole = lexicon((0, 1))
+    near = lambda w, names: [x for x in names if abs(len(x) - len(w)) < 2 and distance(w, x) <= 1]
+    ordinary = {w for s in terms_of.values() for k, w in s if k == "w" and w not in whole[0] and every[(k, w), 0] >= 1 and near(w, whole[0])}
+
+    def row(text, names, starts):
+        best, spelt, quotes, count = {}, 0.0, 0.0, 0
+        for m in WORD.finditer(text):
+            w = m.group()
+            plain = max([names.get(w, 0.0), *(starts.get(w[:n], 0.0) for n in range(4, 9) if n <= len(w))])
+            edited = max([0.0, *(names[x] for x in near(w, names))]) if not plain and w not in ordinary else 0.0
+            if not plain and not edited:
+                continue
+            line, stop = text.rfind("\n", 0, m.start()) + 1, (text + "\n").find("\n", m.end())
+            before, after = text[max(line, m.start() - 60) : m.start()], text[m.end() : min(stop, m.end() + 60)]
+            if text[line : line + 1] == ">" or before.count('"') % 2 and '"' in after:
+                quotes = max(quotes, plain or edited)
+                continue
+            count += 1
+            if plain:
+                best[w] = plain
+            else:
+                spelt = max(spelt, edited)
+        top = sorted(best.values(), reverse=True)
+        return [top[0] if top else 0.0, sum(top[:3]), math.log1p(count), quotes, spelt, 1.0]
+
+    crossed = {h: lexicon((1 - h,)) for h in (0, 1)}
+    x = np.array([row(texts[i], *crossed[half[i]]) for i in toxic])
+    y = np.array(list(toxic.values()), dtype=float)
+    beta, ridge = np.zeros(6), np.diag([1.0] * 5 + [1e-3])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-x @ beta))
+        beta = beta + np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge, x.T @ (y - p) - ridge @ beta)
+    return {i: 1 / (1 + math.exp(-float(np.clip(np.array(row(t, *whole)) @ beta, -30, 30)))) for i, t in texts.items()}
+
+
+def test_toxicity_scores_equal_brute_force(spark):
+    rng, bad = np.random.default_rng(9), ["vexling", "grumbold", "vile"]
+    docs = [(i, f"{sentence(i % 150, 12)} {bad[i % 3] if i % 4 == 0 else 'fine'} {'grumbolt' if i % 20 == 0 else 'thing'}\n{sentence(i, 6)}") for i in range(240)]
+    docs += [(500 + k, t) for k, t in enumerate(["so vlle", 'he said "vexling" once', "> vexling\nvile", "Vexlings are VILE", "", "vexling vexling grumbold vile", "nothing here", "vexling vexling grumbold vile", "vexxling"])]
+    docs += [(600 + k, "\n".join(rng.permutation(["vile", "word", "grumbld", '"vile" x', "> y vexling", "fine"]))) for k in range(6)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    labels = {i: int(i % 4 == 0) for i in range(240)}
+    marks = spark.createDataFrame(list(labels.items()), "doc_id bigint, toxic int")
+    half = {r["doc_id"]: r["half"] for r in frame.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).alias("half")).collect()}
+    learned = {i: y for i, y in labels.items() if zlib.crc32(str(i).encode()) % 3 != 1}
+    want = brute_toxicity(docs, learned, half)
+    one, two = ({r["doc_id"]: r["score"] for r in toxicity.score(f, marks).collect()} for f in (frame, frame.repartition(7)))
+    assert one == two and all(one[i] == pytest.approx(want[i], abs=1e-6) for i in want)
+    assert one[505] == one[507] and one[500] > one[506]
+
+
 def test_rare_and_short_lexicon_words_are_found_misspelt():
     rows = [{"kind": "w", "term": x} for x in ("grumble", "vile", "mud")]
     lexicon = toxicity._lexicon(rows, np.array([300.0, 3.0, 3.0]), np.zeros(3), (2000.0, 18_000.0))
@@ -381,14 +463,6 @@ def test_rare_and_short_lexicon_words_are_found_misspelt():
 
 
 def test_levenshtein_automaton_equals_brute_force():
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
-
     rng = np.random.default_rng(2)
     make = lambda: "".join(rng.choice(list("abc"), rng.integers(1, 8)))
     lexicon = sorted({make() for _ in range(60)})
