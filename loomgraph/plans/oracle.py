@@ -19,7 +19,7 @@ WHERE NOT regexp_matches(path, '/(\\.git|node_modules|dist|build|\\.next|\\.idea
   AND NOT regexp_matches(path, '(\\.png|\\.jpg|\\.jpeg|\\.gif|\\.ico|\\.pdf|\\.zip|\\.lock)$')""",
     "clone_url_rewrite": r"""SELECT page_id, 'https://github.com/' || regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) || '/site.git' AS clone_url FROM pages""",
     "size_gate": """
-SELECT doc_id, CASE WHEN n_chars > 12000 THEN NULL ELSE substr(text, 1, 64) END AS head,
+SELECT doc_id, CASE WHEN octet_length(encode(text)) <= 1048576 THEN sha256(text) END AS text_sha256,
   length(text) > 12000 OR len(string_split(text, chr(10))) > 250 AS is_large FROM documents""",
     "extract_links": """SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages""",
     "link_graph_edges": r"""
@@ -163,6 +163,7 @@ SELECT conv_id, coalesce(string_agg(upper(role) || ': ' || text, chr(10) ORDER B
 SELECT p_partkey AS github_repository_id, CASE WHEN p_partkey % 2 = 0 AND p_size > 25 AND p_size * 3 <= 100 THEN 'PARSING' ELSE 'QUEUED' END AS status,
   CASE WHEN p_partkey % 2 = 0 AND p_size > 25 AND p_size * 3 <= 100 THEN p_size * 3 ELSE 0 END AS progress FROM part""",
     "import_new": """
-SELECT o_orderpriority AS user_id, o_custkey AS repository_id, '1' AS installation_id, 'https://github.com/o/' || o_orderkey AS clone_url
-FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)""",
+SELECT o_orderpriority AS user_id, o_custkey AS repository_id, '1' AS installation_id, min('https://github.com/o/' || o_orderkey) AS clone_url
+FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_acctbal >= 0 AND c_custkey = o_custkey AND o_orderpriority = CASE WHEN c_custkey % 2 = 0 THEN '1-URGENT' ELSE '5-LOW' END)
+GROUP BY o_orderpriority, o_custkey""",
 }

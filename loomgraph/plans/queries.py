@@ -11,6 +11,7 @@ from loomgraph.functions import paths, text
 from loomgraph.operators import catalog, chunks, diagram, rag, search, traversal
 from loomgraph.plans import trade_graph as tg
 from loomgraph.plans.trade_graph import table
+from loomgraph.sources.files import text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,7 +28,7 @@ def query(function: Query) -> Query:
 @query
 def lang_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.regexp_extract("url", r"^[a-z]+://[^/?#]+/?([^?#]*)", 1)
-    return table(spark, sf_dir, "pages").select("page_id", paths.language(path, {"html": "html"}).alias("language"), paths.without_extension(path).alias("bare_path"))
+    return table(spark, sf_dir, "pages").select("page_id", paths.language(path, {".html": "html"}).alias("language"), paths.without_extension(path).alias("bare_path"))
 
 
 @query
@@ -45,8 +46,9 @@ def clone_url_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def size_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.when(F.col("n_chars") > 12_000, None).otherwise(F.substring("text", 1, 64)).alias("head"), chunks.is_large(F.col("text")).alias("is_large"))
+    """The whole text of documents that aren't too large or binary, as the scan reads them, and which make large chunks."""
+    docs = table(spark, sf_dir, "documents").withColumn("content", F.encode("text", "UTF-8"))
+    return docs.select("doc_id", F.sha2(text_of(F.col("content"), F.octet_length("content")), 256).alias("text_sha256"), chunks.is_large(F.col("text")).alias("is_large"))
 
 
 @query
@@ -433,8 +435,8 @@ def status_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def import_new(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders imported as repositories unless their customer is in the catalog already."""
-    known = table(spark, sf_dir, "customer").filter("c_acctbal >= 0").select(F.col("c_custkey").alias("github_repository_id"))
+    """Orders imported as repositories unless their owner has them in the catalog already; each once."""
+    known = table(spark, sf_dir, "customer").filter("c_acctbal >= 0").select(F.when(F.col("c_custkey") % 2 == 0, "1-URGENT").otherwise("5-LOW").alias("owner"), F.col("c_custkey").alias("github_repository_id"))
     wanted = table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("github_repository_id"), F.col("o_orderpriority").alias("owner"), F.lit("1").alias("installation_id"), F.concat(F.lit("https://github.com/o/"), "o_orderkey").alias("clone_url")
     )

@@ -36,4 +36,6 @@ CHUNKS = (
 )
 JOBS = "user_id string, repository_id bigint, installation_id string, clone_url string"
 STATUS_LOG = "user_id string, repository_id bigint, status string, progress int, started_at timestamp, completed_at timestamp, last_error string"
-ANSWER = "answer string, confidence double, sources array<string>, followup_questions array<string>"
+ANSWER = (
+    "answer string, confidence double, sources array<struct<chunkId:string,filePath:string,symbolName:string,startLine:int,endLine:int>>, followup_questions array<string>"
+)

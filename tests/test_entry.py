@@ -8,7 +8,9 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from loomgraph.plans import oracle, queries
+from loomgraph.plans import code_queries, oracle, queries
+
+WITH_SQL = sorted(set(queries.QUERIES) & set(oracle.ORACLE_SQL) | set(code_queries.QUERIES) & set(code_queries.ORACLE_SQL))
 
 
 def plain(value):
@@ -32,7 +34,7 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) & set(oracle.ORACLE_SQL)))
+@pytest.mark.parametrize("name", WITH_SQL)
 def test_query_equals_sql(spark, tables, data, name):
     frame = __spark_entry__.queries()[name](spark, data)
     columns = sorted(frame.columns)

@@ -68,10 +68,15 @@ def test_store_and_answer(spark, tmp_path):
     hits = [r["content"] for r in rag.retrieve(table, "close the window", "r", embedder, 2).collect()]
     assert hits[0] == "close the window" and len(hits) == 2
     seen = []
-    reply = '{"answer": "yes", "confidence": 0.5, "sources": ["chunk:1"], "followup_questions": []}'
+    reply = '{"answer": "yes", "confidence": 0.5, "sources": [{"chunkId": "chunk:1", "filePath": "a.js", "symbolName": "f", "startLine": 1, "endLine": 2}], "followup_questions": []}'
     memory = spark.createDataFrame([("user", "hi", 0), ("assistant", None, 1)], "role string, content string, ord int")
     row = rag.answer(table, "close the window", "r", embedder, lambda p: seen.append(p) or reply, 2, memory).first()
-    assert row["parsed"]["answer"] == "yes" and len(row["chunks"]) == 2
+    assert row["parsed"]["answer"] == "yes" and row["parsed"]["sources"][0]["chunkId"] == "chunk:1" and row["parsed"]["sources"][0]["endLine"] == 2
+    assert [c["content"] for c in row["chunks"]] == hits and row["chunks"][0]["score"] > row["chunks"][1]["score"] and row["chunks"][0]["file_path"] == "a.js"
+    plan = rag.retrieve(table, "close the window", "r", embedder, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(repository_id" in plan
+    twice = first.unionByName(first.withColumn("content", F.lit("zzz")))
+    assert vector_store.write_upsert(spark, path, twice)["stored"] == 3 and spark.read.parquet(path).filter("repository_id = 'r' and content = 'zzz'").count() == 3
     assert "USER: hi" in seen[0] and "LINES: ?-?" in seen[0] and seen[0].index("CHUNK_ID: chunk:1") < seen[0].index("\n\n---\n\n")
     assert "No matching" in rag.build_prompt("q", None) and "\nNone\n" in rag.build_prompt("q", None)
 
@@ -83,6 +88,17 @@ def test_catalog_rules(spark):
     assert got == {(1, "PARSING", 0), (2, "FAILED", 100)}
     again = catalog.retry(old, spark.createDataFrame([(1,), (2,)], "github_repository_id int")).collect()
     assert [(r["github_repository_id"], r["status"]) for r in again] == [(2, "QUEUED")]
+    failed = spark.createDataFrame([("a", 1, "FAILED", 100, "boom"), ("b", 1, "FAILED", 100, "boom"), ("a", 2, "COMPLETED", 100, None)], "owner string, github_repository_id int, status string, progress int, last_error string")
+    queued = catalog.retry(failed, failed.filter("owner = 'a'"))
+    after = {tuple(r) for r in catalog.merge(failed, queued, catalog.KEYS, ("status", "progress", "last_error")).collect()}
+    assert after == {("a", 1, "QUEUED", 0, None), ("b", 1, "FAILED", 100, "boom"), ("a", 2, "COMPLETED", 100, None)}
+    steps = spark.createDataFrame([("a", 1, "CLONING", 5, 1), ("a", 1, "PARSING", 45, 3), ("a", 1, "SCANNING", 25, 2), ("a", 1, "BROKEN", 1, 9)], "owner string, github_repository_id int, status string, progress int, at int")
+    moved = catalog.update_status(failed.withColumn("at", F.lit(0)), steps.withColumn("last_error", F.lit(None).cast("string")), ["at"])
+    assert [(r["status"], r["progress"]) for r in moved.filter("owner = 'a' and github_repository_id = 1").collect()] == [("PARSING", 45)] and moved.count() == 3
+    wanted = spark.createDataFrame([("a", 1, "i", "u1"), ("b", 2, "i", "u3"), ("b", 2, "i", "u2"), ("c", 1, "i", "u4")], "owner string, github_repository_id int, installation_id string, clone_url string")
+    accepted, made, rejected = catalog.import_repositories(failed, wanted)
+    assert sorted((r["user_id"], r["repository_id"], r["clone_url"]) for r in made.collect()) == [("b", 2, "u2"), ("c", 1, "u4")] and accepted.count() == 2
+    assert [(r["owner"], r["github_repository_id"]) for r in rejected.collect()] == [("a", 1)]
     installs = spark.createDataFrame([("u", 1, True, 5, "a"), ("u", 2, True, 6, "b"), ("u", 3, False, 9, "c")], "user_id string, installation_id int, installed boolean, updated_at int, x string")
     assert catalog.latest_installation(installs).first()["installation_id"] == 2
     api = spark.createDataFrame([(7, "n", "o/n", None, None, True, None)], "id int, name string, full_name string, default_branch string, topics array<string>, private boolean, size int")
