@@ -45,8 +45,9 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cross-entropy differences of all documents; the target is the documents labelled quality 1."""
-    return lm_scoring.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    """Cross-entropy differences of all documents, to six digits; the target is the documents labelled quality 1."""
+    scored = lm_scoring.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")])
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,6 +171,40 @@ kept AS (
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(txt, '') END AS text,
        coalesce(n, 0)::BIGINT AS n_lines, coalesce(r, 0)::BIGINT AS n_removed
 FROM documents d LEFT JOIN kept USING (doc_id)""",
+    "op4_lm_scoring": r"""
+WITH dw AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM documents),
+t AS (
+  SELECT doc_id, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) AS g, unnest(list_prepend('', w[1 : len(w) - 1])) AS a, unnest(w) AS b
+  FROM dw WHERE len(w) > 0),
+al AS (SELECT count(*) AS n, count(*) FILTER (g) AS ng, count(DISTINCT b) AS v, count(*) FILTER (g) / greatest(1, count(*)) AS k FROM t),
+wo AS (SELECT b, count(*) AS n, count(*) FILTER (g) AS ng FROM t GROUP BY b),
+co AS (SELECT a, count(*) AS n, count(*) FILTER (g) AS ng FROM t GROUP BY a),
+pa AS (SELECT a, b, count(*) AS n, count(*) FILTER (g) AS ng FROM t GROUP BY a, b),
+own AS (
+  SELECT doc_id, g, g::INT AS share, a, b, count(*) AS n, sum(count(*)) OVER (PARTITION BY doc_id) AS all_n, sum(count(*)) OVER (PARTITION BY doc_id, a) AS a_n,
+         sum(count(*)) OVER (PARTITION BY doc_id, b) AS b_n
+  FROM t GROUP BY doc_id, g, a, b),
+p AS (
+  SELECT doc_id, o.n AS times, all_n,
+         ln((pa.ng - share * o.n + 50 * (wo.ng - share * b_n + 1) / (al.ng - share * all_n + v)) / (co.ng - share * a_n + 50)) AS target,
+         ln(((pa.n - o.n) * k + 50 * ((wo.n - b_n) * k + 1) / ((al.n - all_n) * k + v)) / ((co.n - a_n) * k + 50)) AS background
+  FROM own o JOIN pa USING (a, b) JOIN wo USING (b) JOIN co USING (a), al),
+l AS (SELECT doc_id, -sum(times * target) / any_value(all_n) AS target, -sum(times * background) / any_value(all_n) AS background FROM p GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_tokens, round(target, 6) AS target_loss, round(background, 6) AS background_loss, round(target - background, 6) AS score
+FROM dw LEFT JOIN l USING (doc_id)""",
+    "op9_sharding": r"""
+WITH bits AS (SELECT list_transform(range(0, 256), lambda b: list_reduce(list_prepend(b, range(0, 8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (
+  SELECT doc_id, (octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS size,
+         list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS b
+  FROM documents),
+c AS (
+  SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM d, bits),
+s AS (SELECT *, sum(size) OVER (ORDER BY doc_id, text_crc32) - size AS before, sum(size) OVER () AS total FROM c),
+p AS (SELECT *, ((2 * before + size) * 8 // (2 * total))::INTEGER AS shard FROM s)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32) - 1 AS slot, NULL::INTEGER AS grown_shard FROM p""",
     "op10_exact_dedup": r"""
 WITH h AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256
