@@ -194,6 +194,20 @@ p AS (
 l AS (SELECT doc_id, -sum(times * target) / any_value(all_n) AS target, -sum(times * background) / any_value(all_n) AS background FROM p GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_tokens, round(target, 6) AS target_loss, round(background, 6) AS background_loss, round(target - background, 6) AS score
 FROM dw LEFT JOIN l USING (doc_id)""",
+    "op6_near_dedup": r"""
+WITH RECURSIVE dw AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM documents),
+runs AS (
+  SELECT doc_id, array_to_string(w[i : i + 4], ' ') AS run, count(*) AS c
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM dw WHERE len(w) > 0) GROUP BY ALL),
+size AS (SELECT doc_id, sum(c) AS n FROM runs GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(least(x.c, y.c)) AS n FROM runs x JOIN runs y ON x.run = y.run AND x.doc_id < y.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM common o JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE o.n >= 0.8::DOUBLE * (x.n + y.n - o.n)),
+ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id, doc_id AS root FROM dw UNION SELECT b, root FROM reach JOIN ways ON a = doc_id),
+class AS (SELECT doc_id, min(root) AS class_id FROM reach GROUP BY doc_id)
+SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size FROM class""",
     "op9_sharding": r"""
 WITH bits AS (SELECT list_transform(range(0, 256), lambda b: list_reduce(list_prepend(b, range(0, 8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
 d AS (
