@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.session import stored
+from loomgraph.session import Scratch, stored
 
 REPO = "repository_id"
 _PAIR = [REPO, "id"]
@@ -150,34 +150,42 @@ def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def _spread(values: DataFrame, links: DataFrame, best: str) -> DataFrame:
     """(repository_id, id, value) after each id has taken the ``best`` (min or max) value along the links, to the end."""
-    take = F.min if best == "min" else F.max
+    take, now = F.min if best == "min" else F.max, None
     while True:
         sent = values.join(links, _PAIR).select(REPO, F.col("next").alias("id"), "value")
         after = stored(values.unionByName(sent).groupBy(*_PAIR).agg(take("value").alias("value")), "spread")
-        was, now = (tuple(x.agg(F.count("*"), F.sum(F.xxhash64(*_PAIR, "value").cast("decimal(38,0)"))).first()) for x in (values, after))
-        values = after
+        was, now, values = now, _mark(after), after
         if was == now:
             return values
 
 
+def _mark(table: DataFrame) -> tuple:
+    """What tells a table of a round from the next one's: its size and the sum of its rows' hashes."""
+    return tuple(table.agg(F.count("*"), F.sum(F.xxhash64(*table.columns).cast("decimal(38,0)"))).first())
+
+
 def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(repository_id, id, component): the smallest id reachable when directions are ignored.
 
-    Labels and links are contracted each round: a label's node takes the smallest label next to any
-    of its members, which halves chains instead of walking them.
+    The links themselves are contracted: each round hangs a node's larger neighbours, then all of its
+    neighbours, on the smallest of them, until every component is a star around its smallest id.  Rounds
+    grow with the logarithm of a component's size, and nodes without links take no part in them.
     """
-    links = stored(_links(edges.filter("src <> dst"), "both"), "weak-links")
-    labels = nodes.select(REPO, "id", F.col("id").alias("value"))
+    scratch = Scratch(nodes.sparkSession)
+    links = scratch.store(edges.filter("src <> dst").select(REPO, F.greatest("src", "dst").alias("id"), F.least("src", "dst").alias("low")).distinct(), "weak")
+    mark = _mark(links)
     while True:
-        sent = labels.join(links, _PAIR).select(REPO, F.col("next").alias("id"), "value")
-        near = stored(labels.unionByName(sent).groupBy(*_PAIR).agg(F.min("value").alias("value")), "weak")
-        # Follow the label's own label: pointer jumping.
-        jump = near.select(REPO, F.col("id").alias("value"), F.col("value").alias("further"))
-        after = stored(near.join(jump, [REPO, "value"], "left").select(REPO, "id", F.coalesce("further", "value").alias("value")), "weak")
-        was, now = (tuple(x.agg(F.count("*"), F.sum(F.xxhash64(*_PAIR, "value").cast("decimal(38,0)"))).first()) for x in (labels, after))
-        labels = after
-        if was == now:
-            return labels.select(REPO, "id", F.col("value").alias("component"))
+        both = links.unionByName(links.select(REPO, F.col("low").alias("id"), F.col("id").alias("low")))
+        least = both.groupBy(*_PAIR).agg(F.least("id", F.min("low")).alias("top"))
+        large = both.join(least, _PAIR).filter("low > id").select(REPO, F.col("low").alias("id"), F.col("top").alias("low")).distinct()
+        least = large.groupBy(*_PAIR).agg(F.min("low").alias("top"))
+        hung = large.join(least, _PAIR).select(REPO, F.col("low").alias("id"), F.col("top").alias("low")).unionByName(least.select(REPO, "id", F.col("top").alias("low")))
+        after = scratch.store(hung.filter("id <> low").distinct(), "weak")
+        scratch.clear(links)
+        links, was, mark = after, mark, _mark(after)
+        if was == mark:
+            break
+    return nodes.select(REPO, "id").join(links, _PAIR, "left").select(REPO, "id", F.coalesce("low", "id").alias("component"))
 
 
 def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.operators import catalog, chunks, diagram, rag, resolve, symbols
+from loomgraph.operators import catalog, chunks, diagram, rag, resolve, symbols, traversal
 from loomgraph.sources import files as scanned
 from loomgraph.sources import vector_store
 
@@ -223,6 +223,46 @@ def external_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Code(spark, sf_dir).navigator().get_external_dependencies().agg(F.count("*").alias("n"))
 
 
+@query(f"""
+WITH RECURSIVE {SQL_GRAPH}, ext AS (SELECT src, dst FROM k_rel WHERE relation = 'EXTENDS'),
+r AS (SELECT id, id AS ancestor, 0 AS depth FROM k_class UNION ALL SELECT r.id, dst, depth + 1 FROM r JOIN ext ON src = ancestor)
+SELECT id, ancestor, depth FROM r""")
+def class_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every class with all that it extends."""
+    nav = Code(spark, sf_dir).navigator()
+    return nav.get_inheritance_tree(nav.search_by_type("Class")).select("id", "ancestor", "depth")
+
+
+@query(f"""
+WITH RECURSIVE {SQL_GRAPH}, ext AS (SELECT src, dst FROM k_rel WHERE relation = 'EXTENDS'),
+r AS (SELECT id, 0 AS level FROM k_class UNION ALL SELECT dst, level + 1 FROM r JOIN ext ON src = id)
+SELECT id, max(level) AS level FROM r GROUP BY id""")
+def class_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes in topological order: none comes before what extends it."""
+    code = Code(spark, sf_dir)
+    nav = code.navigator()
+    return traversal.topological_levels(nav.search_by_type("Class"), nav.iterate_edges(("EXTENDS",))).select("id", "level")
+
+
+_CALL_REACH = f"""{SQL_GRAPH},
+e AS (SELECT src, dst FROM k_edges WHERE relation IN ('CONTAINS', 'CALLS') AND contains(src, '.o') AND NOT starts_with(src, 'module:')),
+reach AS (SELECT src AS a, dst AS b FROM e UNION SELECT a, dst FROM reach JOIN e ON src = b),
+comp AS (SELECT x.a AS id, min(x.b) AS component FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a)"""
+
+
+@query(f"WITH RECURSIVE {_CALL_REACH} SELECT id, component FROM comp WHERE component IN (SELECT component FROM comp GROUP BY component HAVING count(*) > 1)")
+def call_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes and methods that reach each other through calls and what they hold."""
+    found = Code(spark, sf_dir).navigator().strongly_connected_components(("CONTAINS", "CALLS"))
+    several = found.groupBy(REPO, "component").agg(F.count("*").alias("n")).filter("n > 1")
+    return found.join(several, [REPO, "component"], "left_semi").select("id", "component")
+
+
+@query(f"WITH RECURSIVE {_CALL_REACH} SELECT component, string_agg(id, ',' ORDER BY id) AS members FROM comp GROUP BY component HAVING count(*) > 1")
+def call_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Code(spark, sf_dir).navigator().find_cycles(("CONTAINS", "CALLS")).select("component", F.array_join("members", ",").alias("members"))
+
+
 # -- architecture ------------------------------------------------------------------------------------
 
 _UNITS = f"""{SQL_GRAPH},
