@@ -25,6 +25,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,9 +72,7 @@ class Codec:
         if spec.remove_extra_whitespaces:
             steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Replace(Regex("^ | $"), "")]
         self.clean = normalizers.Sequence(steps) if steps else None
-        spelt = [self._bytes_of(p, trained.unk_surface) for p in pieces]
-        self.byte_start = np.concatenate([[0], np.cumsum([len(b) for b in spelt], dtype=np.int64)])
-        self.byte_data = np.frombuffer(b"".join(spelt), dtype=np.uint8)
+        self.spelt = [self._bytes_of(p, trained.unk_surface) for p in pieces]
         self.is_byte = np.array([p.type == _BYTE for p in pieces])
         self.user = {p.piece: i for i, p in enumerate(pieces) if p.type == _USER}
         self.user_cut = re.compile("(" + "|".join(map(re.escape, sorted(self.user, key=len, reverse=True))) + ")") if self.user else None
@@ -147,22 +146,12 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         return self.encode_texts([text])[0]
 
-    def decode_bytes(self, ids: np.ndarray) -> np.ndarray:
-        """The bytes of all ids in a row."""
-        starts, stops = self.byte_start[ids], self.byte_start[ids + 1]
-        return self.byte_data[ranges(starts, stops)]
+    def decode_bytes(self, ids: list[int]) -> bytes:
+        raw = b"".join(map(self.spelt.__getitem__, ids))
+        return raw[1:] if self.prefix and raw[:1] == b" " else raw
 
     def decode(self, ids: list[int]) -> str:
-        raw = self.decode_bytes(np.asarray(ids, dtype=np.int64)).tobytes()
-        return raw[1 if self.prefix and raw[:1] == b" " else 0 :].decode("utf-8", "replace")
-
-
-def ranges(starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """The numbers of all half-open ranges, one range after the other."""
-    lengths = stops - starts
-    total = int(lengths.sum())
-    shift = np.repeat(starts - np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(lengths) else starts, lengths)
-    return np.arange(total) + shift
+        return self.decode_bytes(ids).decode("utf-8", "replace")
 
 
 _ENCODED = "ids array<int>, n_tokens bigint, n_bytes bigint, n_fallback bigint, parity boolean, roundtrip boolean"
@@ -183,19 +172,15 @@ def _encoder(model: bytes):
             texts = batch.column("text").fill_null("").to_pylist()
             ours, theirs = codec.encode_texts(texts), codec.reference.encode(texts, num_threads=1)
             parity = [a == b for a, b in zip(ours, theirs, strict=True)]
-            lists = pa.array(ours, pa.list_(pa.int32()))
+            plain = [t.encode() for t in texts]
+            back = [codec.decode_bytes(x) == y for x, y in zip(ours, plain, strict=True)]
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in ours])]).astype(np.int32)
+            # Flat and by way of arrays: far quicker than from lists of lists.
+            ids = np.frombuffer(b"".join(array("i", x).tobytes() for x in ours), dtype=np.int32)
             del ours, theirs
-            offsets, ids = lists.offsets.to_numpy(), lists.values.to_numpy()
-            byte_upto = np.concatenate([[0], np.cumsum(codec.byte_start[ids + 1] - codec.byte_start[ids])])
-            raw = codec.decode_bytes(ids)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
             fallback = np.concatenate([[0], np.cumsum(codec.is_byte[ids])])[offsets]
-            back, sizes = [], []
-            for text, a, b in zip(texts, byte_upto[offsets[:-1]], byte_upto[offsets[1:]], strict=True):
-                a += bool(codec.prefix and b > a and raw[a] == 32)
-                plain = text.encode()
-                sizes.append(len(plain))
-                back.append(raw[a:b].tobytes() == plain)
-            columns = [lists, pa.array(np.diff(offsets).astype(np.int64)), pa.array(sizes, pa.int64()), pa.array(np.diff(fallback).astype(np.int64)), pa.array(parity), pa.array(back)]
+            columns = [lists, pa.array(np.diff(offsets).astype(np.int64)), pa.array([len(x) for x in plain], pa.int64()), pa.array(np.diff(fallback).astype(np.int64)), pa.array(parity), pa.array(back)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "ids", "n_tokens", "n_bytes", "n_fallback", "parity", "roundtrip"])
 
     return lean(run)
