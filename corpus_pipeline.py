@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it works on all that the stage before
 kept.  All but the last return the columns of ``documents``; the last adds what encoding gives.
 ``run`` writes each stage's result as Parquet to the folder that executors share and reads it again,
-so a lost executor costs at most the stage in hand.
+so a lost executor costs at most the stage in hand; what the next stage has read is deleted.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph.llm import decontamination, exact_dedup, near_dedup, sentencepiece_codec, toxicity
-from loomgraph.llm.common import stored, table
+from loomgraph.llm.common import Scratch, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    scratch, docs = Scratch(spark), table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = scratch.store(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        scratch.keep(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
