@@ -14,9 +14,14 @@ from collections.abc import Callable, Iterator
 Record = dict[str, object]
 _ID = r"[A-Za-z_$][\w$]*"
 _CHAIN = rf"{_ID}(?:\s*\??\.\s*{_ID})*"
-_WORDS = {"js": "public private protected static async abstract readonly", "generic": "public private protected static async abstract final"}
+# Modifiers before a declaration, in the order in which they are listed.
+_SCRIPT_MODIFIERS = ("public", "private", "protected", "static", "async", "abstract", "readonly")
+_OTHER_MODIFIERS = ("public", "private", "protected", "static", "async", "abstract", "final")
 # Words that stand before a bracket without being called.
-_NOT_CALLED = frozenset("if for while switch catch function return typeof super import new await yield func match fn sizeof synchronized do else try in of instanceof throw delete void case".split())
+_NOT_CALLED = frozenset((
+    "if", "for", "while", "switch", "catch", "function", "return", "typeof", "super", "import", "new", "await", "yield", "func", "match", "fn", "sizeof",
+    "synchronized", "do", "else", "try", "in", "of", "instanceof", "throw", "delete", "void", "case",
+))
 
 # Patterns by language family: category, pattern with group ``name``, how the record ends.
 _BLOCK, _LINE, _EXPR = "block", "line", "expr"
@@ -108,7 +113,7 @@ def _end(code: str, start: int, how: str) -> int:
 
 
 def _modifiers(head: str, family: str) -> list[str]:
-    return [w for w in _WORDS["js" if family in ("js", "ts") else "generic"].split() if re.search(rf"(^|\s){w}(\s|$)", head)]
+    return [w for w in (_SCRIPT_MODIFIERS if family in ("js", "ts") else _OTHER_MODIFIERS) if re.search(rf"(^|\s){w}(\s|$)", head)]
 
 
 def _parameters(code: str, at: int) -> tuple[list[dict], int]:

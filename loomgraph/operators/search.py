@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.functions.text import fuzzy_score, trigrams
+from loomgraph.functions.text import fuzzy_score
 
 
 def by_name(nodes: DataFrame, text: str, exact: bool = False, limit: int = 50) -> DataFrame:
@@ -25,15 +25,15 @@ def fuzzy(nodes: DataFrame, query: str, limit: int = 20, binary: bool = False) -
     trigram, which only an equally short name has); if none does, all nodes are candidates.
     ``binary`` orders names by code points instead of by collation.
     """
-    q = query.lower()
-    grams = [q[i : i + 3] for i in range(len(q) - 2)] if len(q) >= 3 else [q] if q else []
-    own = trigrams(F.lower("name"))
-    pooled = F.lit(True)
-    for gram in grams:
-        pooled &= F.array_contains(own, gram)
-    scored = nodes.withColumn("score", fuzzy_score(F.col("name"), query)).withColumn("pooled", pooled if grams else F.lit(False)).filter("score > 0 or pooled")
-    # One flag for the whole search: is any node in the pool?
-    any_pooled = nodes.filter(pooled if grams else F.lit(False)).select(F.lit(True).alias("pool")).limit(1)
-    scored = scored.join(F.broadcast(any_pooled), F.lit(True), "left").filter("score > 0 and (pooled or pool is null)")
+    q, lowered = query.lower(), F.lower("name")
+    pooled = F.lit(bool(q))
+    for gram in [q[i : i + 3] for i in range(len(q) - 2)]:
+        pooled &= lowered.contains(gram)
+    if len(q) < 3:
+        pooled &= lowered == q
+    scored = nodes.withColumn("score", fuzzy_score(F.col("name"), query)).withColumn("pooled", F.coalesce(pooled, F.lit(False))).filter("score > 0 or pooled")
     name = F.col("name") if binary else F.collate("name", "UNICODE")
-    return scored.drop("pooled", "pool").orderBy(F.desc("score"), name, "ord").limit(limit)
+    order = [F.desc("score"), name, "ord"]
+    # The pool comes first, so its first row among the few that are left tells whether there is one.
+    top = scored.orderBy(F.desc("pooled"), *order).limit(limit).withColumn("pool", F.max("pooled").over(Window.partitionBy()))
+    return top.filter("score > 0 and pooled = pool").drop("pooled", "pool").orderBy(*order)

@@ -63,19 +63,28 @@ def follow(start: DataFrame, step: DataFrame) -> DataFrame:
 
 
 def nearest_above(ids: DataFrame, parents: DataFrame, targets: DataFrame) -> DataFrame:
-    """(repository_id, id, container): the first target met on the way up from each id, itself included; null without."""
-    hit = stored(targets.select(REPO, F.col("id").alias("at"), F.lit(True).alias("is_target")), "above-targets")
-    up = stored(parents.select(REPO, F.col("id").alias("at"), F.col("parent").alias("above")), "above-parents")
-    state = ids.select(REPO, "id", F.col("id").alias("at"))
-    done = None
-    for _ in range(10_000):
-        state = stored(state.join(hit, [REPO, "at"], "left").join(up, [REPO, "at"], "left"), "above")
-        ended = state.filter("is_target or above is null").select(REPO, "id", F.when(F.col("is_target"), F.col("at")).alias("container"))
-        done = ended if done is None else done.unionByName(ended)
-        state = state.filter("is_target is null and above is not null").select(REPO, "id", F.col("above").alias("at"))
-        if state.isEmpty():
-            return done
-    raise ValueError("parents form a cycle")
+    """(repository_id, id, container): the first target met on the way up from each id, itself included; null without.
+
+    Every node points to its parent, a target to itself; pointers are doubled until they stay, so rounds
+    grow with the logarithm of the depth.
+    """
+    scratch = Scratch(ids.sparkSession)
+    hit = scratch.store(targets.select(REPO, "id").distinct().withColumn("is_target", F.lit(True)), "above-targets")
+    every = ids.select(REPO, "id").unionByName(parents.select(REPO, "id")).unionByName(parents.select(REPO, F.col("parent").alias("id"))).distinct()
+    jump = every.join(hit, _PAIR, "left").join(parents.select(REPO, "id", "parent"), _PAIR, "left")
+    jump = scratch.store(jump.select(REPO, "id", F.when(F.col("is_target"), F.col("id")).otherwise(F.col("parent")).alias("to")), "above")
+    mark = _mark(jump)
+    for _ in range(64):
+        further = jump.select(REPO, F.col("id").alias("to"), F.col("to").alias("further"))
+        after = scratch.store(jump.join(further, [REPO, "to"], "left").select(REPO, "id", F.col("further").alias("to")), "above")
+        scratch.clear(jump)
+        jump, was, mark = after, mark, _mark(after)
+        if was == mark:
+            break
+    ends = jump.filter("to is not null").select(REPO, F.col("to").alias("id")).distinct()
+    if not ends.join(hit, _PAIR, "left_anti").isEmpty():
+        raise ValueError("parents form a cycle")
+    return ids.select(REPO, "id").join(jump, _PAIR, "left").select(REPO, "id", F.col("to").alias("container"))
 
 
 def dfs(start: DataFrame, edges: DataFrame, depth: int | None = None, direction: str = "outgoing") -> DataFrame:
