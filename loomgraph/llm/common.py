@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.session import Scratch, stored
+from loomgraph.session import Scratch, small_batches, stored
 
 WORD_CLASS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -33,18 +33,6 @@ def words_of(text: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds the rows of an Arrow batch for the Python stages of this session.
-
-    Spark's usual 10,000 rows are meant for narrow rows; of whole texts they would fill an executor.
-    A smaller setting stays.  Spark reads the setting when a frame runs, after the operator has returned,
-    so it can't be put back: operators that call this say so by calling it.
-    """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
-        spark.conf.set(key, str(rows))
-
-
 def give_back() -> None:
     """Returns the memory that this process has freed to the system."""
     gc.collect()
