@@ -8,6 +8,8 @@ The rows are what a parser would give; the operators know nothing of where they
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -97,22 +99,44 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class Code:
-    """The derived files with what the operators make of them; each stage is written when it is first asked for."""
+    """The derived files with what the operators make of them; a stage is written when it is first asked for."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
         self.files = files(spark, sf_dir)
         self.records = stored(records(spark, sf_dir), "records")
-        self.symbols = stored(symbols.extract_symbols(self.files, self.records), "symbols")
 
+    @functools.cached_property
+    def symbols(self) -> DataFrame:
+        return stored(symbols.extract_symbols(self.files, self.records), "symbols")
+
+    @functools.cached_property
     def references(self) -> tuple[DataFrame, DataFrame]:
-        return resolve.resolve(self.files, self.records, self.symbols)
+        relations, references = resolve.resolve(self.files, self.records, self.symbols)
+        return stored(relations, "relations"), references
 
+    @functools.cached_property
     def navigator(self) -> Navigator:
-        nodes, edges = graph.build_graph(self.symbols, self.references()[0])
+        nodes, edges = graph.build_graph(self.symbols, self.references[0])
         return Navigator(stored(nodes, "nodes"), stored(edges, "edges"))
 
 
+_BUILT: dict[tuple[str, str], Code] = {}
+
+
+def code(spark: SparkSession, sf_dir: str) -> Code:
+    """The code of one folder of tables; an application builds it once, as a user builds a graph once and asks often."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = Code(spark, sf_dir)
+    return _BUILT[key]
+
+
+def forget() -> None:
+    """Lets the next question build everything anew."""
+    _BUILT.clear()
+
+
 SQL_FILES = """
 k_cust AS (
   SELECT 'R' || n_regionkey AS repo, 'n' || c_nationkey || '/c' || c_custkey AS bare, CASE WHEN c_custkey % 7 = 0 THEN '.py' ELSE '.js' END AS ext,

@@ -11,7 +11,7 @@ from loomgraph.operators import catalog, chunks, diagram, rag, resolve, symbols,
 from loomgraph.sources import files as scanned
 from loomgraph.sources import vector_store
 
-from .code_graph import REPO, SQL_FILES, SQL_GRAPH, SQL_REFERENCES, Code
+from .code_graph import REPO, SQL_FILES, SQL_GRAPH, SQL_REFERENCES, code
 from .trade_graph import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,25 +72,25 @@ def parse_driver(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SQL_FILES} SELECT repo AS repository_id, id, kind, parent, exported FROM k_sym")
 def symbols_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Code(spark, sf_dir).symbols.select(REPO, "id", "kind", "parent", "exported")
+    return code(spark, sf_dir).symbols.select(REPO, "id", "kind", "parent", "exported")
 
 
 @query(f"WITH {SQL_FILES} SELECT repo AS repository_id, kind, count(*) AS n FROM k_sym GROUP BY ALL")
 def symbols_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symbols by kind; a repeated id would end the query."""
-    return symbols.check_unique(Code(spark, sf_dir).symbols).groupBy(REPO, "kind").agg(F.count("*").alias("n"))
+    return symbols.check_unique(code(spark, sf_dir).symbols).groupBy(REPO, "kind").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {SQL_FILES} SELECT repo AS repository_id, mid AS id FROM k_meth WHERE n = 7")
 def symbols_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return symbols.find_by_name(Code(spark, sf_dir).symbols, "m7").select(REPO, "id")
+    return symbols.find_by_name(code(spark, sf_dir).symbols, "m7").select(REPO, "id")
 
 
 @query(f"WITH {SQL_REFERENCES} SELECT repo AS repository_id, file AS file_id, start_offset::INTEGER AS start_offset, mid AS scope FROM k_call")
 def call_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The innermost declaration around each call."""
-    code = Code(spark, sf_dir)
-    return resolve.containing_scopes(code.records.filter("category = 'calls'"), code.symbols).select(REPO, "file_id", "start_offset", "scope")
+    own = code(spark, sf_dir)
+    return resolve.containing_scopes(own.records.filter("category = 'calls'"), own.symbols).select(REPO, "file_id", "start_offset", "scope")
 
 
 # -- references --------------------------------------------------------------------------------------
@@ -98,38 +98,38 @@ def call_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SQL_REFERENCES} SELECT repo AS repository_id, file AS file_id, module, target_file FROM k_imp")
 def modules_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    code = Code(spark, sf_dir)
-    return resolve.resolve_modules(code.records.filter("category = 'imports'"), code.files).select(REPO, "file_id", "module", "target_file")
+    own = code(spark, sf_dir)
+    return resolve.resolve_modules(own.records.filter("category = 'imports'"), own.files).select(REPO, "file_id", "module", "target_file")
 
 
 @query(f"WITH {SQL_REFERENCES} SELECT repo AS repository_id, file AS file_id, local, imported, target_file, target FROM k_bind")
 def bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    code = Code(spark, sf_dir)
-    imports = resolve.resolve_modules(code.records.filter("category = 'imports'"), code.files)
-    return resolve.resolve_bindings(imports, code.records, code.symbols).select(REPO, "file_id", "local", "imported", "target_file", "target")
+    own = code(spark, sf_dir)
+    imports = resolve.resolve_modules(own.records.filter("category = 'imports'"), own.files)
+    return resolve.resolve_bindings(imports, own.records, own.symbols).select(REPO, "file_id", "local", "imported", "target_file", "target")
 
 
 @query(f"""
 WITH {SQL_REFERENCES} SELECT repo AS repository_id, 'o' || first AS name, file AS file_id, id AS target FROM k_class WHERE k = first AND c_custkey % 2 = 0""")
 def default_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    code = Code(spark, sf_dir)
-    found = resolve.default_exports(code.records, code.symbols)
+    own = code(spark, sf_dir)
+    found = resolve.default_exports(own.records, own.symbols)
     return found.select(REPO, F.concat(F.lit("o"), F.substring_index("target", ".o", -1)).alias("name"), "file_id", "target")
 
 
 @query(f"WITH {SQL_REFERENCES} SELECT repo AS repository_id, file AS file_id, start_offset::INTEGER AS start_offset, callee AS wanted, target FROM k_call")
 def names_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each call refers to: a binding or its member, a definition of the file, or nothing."""
-    code = Code(spark, sf_dir)
-    imports = resolve.resolve_modules(code.records.filter("category = 'imports'"), code.files)
-    bound = resolve.resolve_bindings(imports, code.records, code.symbols)
-    wanted = code.records.filter("category = 'calls'").select(REPO, "file_id", "start_offset", F.col("callee").alias("wanted"))
-    return resolve.resolve_names(wanted, bound, code.symbols)
+    own = code(spark, sf_dir)
+    imports = resolve.resolve_modules(own.records.filter("category = 'imports'"), own.files)
+    bound = resolve.resolve_bindings(imports, own.records, own.symbols)
+    wanted = own.records.filter("category = 'calls'").select(REPO, "file_id", "start_offset", F.col("callee").alias("wanted"))
+    return resolve.resolve_names(wanted, bound, own.symbols)
 
 
 @query(f"WITH {SQL_REFERENCES} SELECT repo AS repository_id, src AS source, dst AS target, relation, meta AS metadata_json FROM k_rel")
 def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Code(spark, sf_dir).references()[0].select(REPO, "source", "target", "relation", "metadata_json")
+    return code(spark, sf_dir).references[0].select(REPO, "source", "target", "relation", "metadata_json")
 
 
 @query(f"""
@@ -141,7 +141,7 @@ WITH {SQL_REFERENCES}, r AS (
 SELECT reference, count(*) AS n, count(*) FILTER (ok) AS n_resolved FROM r GROUP BY reference""")
 def references_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every reference, and how many of each kind have a target."""
-    return Code(spark, sf_dir).references()[1].groupBy("reference").agg(F.count("*").alias("n"), F.count_if("resolved").alias("n_resolved"))
+    return code(spark, sf_dir).references[1].groupBy("reference").agg(F.count("*").alias("n"), F.count_if("resolved").alias("n_resolved"))
 
 
 # -- graph -------------------------------------------------------------------------------------------
@@ -149,23 +149,23 @@ def references_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SQL_GRAPH} SELECT repo AS repository_id, id, type, name, exported FROM k_nodes")
 def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Code(spark, sf_dir).navigator().nodes.select(REPO, "id", "type", "name", "exported")
+    return code(spark, sf_dir).navigator.nodes.select(REPO, "id", "type", "name", "exported")
 
 
 @query(f"WITH {SQL_GRAPH} SELECT repo AS repository_id, src, dst, relation, meta AS metadata_json FROM k_edges")
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Code(spark, sf_dir).navigator().edges.select(REPO, "src", "dst", "relation", "metadata_json")
+    return code(spark, sf_dir).navigator.edges.select(REPO, "src", "dst", "relation", "metadata_json")
 
 
 @query(f"WITH {SQL_GRAPH} SELECT id, type, name FROM k_nodes WHERE id IN ('repository:R1', 'dir:n2', 'dir:n24')")
 def nodes_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A point look-up with an id that doesn't exist."""
-    return Code(spark, sf_dir).navigator().get_nodes(["repository:R1", "dir:n2", "dir:n24", "dir:n25"]).select("id", "type", "name")
+    return code(spark, sf_dir).navigator.get_nodes(["repository:R1", "dir:n2", "dir:n24", "dir:n25"]).select("id", "type", "name")
 
 
 @query(f"WITH {SQL_GRAPH} SELECT repo AS repository_id, id, type, name FROM k_nodes WHERE type IN ('Repository', 'Directory', 'File', 'Module')")
 def structure_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nav = Code(spark, sf_dir).navigator()
+    nav = code(spark, sf_dir).navigator
     rows = nav.get_repository().unionByName(nav.get_directories()).unionByName(nav.get_files()).unionByName(nav.get_modules())
     return rows.select(REPO, "id", "type", "name")
 
@@ -175,27 +175,27 @@ WITH {SQL_GRAPH}, q AS (SELECT min(bare) AS bare FROM k_class)
 SELECT id, type, name FROM k_nodes WHERE id = (SELECT 'module:' || bare FROM q) OR id IN (SELECT id FROM k_class WHERE k = first AND bare = (SELECT bare FROM q))""")
 def symbol_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A module by its qualified name and a class by its id."""
-    code = Code(spark, sf_dir)
-    nav = code.navigator()
-    bare = code.symbols.filter("kind = 'class'").agg(F.min(F.substring_index("id", ".o", 1))).first()[0]
-    first = code.symbols.filter((F.col("kind") == "class") & (F.substring_index("id", ".o", 1) == bare)).agg(F.min(F.substring_index("id", ".o", -1).cast("bigint"))).first()[0]
+    own = code(spark, sf_dir)
+    nav = own.navigator
+    bare = own.symbols.filter("kind = 'class'").agg(F.min(F.substring_index("id", ".o", 1))).first()[0]
+    first = own.symbols.filter((F.col("kind") == "class") & (F.substring_index("id", ".o", 1) == bare)).agg(F.min(F.substring_index("id", ".o", -1).cast("bigint"))).first()[0]
     return nav.get_symbol_by_qualified_name(bare).unionByName(nav.get_symbol(f"{bare}.o{first}")).select("id", "type", "name")
 
 
 @query(f"WITH {SQL_GRAPH} SELECT repo AS repository_id, src, dst FROM k_edges WHERE relation = 'EXPORTS'")
 def edges_of_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Code(spark, sf_dir).navigator().search_by_relation("EXPORTS").select(REPO, "src", "dst")
+    return code(spark, sf_dir).navigator.search_by_relation("EXPORTS").select(REPO, "src", "dst")
 
 
 @query(f"WITH {SQL_GRAPH} SELECT repo AS repository_id, src AS id, dst AS neighbor FROM k_edges WHERE relation = 'IMPLEMENTS'")
 def implemented_interfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nav = Code(spark, sf_dir).navigator()
+    nav = code(spark, sf_dir).navigator
     return nav.get_implemented_interfaces(nav.search_by_type("Class")).select(REPO, "id", "neighbor")
 
 
 @query(f"WITH {SQL_GRAPH} SELECT repo AS repository_id, mid AS id, 'file:' || file AS container FROM k_meth")
 def containing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nav = Code(spark, sf_dir).navigator()
+    nav = code(spark, sf_dir).navigator
     return nav.get_containing_file(nav.search_by_type("Method")).select(REPO, "id", "container")
 
 
@@ -204,23 +204,23 @@ _MODULES = "SELECT repo AS repository_id, 'module:' || module AS id FROM k_files
 
 @query(f"WITH {SQL_GRAPH} {_MODULES} WHERE path NOT IN (SELECT file FROM k_imp WHERE target_file IS NOT NULL)")
 def leaf_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Code(spark, sf_dir).navigator().get_leaf_components().select(REPO, "id")
+    return code(spark, sf_dir).navigator.get_leaf_components().select(REPO, "id")
 
 
 @query(f"WITH {SQL_GRAPH} {_MODULES} WHERE path NOT IN (SELECT target_file FROM k_imp WHERE target_file IS NOT NULL)")
 def root_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Code(spark, sf_dir).navigator().get_root_components().select(REPO, "id")
+    return code(spark, sf_dir).navigator.get_root_components().select(REPO, "id")
 
 
 @query(f"WITH {SQL_GRAPH} SELECT DISTINCT repo AS repository_id, 'file:' || target_file AS id FROM k_imp WHERE target_file IS NOT NULL")
 def imported_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Code(spark, sf_dir).navigator().get_internal_dependencies().select(REPO, "id")
+    return code(spark, sf_dir).navigator.get_internal_dependencies().select(REPO, "id")
 
 
 @query(f"WITH {SQL_GRAPH} SELECT count(*) AS n FROM k_nodes WHERE type = 'ExternalDependency'")
 def external_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """None: packages have no node of their own."""
-    return Code(spark, sf_dir).navigator().get_external_dependencies().agg(F.count("*").alias("n"))
+    return code(spark, sf_dir).navigator.get_external_dependencies().agg(F.count("*").alias("n"))
 
 
 @query(f"""
@@ -229,7 +229,7 @@ r AS (SELECT id, id AS ancestor, 0 AS depth FROM k_class UNION ALL SELECT r.id,
 SELECT id, ancestor, depth FROM r""")
 def class_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every class with all that it extends."""
-    nav = Code(spark, sf_dir).navigator()
+    nav = code(spark, sf_dir).navigator
     return nav.get_inheritance_tree(nav.search_by_type("Class")).select("id", "ancestor", "depth")
 
 
@@ -239,8 +239,8 @@ r AS (SELECT id, 0 AS level FROM k_class UNION ALL SELECT dst, level + 1 FROM r
 SELECT id, max(level) AS level FROM r GROUP BY id""")
 def class_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes in topological order: none comes before what extends it."""
-    code = Code(spark, sf_dir)
-    nav = code.navigator()
+    own = code(spark, sf_dir)
+    nav = own.navigator
     return traversal.topological_levels(nav.search_by_type("Class"), nav.iterate_edges(("EXTENDS",))).select("id", "level")
 
 
@@ -253,14 +253,14 @@ comp AS (SELECT x.a AS id, min(x.b) AS component FROM reach x JOIN reach y ON x.
 @query(f"WITH RECURSIVE {_CALL_REACH} SELECT id, component FROM comp WHERE component IN (SELECT component FROM comp GROUP BY component HAVING count(*) > 1)")
 def call_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes and methods that reach each other through calls and what they hold."""
-    found = Code(spark, sf_dir).navigator().strongly_connected_components(("CONTAINS", "CALLS"))
+    found = code(spark, sf_dir).navigator.strongly_connected_components(("CONTAINS", "CALLS"))
     several = found.groupBy(REPO, "component").agg(F.count("*").alias("n")).filter("n > 1")
     return found.join(several, [REPO, "component"], "left_semi").select("id", "component")
 
 
 @query(f"WITH RECURSIVE {_CALL_REACH} SELECT component, string_agg(id, ',' ORDER BY id) AS members FROM comp GROUP BY component HAVING count(*) > 1")
 def call_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Code(spark, sf_dir).navigator().find_cycles(("CONTAINS", "CALLS")).select("component", F.array_join("members", ",").alias("members"))
+    return code(spark, sf_dir).navigator.find_cycles(("CONTAINS", "CALLS")).select("component", F.array_join("members", ",").alias("members"))
 
 
 # -- architecture ------------------------------------------------------------------------------------
@@ -279,13 +279,13 @@ k_between AS (
 @query(f"WITH {_UNITS} SELECT repo AS repository_id, id, unit FROM k_unit")
 def arch_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The module that stands for each node."""
-    return diagram.units(Code(spark, sf_dir).navigator()).select(REPO, "id", "unit")
+    return diagram.units(code(spark, sf_dir).navigator).select(REPO, "id", "unit")
 
 
 @query(f"WITH {_UNITS} SELECT repo AS repository_id, src, dst, relations FROM k_between")
 def arch_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole architecture; the node cap is above all."""
-    _, edges = diagram.build_diagram(Code(spark, sf_dir).navigator(), max_nodes=1 << 30)
+    _, edges = diagram.build_diagram(code(spark, sf_dir).navigator, max_nodes=1 << 30)
     return edges.select(REPO, "src", "dst", F.array_join("relations", ",").alias("relations"))
 
 
@@ -298,9 +298,9 @@ SELECT x.unit AS src, y.unit AS dst, string_agg(DISTINCT relation, ',' ORDER BY
 FROM i JOIN k_unit x ON x.id = src JOIN k_unit y ON y.id = dst WHERE x.unit <> y.unit GROUP BY ALL""")
 def arch_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What surrounds customer 2's file, two steps around."""
-    code = Code(spark, sf_dir)
-    scope = code.files.filter(F.col("path").rlike("/c2[.](js|py)$")).first()["path"]
-    _, edges = diagram.build_diagram(code.navigator(), f"file:{scope}", 2)
+    own = code(spark, sf_dir)
+    scope = own.files.filter(F.col("path").rlike("/c2[.](js|py)$")).first()["path"]
+    _, edges = diagram.build_diagram(own.navigator, f"file:{scope}", 2)
     return edges.select("src", "dst", F.array_join("relations", ",").alias("relations"))
 
 
@@ -317,8 +317,8 @@ k_chunk AS (
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    code = Code(spark, sf_dir)
-    return chunks.build_chunks(code.symbols, code.records, code.navigator())
+    own = code(spark, sf_dir)
+    return chunks.build_chunks(own.symbols, own.records, own.navigator)
 
 
 @query(f"""
