@@ -391,6 +391,37 @@ def answers_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# -- jobs --------------------------------------------------------------------------------------------
+
+
+@query("""
+SELECT 'handled' AS outcome, count(*) AS n FROM orders WHERE o_orderkey <> (SELECT min(o_orderkey) FROM orders)
+UNION ALL SELECT 'poisoned', count(*) FROM orders WHERE o_orderkey = (SELECT min(o_orderkey) FROM orders)
+UNION ALL SELECT 'not a job', count(*) FROM nation""")
+def jobs_consumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders published as jobs, with a message that isn't one for each nation, and what becomes of them in the stream."""
+    import uuid
+
+    from loomgraph.session import shared_dir
+    from loomgraph.streaming import jobs
+
+    top = f"{shared_dir(spark)}/jobs-{uuid.uuid4().hex}"
+    orders = table(spark, sf_dir, "orders")
+    poison = orders.agg(F.min("o_orderkey")).first()[0]
+    jobs.publish(spark, top, orders.select(F.col("o_custkey").cast("string").alias("user_id"), F.col("o_orderkey").alias("repository_id"), F.lit("1").alias("installation_id"), F.lit("url").alias("clone_url")))
+    table(spark, sf_dir, "nation").select(F.col("n_name").alias("value")).write.mode("append").text(f"{top}/repo-analysis")
+
+    def handle(batch: DataFrame) -> None:
+        if not batch.filter(F.col("repository_id") == poison).isEmpty():
+            raise RuntimeError("poisoned")
+        batch.write.mode("append").parquet(f"{top}/handled")
+
+    jobs.consume(spark, top, f"{top}/seen", f"{top}/dead", handle).awaitTermination()
+    handled = spark.read.parquet(f"{top}/handled").select(F.lit("handled").alias("outcome"))
+    dead = spark.read.parquet(f"{top}/dead").select(F.col("error").alias("outcome"))
+    return handled.unionByName(dead).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
 # -- catalog -----------------------------------------------------------------------------------------
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable
 
@@ -31,30 +30,33 @@ def parsed(messages: DataFrame) -> DataFrame:
 def consume(spark: SparkSession, path: str, checkpoint: str, dead_letters: str, handle: Handler, queue: str = "repo-analysis") -> StreamingQuery:
     """Handles what the queue holds once; the checkpoint is the acknowledgement.
 
-    ``handle`` gets a batch's well-formed jobs.  If it fails, the batch is handled job by job, so that
-    one poisoned job doesn't hold up the others: those that fail, and messages that aren't jobs, go to
-    the dead-letter table and aren't tried again.  A batch repeated after a crash overwrites its own
+    ``handle`` gets a batch's well-formed jobs.  If it fails, the batch is halved by the jobs' hashes, and
+    again where a half fails, so a poisoned job costs a number of calls that grows with the logarithm of
+    the batch and holds nobody up: those that fail alone, and messages that aren't jobs, go to the
+    dead-letter table and aren't tried again.  A batch repeated after a crash overwrites its own
     dead letters, and handlers are expected to upsert by key.
     """
 
+    def settled(jobs: DataFrame, depth: int = 0) -> list[tuple[DataFrame, str]]:
+        """What fails of some jobs, and why."""
+        if jobs.isEmpty():
+            return []
+        try:
+            handle(jobs)
+            return []
+        except Exception as error:
+            # Jobs that are the same in all fields fail together.
+            if depth == 63 or jobs.select(F.xxhash64(*jobs.columns)).distinct().limit(2).count() == 1:
+                return [(jobs, str(error)[:1000])]
+        side = F.shiftrightunsigned(F.xxhash64(*jobs.columns), depth).bitwiseAND(1)
+        return settled(jobs.filter(side == 0), depth + 1) + settled(jobs.filter(side == 1), depth + 1)
+
     def batch(frame: DataFrame, number: int) -> None:
         rows = parsed(frame).persist()
         good = rows.filter("job.repository_id is not null").select("job.*")
         dead = rows.filter("job.repository_id is null").select("value", F.lit("not a job").alias("error"))
-        try:
-            if not good.isEmpty():
-                handle(good)
-        except Exception:
-            failed = []
-            # Jobs of one trigger: bounded by maxFilesPerTrigger; a job is a small message, not its data.
-            for job in good.toLocalIterator():
-                one = spark.createDataFrame([job], JOBS)
-                try:
-                    handle(one)
-                except Exception as error:
-                    failed.append((json.dumps(job.asDict()), str(error)[:1000]))
-            if failed:
-                dead = dead.unionByName(spark.createDataFrame(failed, "value string, error string"))
+        for failed, error in settled(good):
+            dead = dead.unionByName(failed.select(F.to_json(F.struct(*failed.columns)).alias("value"), F.lit(error).alias("error")))
         dead.write.mode("overwrite").parquet(f"{dead_letters}/batch={number}")
         rows.unpersist()
 
