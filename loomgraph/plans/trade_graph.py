@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators.navigator import Navigator
+from loomgraph.session import stored
 
 REPOSITORY = "T"
 _STEP = 1_000_000_000_000
@@ -97,18 +98,24 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _edges(rows, "order", "l_orderkey", "part", "l_partkey", "CALLS", F.col("l_orderkey") * 1000 + F.col("l_partkey") % 1000)
 
 
-def imports(spark: SparkSession, sf_dir: str, strong: bool = False) -> DataFrame:
-    rows = trade(spark, sf_dir).filter("rank <= 2 and revenue > 1.5 * mean" if strong else "rank <= 2")
+def imports(spark: SparkSession, sf_dir: str, strong: bool = False, sold: DataFrame | None = None) -> DataFrame:
+    rows = (trade(spark, sf_dir) if sold is None else sold).filter("rank <= 2 and revenue > 1.5 * mean" if strong else "rank <= 2")
     return _edges(rows, "nation", "a", "nation", "b", "IMPORTS", F.col("a") * 10 + F.col("rank"))
 
 
-def extends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _edges(trade(spark, sf_dir).filter("rank = 1"), "nation", "a", "nation", "b", "EXTENDS", F.col("a"))
+def extends(spark: SparkSession, sf_dir: str, sold: DataFrame | None = None) -> DataFrame:
+    return _edges((trade(spark, sf_dir) if sold is None else sold).filter("rank = 1"), "nation", "a", "nation", "b", "EXTENDS", F.col("a"))
 
 
 def navigator(spark: SparkSession, sf_dir: str, *parts: str) -> Navigator:
-    """The graph with the named groups of edges only, so a query reads no table it doesn't need."""
-    make = {"contains": contains, "calls": calls, "imports": imports, "extends": extends, "strong": lambda s, d: imports(s, d, True)}
+    """The graph with the named groups of edges only, so a query reads no table it doesn't need.
+
+    What nations sell each other (625 rows at most) is added up once a query, as its edges are read many times.
+    """
+    sold = stored(trade(spark, sf_dir), "trade") if {"imports", "extends", "strong"} & set(parts) else None
+    make = {
+        "contains": contains, "calls": calls, "imports": lambda s, d: imports(s, d, sold=sold), "extends": lambda s, d: extends(s, d, sold), "strong": lambda s, d: imports(s, d, True, sold),
+    }
     edges = [make[p](spark, sf_dir) for p in parts]
     out = edges[0]
     for more in edges[1:]:
