@@ -13,11 +13,14 @@ from . import (
     exact_dedup,
     line_dedup,
     lm_scoring,
+    merkle,
     near_dedup,
     pii,
+    quality,
     sentencepiece_codec,
     sharding,
     toxicity,
+    turn_repair,
 )
 from .common import table
 
@@ -80,6 +83,24 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_copies(table(spark, sf_dir, "documents"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged and repaired."""
+    hurt = turn_repair.damage(table(spark, sf_dir, "conversations"))
+    return turn_repair.digests(turn_repair.repair(hurt, F.col("stays")))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents, a third of them tampered with, against the manifest of the originals."""
+    documents = table(spark, sf_dir, "documents")
+    found = merkle.proofs(merkle.build(documents, merkle.tampered(documents)))
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified", "n_siblings")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -93,6 +114,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_pii,
         op9_sharding,
         op10_exact_dedup,
+        op11_quality,
+        op12_turn_repair,
+        op13_merkle,
     )
 }
 
@@ -223,4 +247,95 @@ SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTI
 WITH h AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256
 FROM h WINDOW g AS (PARTITION BY text_sha256)""",
+    "op12_turn_repair": r"""
+WITH RECURSIVE bits AS (SELECT list_transform(range(0, 256), lambda b: list_reduce(list_prepend(b, range(0, 8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS txt,
+         list_transform(regexp_extract_all(hex(encode(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))), '..'), lambda x: ('0x' || x)::BIGINT) AS b
+  FROM conversations),
+h AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 20 AS kind FROM k, bits),
+d AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(txt, '[.!?]', '', 'g') ELSE txt END AS txt, unnest(range(0, CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM h WHERE kind <> 0),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, txt) AS i,
+         rtrim(txt, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM d),
+f AS (
+  SELECT *, left(role, 1) AS c, CASE WHEN body = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, txt ORDER BY i) > 1 THEN 'duplicate' WHEN right(body, 1) IN ('.', '!', '?') THEN '' ELSE 'truncated' END AS fault FROM o),
+g AS (
+  SELECT *, fault IN ('blank', 'duplicate') AS gone, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS more,
+         CASE WHEN lag(c) OVER w || c IN ('su', 'ua', 'au') OR lag(c) OVER w IS NULL THEN 0 ELSE 1 END AS illegal FROM f WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+n AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated, sum(illegal)::BIGINT AS illegal, max(i) AS len FROM g GROUP BY conv_id),
+-- The best (cost, audit) of what is read so far, by what comes next: 0 anything, 1 u after a lone s, 2 u or the end, 3 a.
+p AS (
+  SELECT conv_id, 0::BIGINT AS i, 0::BIGINT AS cost0, 1000000::BIGINT AS cost1, 0::BIGINT AS cost2, 3::BIGINT AS cost3, '' AS audit0, '' AS audit1, '' AS audit2, 'I' AS audit3 FROM n
+  UNION ALL
+  SELECT conv_id, i, z0.cost, z1.cost, e2.cost, e3.cost, z0.audit, z1.audit, e2.audit, e3.audit FROM (
+    SELECT conv_id, i, z0, z1, least(z2, {'cost': z3.cost + 3, 'audit': z3.audit || 'I'}) AS e2,
+           least(z3, {'cost': z2.cost + 3, 'audit': z2.audit || 'I'}, {'cost': z1.cost + 3, 'audit': z1.audit || 'I'}, {'cost': z0.cost + 3, 'audit': z0.audit || 'I'}) AS e3 FROM (
+      SELECT p.conv_id, g.i,
+             {'cost': cost0 + 4, 'audit': audit0 || 'D'} AS z0,
+             least({'cost': cost1 + 4, 'audit': audit1 || 'D'}, CASE WHEN NOT gone AND c = 's' THEN {'cost': cost0 + more, 'audit': audit0 || 'K'} END) AS z1,
+             least({'cost': cost2 + 4, 'audit': audit2 || 'D'}, CASE WHEN NOT gone THEN {'cost': cost3 + more + CASE WHEN c = 'a' THEN 0 ELSE 3 END, 'audit': audit3 || CASE WHEN c = 'a' THEN 'K' ELSE 'R' END} END) AS z2,
+             least({'cost': cost3 + 4, 'audit': audit3 || 'D'},
+                   CASE WHEN NOT gone THEN {'cost': cost0 + more + CASE WHEN c = 'u' THEN 0 ELSE 3 END, 'audit': audit0 || CASE WHEN c = 'u' THEN 'K' ELSE 'R' END} END,
+                   CASE WHEN NOT gone THEN {'cost': cost1 + more + CASE WHEN c = 'u' THEN 0 ELSE 3 END, 'audit': audit1 || CASE WHEN c = 'u' THEN 'K' ELSE 'R' END} END,
+                   CASE WHEN NOT gone THEN {'cost': cost2 + more + CASE WHEN c = 'u' THEN 0 ELSE 3 END, 'audit': audit2 || CASE WHEN c = 'u' THEN 'K' ELSE 'R' END} END) AS z3
+      FROM p JOIN g ON g.conv_id IS NOT DISTINCT FROM p.conv_id AND g.i = p.i + 1))),
+best AS (SELECT p.conv_id, least({'cost': cost0, 'audit': audit0}, {'cost': cost2, 'audit': audit2}) AS x FROM p JOIN n ON n.conv_id IS NOT DISTINCT FROM p.conv_id AND i = len),
+edit AS (
+  SELECT conv_id, unnest(string_split(x.audit, '')) AS e, unnest(range(1, len(x.audit) + 1)) AS step, len(replace(x.audit, 'D', '')) AS size FROM best WHERE x.audit <> ''),
+numbered AS (
+  SELECT *, count(*) FILTER (e <> 'I') OVER w AS i, size - count(*) FILTER (e <> 'D') OVER w AS after FROM edit WINDOW w AS (PARTITION BY conv_id ORDER BY step)),
+said AS (
+  SELECT a.conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN after % 2 = 0 THEN 'assistant' ELSE 'user' END || ':' || CASE WHEN e = 'I' THEN '' ELSE txt END, chr(10) ORDER BY step) AS turns
+  FROM numbered a LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM a.conv_id AND g.i = a.i WHERE e <> 'D' GROUP BY a.conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(x.cost, 0) AS cost, coalesce(x.audit, '') AS audit, sha256(coalesce(turns, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN said ON said.conv_id IS NOT DISTINCT FROM c.conv_id""",
+    "op13_merkle": r"""
+WITH RECURSIVE bits AS (SELECT list_transform(range(0, 256), lambda b: list_reduce(list_prepend(b, range(0, 8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+s AS (
+  SELECT doc_id, lang, coalesce('=' || lang, '') AS tree,
+         coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+           || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-') AS head, text,
+         translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_text,
+         list_transform(regexp_extract_all(hex(encode(doc_id::VARCHAR)), '..'), lambda x: ('0x' || x)::BIGINT) AS b
+  FROM documents),
+l AS (
+  SELECT doc_id, tree, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+         sha256(head || coalesce(octet_length(encode(text)) || ':' || CASE WHEN xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 3 = 0
+                                                                      THEN lower_text ELSE text END, '-')) AS claim FROM s, bits),
+r AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS total FROM l),
+up AS (
+  SELECT tree, 0 AS depth, pos, leaf AS node, total FROM r
+  UNION ALL
+  SELECT tree, depth + 1, pos // 8, sha256(string_agg(node, '' ORDER BY pos)), (any_value(total) + 7) // 8 FROM up WHERE total > 1 GROUP BY tree, depth, pos // 8),
+roots AS (SELECT tree, node, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS total FROM up WHERE total = 1),
+top AS (
+  SELECT 0 AS depth, pos, node, total FROM roots
+  UNION ALL
+  SELECT depth + 1, pos // 8, sha256(string_agg(node, '' ORDER BY pos)), (any_value(total) + 7) // 8 FROM top WHERE total > 1 GROUP BY depth, pos // 8),
+runs AS (
+  SELECT tree, depth, pos // 8 AS run, list(node ORDER BY pos) AS nodes FROM up WHERE total > 1 GROUP BY ALL
+  UNION ALL
+  SELECT NULL, depth, pos // 8, list(node ORDER BY pos) FROM top WHERE total > 1 GROUP BY ALL),
+-- Walks every leaf up its own tree, then up the tree of subroots (tree is null there).
+walk AS (
+  SELECT r.tree AS own, r.pos AS leaf_pos, r.tree, 0 AS depth, r.pos, claim AS node, '' AS proof FROM r
+  UNION ALL
+  SELECT own, leaf_pos, CASE WHEN u.nodes IS NULL THEN NULL ELSE w.tree END, CASE WHEN u.nodes IS NULL THEN 0 ELSE w.depth + 1 END, CASE WHEN u.nodes IS NULL THEN roots.pos ELSE w.pos // 8 END,
+         CASE WHEN u.nodes IS NULL THEN w.node ELSE sha256(array_to_string(u.nodes[1 : w.pos % 8] || [w.node] || u.nodes[w.pos % 8 + 2 :], '')) END,
+         w.proof || coalesce(array_to_string(u.nodes[1 : w.pos % 8] || u.nodes[w.pos % 8 + 2 :], ''), '')
+  FROM walk w LEFT JOIN runs u ON u.tree IS NOT DISTINCT FROM w.tree AND u.depth = w.depth AND u.run = w.pos // 8 LEFT JOIN roots ON roots.tree = w.own
+  WHERE w.tree IS NOT NULL OR u.nodes IS NOT NULL),
+done AS (
+  SELECT own, leaf_pos, node, proof FROM walk w WHERE tree IS NULL AND NOT EXISTS (SELECT 1 FROM runs u WHERE u.tree IS NULL AND u.depth = w.depth)),
+root AS (SELECT node AS root FROM top WHERE total = 1)
+SELECT doc_id, leaf, roots.node AS subroot, root, sha256(proof) AS proof_sha256, done.node AS folded_root, done.node = root AS verified, (length(proof) // 64)::BIGINT AS n_siblings
+FROM r JOIN roots USING (tree) JOIN done ON own = r.tree AND leaf_pos = r.pos, root""",
 }
