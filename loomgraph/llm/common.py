@@ -59,6 +59,19 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.md5(F.concat(F.coalesce(F.concat(F.lit("i"), doc_id.cast("string")), F.lit("n")), F.lit("\n"), F.coalesce(text, F.lit(""))))
 
 
+def row_hash(df: DataFrame) -> Column:
+    """64 bits of all columns of a row, the same wherever the row lies."""
+    return F.xxhash64(*[F.map_entries(f.name) if f.dataType.typeName() == "map" else F.col(f"`{f.name}`") for f in df.schema])
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def join_weighed(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
     """``rows`` joined with ``table`` on ``key``, which is unique in the table; ``weight`` is how many rows have it.
 
@@ -71,4 +84,4 @@ def join_weighed(rows: DataFrame, table: DataFrame, key: str, weight: str) -> Da
     return few.unionByName(many)
 
 
-__all__ = ["Scratch", "ascii_lower", "give_back", "join_weighed", "lean", "row_key", "small_batches", "stored", "table", "words_of"]
+__all__ = ["Scratch", "ascii_lower", "give_back", "join_weighed", "lean", "row_hash", "row_key", "small_batches", "stored", "table", "unused", "words_of"]

@@ -26,9 +26,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, words_of
+from .common import stored, unused, words_of
 
 WINDOW, K = 10, 5
+#: Places of a text that are looked up among its fingerprints together.
+TOGETHER = 256
 
 
 def _gram_hashes(words: Column, k: int) -> Column:
@@ -50,8 +52,16 @@ def _prints_of(length: int) -> Column:
 
 def _spots_of(length: int) -> Column:
     """The windows of one length whose fingerprint is among ``prints``, with their words."""
+    # A stretch of places first keeps the fingerprints that it holds (a hash look-up), so that a place isn't held
+    # against all fingerprints of a long text.
     own = F.transform(F.filter("prints", lambda p: p["length"] == length), lambda p: p["print"])
-    places = F.filter(F.transform(f"minima_{length}", lambda m, i: F.when(F.array_contains(own, m), i)), lambda i: i.isNotNull())
+    minima = F.col(f"minima_{length}")
+    starts = F.when(F.size(minima) > 0, F.sequence(F.lit(0), F.size(minima) - 1, F.lit(TOGETHER))).otherwise(F.expr("cast(array() as array<int>)"))
+    stretch = lambda a: F.slice(minima, a + 1, F.lit(TOGETHER))
+    stretches = F.transform(starts, lambda a: F.struct(a.alias("at"), F.array_intersect(stretch(a), own).alias("own")))
+    places = F.flatten(
+        F.transform(stretches, lambda s: F.filter(F.transform(stretch(s["at"]), lambda m, i: F.when(F.array_contains(s["own"], m), s["at"] + i)), lambda i: i.isNotNull()))
+    )
     return F.transform(
         places,
         lambda i: F.struct(F.lit(length).alias("length"), F.array_join(F.slice("words", i + 1, F.lit(length)), " ").alias("content"), i.alias("start")),
@@ -91,19 +101,16 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
         own = _with_minima(windows.filter(F.col("length") == n).select("length", F.split("content", " ").alias("words")), [n])
         own = own.select("length", F.array_min(f"minima_{n}").alias("print"))
         prints = own if prints is None else prints.unionByName(own)
-    prints = prints.distinct().withColumn("hit", F.lit(1))
+    prints = prints.distinct()
 
-    # One row without a fingerprint carries each document's word count through the join.
     tagged = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("words"))
+    base = tagged.select("doc_id", "text_hash", F.size("words").cast("bigint").alias("n_words")).distinct()
     tagged = _with_minima(tagged, lengths)
     per_length = [_prints_of(n) for n in lengths]
-    marker = F.array(F.struct(F.lit(None).cast("int").alias("length"), F.lit(None).cast("bigint").alias("print")))
-    rows = tagged.select("doc_id", "text_hash", F.size("words").cast("bigint").alias("n_words"), F.explode(F.concat(marker, *per_length)).alias("p"))
-    rows = rows.select("doc_id", "text_hash", "n_words", "p.length", "p.print")
-    found = stored(rows.join(prints, ["length", "print"], "left").filter("hit = 1 or print is null"), "doc-prints")
+    rows = tagged.select("doc_id", "text_hash", F.explode(F.concat(*per_length)).alias("p")).select("doc_id", "text_hash", "p.length", "p.print")
+    found = stored(rows.join(prints, ["length", "print"]), "doc-prints")
 
-    base = found.filter("print is null").select("doc_id", "text_hash", "n_words").distinct()
-    candidates = found.filter("print is not null").groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("length", "print")).alias("prints"))
+    candidates = found.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("length", "print")).alias("prints"))
     hits = stored(_extend(documents, candidates, windows, lengths), "doc-hits")
 
     within = Window.partitionBy("doc_id", "text_hash").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
@@ -146,6 +153,7 @@ def _extend(documents: DataFrame, candidates: DataFrame, windows: DataFrame, len
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``documents`` without the contaminated ones; columns as they came."""
-    bad = contamination(documents, benchmark, window).filter("contaminated").select(F.col("doc_id").alias("__bad_id"), F.col("text_hash").alias("__bad_hash"))
-    match = F.col("doc_id").eqNullSafe(F.col("__bad_id")) & (F.xxhash64("text") == F.col("__bad_hash"))
+    bad_id, bad_hash = unused(documents, "bad_id"), unused(documents, "bad_hash")
+    bad = contamination(documents, benchmark, window).filter("contaminated").select(F.col("doc_id").alias(bad_id), F.col("text_hash").alias(bad_hash))
+    match = F.col("doc_id").eqNullSafe(F.col(bad_id)) & (F.xxhash64("text") == F.col(bad_hash))
     return documents.join(bad, match, "left_anti")

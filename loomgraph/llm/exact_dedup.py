@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, join_weighed, lean, row_key
+from .common import Scratch, join_weighed, lean, row_hash, row_key, unused
 
 SLOTS = 4
 #: Live digests that one index holds at most.
@@ -197,14 +197,14 @@ def live_digests(rows: DataFrame) -> DataFrame:
     return local.repartition("digest").sortWithinPartitions("digest").mapInArrow(lean(_merge), kind)
 
 
-def _digests(documents: DataFrame, scratch: Scratch) -> DataFrame:
-    return scratch.store(documents.select("doc_id", digest_of(F.col("text")).alias("digest"), F.monotonically_increasing_id().alias("tag")), "digests")
+def _digests(documents: DataFrame, tag: Column, scratch: Scratch) -> DataFrame:
+    return scratch.store(documents.select("doc_id", digest_of(F.col("text")).alias("digest"), tag.alias("tag")), "digests")
 
 
 def find_copies(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     scratch = Scratch(documents.sparkSession)
-    rows = _digests(documents, scratch)
+    rows = _digests(documents, F.monotonically_increasing_id(), scratch)
     live = scratch.store(live_digests(rows), "live-digests")
     return join_weighed(rows, live, "digest", "group_size").select(
         "doc_id",
@@ -218,12 +218,18 @@ def find_copies(documents: DataFrame) -> DataFrame:
 def drop_copies(documents: DataFrame) -> DataFrame:
     """``documents`` without later copies; columns as they came.
 
-    Texts are shuffled once, by what tells rows of different (doc_id, digest) apart: rows that repeat both meet on
-    the map side already, and the others of a group of copies go to as many places as they have ids.
+    Of rows that share text and smallest doc_id the one with the least row hash stays, however rows are dealt.  Texts
+    are shuffled once, by what tells rows apart: rows that repeat wholly meet on the map side already, and the others of
+    a group of copies go to as many places as there are.
     """
-    scratch = Scratch(documents.sparkSession)
-    live = scratch.store(live_digests(_digests(documents, scratch)), "live-digests")
+    scratch, tag = Scratch(documents.sparkSession), row_hash(documents)
+    live = scratch.store(live_digests(_digests(documents, tag, scratch)), "live-digests")
     scratch.keep(live)
-    kept = live.select(row_key(F.col("keep_id"), F.hex("digest")).alias("__key"))
-    rows = documents.withColumn("__key", row_key(F.col("doc_id"), F.hex(digest_of(F.col("text"))))).dropDuplicates(["__key"])
-    return rows.join(kept.hint("merge"), "__key", "left_semi").select(*documents.columns)
+
+    def key(doc_id: Column, digest: Column, tag: Column) -> Column:
+        return row_key(doc_id, F.concat(F.hex(digest), F.hex(tag)))
+
+    name = unused(documents, "row_key")
+    kept = live.select(key(F.col("keep_id"), F.col("digest"), F.col("keep_tag")).alias(name))
+    rows = documents.withColumn(name, key(F.col("doc_id"), digest_of(F.col("text")), tag)).dropDuplicates([name])
+    return rows.join(kept.hint("merge"), name, "left_semi").select(*[f"`{c}`" for c in documents.columns])

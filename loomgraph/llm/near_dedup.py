@@ -31,7 +31,8 @@ Defined cases: a text without words (null, empty, blanks) is a class of its own;
 their texts, so a doc_id that repeats with other texts has a class for each, and rows without an id
 take part; a class is named after the smallest doc_id of its rows, null only if all are; ids may be of
 any type that can be ordered; an empty table gives no rows; extra columns are ignored.  When copies
-are dropped, rows that repeat both doc_id and text become one.
+are dropped, rows that repeat in every column become one, and of rows that share doc_id and text the one with the least
+hash of all columns stays.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, join_weighed, lean, row_key, small_batches
+from .common import Scratch, join_weighed, lean, row_hash, row_key, small_batches, unused
 from .words import Words, mix, pieces
 
 BANDS, ROWS = 24, 4
@@ -294,12 +295,14 @@ def near_classes(documents: DataFrame) -> DataFrame:
 def drop_near_copies(documents: DataFrame) -> DataFrame:
     """``documents`` with one row of each class, that of the smallest doc_id; columns as they came."""
     scratch = Scratch(documents.sparkSession)
-    key = row_key(F.col("doc_id"), F.col("text"))
+    # Rows that differ in any column are told apart, so it doesn't matter how they are dealt which one stays.
+    key = F.md5(F.concat(row_key(F.col("doc_id"), F.col("text")), F.hex(row_hash(documents))))
     order = F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "key")
     sketches, named = _classes(documents.select("doc_id", key.alias("key"), "text"), order, scratch)
     classed = join_weighed(sketches.filter("node is not null").select("key", "node"), named, "node", "n")
-    gone = scratch.store(classed.filter("key <> best.key").select(F.col("key").alias("__key")).distinct(), "near-gone")
+    name = unused(documents, "row_key")
+    gone = scratch.store(classed.filter("key <> best.key").select(F.col("key").alias(name)).distinct(), "near-gone")
     scratch.keep(gone)
     # Rows of one key are the same row; they meet before they are shuffled, and the join uses that shuffle.
-    rows = documents.withColumn("__key", key).dropDuplicates(["__key"])
-    return rows.join(gone.hint("merge"), "__key", "left_anti").select(*documents.columns)
+    rows = documents.withColumn(name, key).dropDuplicates([name])
+    return rows.join(gone.hint("merge"), name, "left_anti").select(*[f"`{c}`" for c in documents.columns])

@@ -12,8 +12,8 @@ left to right.  Kinds, in the order in which equal starts are listed:
 * ``url``: an address after ``http://``, ``https://``, ``ftp://`` or ``www.``, without closing punctuation
 * ``mailto``: the address after ``mailto:``
 * ``account``: what follows a cue, up to its own end: after ``iban`` groups of letters and digits whose
-  checksum (mod 97) holds, after ``ssn`` nine digits whose parts may occur, else a token of 4 to 64
-  characters with a digit
+  checksum (mod 97) holds, after ``ssn`` nine digits whose parts may occur, else a token of 4 characters or
+  more with a digit
 * ``secret``: a token of 16 characters or more with letters and digits after a cue such as ``token`` or ``password``
 * ``handle``: ``@name`` where no letter or digit comes before and no address is
 
@@ -21,7 +21,8 @@ The first four follow their base patterns exactly (leftmost, not overlapping per
 matches dropped); the others are added by the method and may overlap them.  Offsets are code points,
 ends exclusive.
 
-Defined cases: null is empty; texts of any length are read whole; an at-sign without a valid
+Defined cases: null is empty; texts of any length are read whole, in time that grows with their length (a run of
+token characters is read once, however many cues it holds); an at-sign without a valid
 domain, or a cue without an identifier after it, gives nothing; repeated rows each get their spans;
 an empty table gives no rows; extra columns are ignored.
 """
@@ -98,7 +99,7 @@ def _numbers(text: str) -> list[tuple[str, int, int]]:
         part = stretch.group()
         if "." in part:
             for m in _IP.finditer(part):
-                if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+                if all(len(p) <= 3 and int(p or "0") <= 255 for p in (q.lstrip("0") for q in m.group().split("."))):
                     spans.append(("ip", at + m.start(), at + m.end()))
         for m in _CARD.finditer(part):
             if m.end() - m.start() >= 12:
@@ -137,7 +138,32 @@ def _iban(text: str, at: int) -> int:
     return found
 
 
-def _identifier(kind: str, text: str, cue_end: int) -> tuple[str, int, int] | None:
+class _Runs:
+    """Runs of token characters in one text, each read once: cues follow each other inside long runs."""
+
+    def __init__(self, text: str):
+        self.text = text
+        #: Of each pattern the last run met: start, end, end without closing marks, last digit and last letter before that.
+        self.met: dict[re.Pattern, tuple[int, int, int, int, int]] = {}
+
+    def _read(self, pattern: re.Pattern, at: int) -> tuple[int, int, int, int, int]:
+        m = pattern.match(self.text, at)
+        run = m.group() if m else ""
+        token = run.rstrip("._-")
+        digit, letter = (next((i for i in range(len(token) - 1, -1, -1) if is_one(token[i])), -1) for is_one in (str.isdigit, str.isalpha))
+        return at, at + len(run), at + len(token), at + digit if digit >= 0 else -1, at + letter if letter >= 0 else -1
+
+    def token(self, pattern: re.Pattern, at: int) -> tuple[int, bool, bool]:
+        """The end of the token at ``at`` (``at`` for none), and whether it has a digit and a letter."""
+        run = self.met.get(pattern)
+        if run is None or not run[0] <= at < run[1]:
+            run = self.met[pattern] = self._read(pattern, at)
+        if at >= run[2] or not pattern.match(self.text, at, at + 1):
+            return at, False, False
+        return run[2], run[3] >= at, run[4] >= at
+
+
+def _identifier(kind: str, text: str, cue_end: int, runs: _Runs) -> tuple[str, int, int] | None:
     """What a cue announces, expanded to its boundary and validated."""
     at = _GAP.match(text, cue_end).end()
     if kind == "iban":
@@ -147,18 +173,15 @@ def _identifier(kind: str, text: str, cue_end: int) -> tuple[str, int, int] | No
         m = _SSN.match(text, at)
         fits = m and m[1] not in ("000", "666") and m[1][0] != "9" and m[3] != "00" and m[4] != "0000"
         return ("account", at, m.end()) if fits else None
-    m = (_SECRET if kind == "secret" else _TOKEN).match(text, at)
-    token = m.group().rstrip("._-") if m else ""
-    if not any(c.isdigit() for c in token):
-        return None
-    fits = len(token) >= 16 and any(c.isalpha() for c in token) if kind == "secret" else 4 <= len(token) <= 64
-    return (kind, at, at + len(token)) if fits else None
+    end, digit, letter = runs.token(_SECRET if kind == "secret" else _TOKEN, at)
+    fits = end - at >= 16 and letter if kind == "secret" else end - at >= 4
+    return (kind, at, end) if digit and fits else None
 
 
 def spans_of(text: str, automaton: ahocorasick.Automaton, digits: bool = True) -> list[tuple[str, int, int]]:
     """All (kind, start, end) of a text, ordered by start, kind and end."""
     spans = _numbers(text) if digits else []
-    last = {"email": 0, "url": 0, "cue": 0}
+    last, runs = {"email": 0, "url": 0, "cue": 0}, _Runs(text)
     for end, (kind, length) in automaton.iter(_lower_ascii(text)):
         start, end = end + 1 - length, end + 1
         if kind == "at":
@@ -185,7 +208,7 @@ def spans_of(text: str, automaton: ahocorasick.Automaton, digits: bool = True) -
                 if stop > end:
                     spans.append(("url", start, stop))
                     last["url"] = stop
-        elif start >= last["cue"] and (start == 0 or not text[start - 1].isalnum()) and (span := _identifier(kind, text, end)):
+        elif start >= last["cue"] and (start == 0 or not text[start - 1].isalnum()) and (span := _identifier(kind, text, end, runs)):
             spans.append(span)
             last["cue"] = span[2]
     return sorted(spans, key=lambda s: (s[1], _RANK[s[0]], s[2]))

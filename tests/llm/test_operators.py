@@ -94,6 +94,27 @@ def test_decontamination(spark, odd, none):
     assert decontamination.contamination(none, bench).count() == 0 and not any(r["contaminated"] for r in decontamination.contamination(odd, bench.limit(0)).collect())
 
 
+def test_a_long_text_that_is_all_benchmark(spark):
+    long = sentence(9, 30_000)
+    docs = spark.createDataFrame([(1, long), (2, "x " + long[:5000])], "doc_id bigint, text string")
+    got = decontamination.contamination(docs, spark.createDataFrame([(7, long)], "item_id bigint, text string")).orderBy("doc_id").collect()
+    assert [(r["n_words"], r["n_hit"]) for r in got] == [(30_000, 30_000), (len(words(long[:5000])) + 1, len(words(long[:5000])) - (long[5000] != " "))]
+
+
+def test_dropping_stages_do_not_depend_on_how_rows_are_dealt(spark):
+    """Ties, and columns that bear the helpers' names."""
+    text = sentence(1)
+    rows = [(1, "a b c", "x", "p"), (1, "a  b c", "y", "p"), (1, "a\tb c", "x", "q"), (1, "a b c", "z", "p"), (2, "a b c", "x", "p"), (3, text, "x", "p"), (3, text, "y", "p"), (3, text, "y", "p"), (4, text + " tail", "x", "p"), (None, None, None, None)]
+    frame = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id bigint, text string, row_key string, bad_id string, Bad_Hash int, __key int")
+    bench = spark.createDataFrame([(1, text)], "item_id bigint, text string")
+    for drop in (exact_dedup.drop_copies, near_dedup.drop_near_copies, lambda d: decontamination.drop_contaminated(d, bench)):
+        found = [sorted(map(tuple, drop(frame.repartition(n)).collect()), key=repr) for n in (1, 2, 3)]
+        assert found[0] == found[1] == found[2] and set(found[0]) <= {(*r, 1, 2) for r in rows} and drop(frame).columns == frame.columns
+    kept = exact_dedup.drop_copies(frame).select("doc_id").collect()
+    assert sorted(map(repr, kept)) == sorted(f"Row(doc_id={i})" for i in (1, 3, 4, None))
+    assert sorted(map(repr, near_dedup.drop_near_copies(frame).select("doc_id").collect())) == sorted(f"Row(doc_id={i})" for i in (1, 3, None))
+
+
 def brute_lines(docs, least):
     """Deletes every run of at least ``least`` words that occurs earlier, window by window."""
     seen, gone = {}, collections.defaultdict(set)
@@ -509,7 +530,7 @@ def test_identifiers_end_at_their_own_boundary_and_are_validated():
     assert added("iban DE89370400440532013000.") == [("account", "DE89370400440532013000")]
     assert added("IBAN: DE88 3704 0044 0532 0130 00") == [] and added("iban GB82-WEST-1234-5698-7654-32") == [("account", "GB82-WEST-1234-5698-7654-32")]
     assert added("ssn 078-05-1120") == [("account", "078-05-1120")] and added("ssn 666-05-1120, ssn 078-00-1120") == []
-    assert added("user id: " + "a1" * 31) == [("account", "a1" * 31)] and added("user id: " + "a1" * 33) == [] and added("passport: none") == []
+    assert added("user id: " + "a1" * 31) == [("account", "a1" * 31)] and added("user id: " + "a1" * 33 + ".") == [("account", "a1" * 33)] and added("passport: none") == []
     assert added('token = "11acdfb36bb72224148e6160f674b4be45601bff" x') == [("secret", "11acdfb36bb72224148e6160f674b4be45601bff")]
     assert added("password is swordfish") == [] and added("hi @" + "n" * 45 + " @") == [("handle", "@" + "n" * 45)]
 
@@ -524,6 +545,55 @@ def test_long_runs_are_read_once(part):
     assert time.process_time() - begun < 8 and all(a < b for _, a, b in spans)
 
 
+@pytest.mark.parametrize("tail", ["", "=", "-", "/", ": ", "=a"])
+def test_cues_inside_one_run_read_it_once(tail):
+    """Every cue, repeated; twice the text takes about twice the time."""
+    import time
+
+    automaton = pii._automaton()
+    for cue in (*pii.CUES, *pii.SECRETS, "iban", "ssn", "mailto:"):
+        seconds = []
+        for size in (100_000, 400_000):
+            text = (cue + tail) * (size // len(cue + tail))
+            begun = time.process_time()
+            pii.spans_of(text, automaton)
+            seconds.append(time.process_time() - begun)
+        assert seconds[1] < 10 * seconds[0] + 0.5, cue
+
+
+def test_numbers_of_any_length():
+    zeros = "0" * 5000
+    assert pii.spans_of(zeros + "1.2.3.4", pii._automaton()) == [("ip", 0, 5007)]
+    assert pii.spans_of(f"{zeros}.{zeros}.0.{zeros}255 " + "9" * 5000 + ".1.1.1", pii._automaton()) == [("ip", 0, 15_007)]
+    assert base_pii("00001.02.0003.0 1.2.3.256") == ",".join(f"{k}:{a}:{b}" for k, a, b in pii.spans_of("00001.02.0003.0 1.2.3.256", pii._automaton()))
+
+
+def brute_tokens(text):
+    """Spans after the account and secret cues, each cue reading on from its own end."""
+    spans, last = [], 0
+    cues = [(m.end(), -len(c), m.start(), k) for k, own in (("account", pii.CUES), ("secret", pii.SECRETS)) for c in own for m in re.finditer(f"(?={re.escape(c)})", text.lower()) for m in [re.compile(re.escape(c)).match(text.lower(), m.start())]]
+    for end, _, start, kind in sorted(cues):
+        if start < last or (start and text[start - 1].isalnum()):
+            continue
+        at = re.compile(r"(?i)(?:\s{0,4}(?:is|no\.?|number|id|key|#|:|=))*\s{0,4}[\"'`]?").match(text, end).end()
+        m = re.compile(r"[A-Za-z0-9+/_=.~-]+" if kind == "secret" else r"[A-Za-z0-9][A-Za-z0-9._-]*").match(text, at)
+        token = m.group().rstrip("._-") if m else ""
+        has = any(c.isdigit() for c in token), any(c.isalpha() for c in token)
+        if has[0] and (len(token) >= 16 and has[1] if kind == "secret" else len(token) >= 4):
+            spans.append((kind, at, at + len(token)))
+            last = at + len(token)
+    return spans
+
+
+def test_tokens_after_cues_equal_brute_force():
+    draw = np.random.default_rng(5)
+    parts = ["token", "=", "secret", "user:", "login:", " ", ".", "-", "a", "7", "abcdef", "12345678", "account no", "user id", "/", "_", "é", '"', ": ", "api key", "is"]
+    for _ in range(3000):
+        text = "".join(draw.choice(parts, draw.integers(1, 25)))
+        got = [s for s in pii.spans_of(text, pii._automaton()) if s[0] in ("account", "secret")]
+        assert got == brute_tokens(text), text
+
+
 def test_sharding(odd, none):
     rows = sharding.assign_shards(odd).collect()
     assert len(rows) == len(ODD)
