@@ -8,7 +8,7 @@ is 1, which are held out.  Every term that is frequent and telling enough in tha
 Matching.  Each distinct word is looked up as it is, by its beginnings, and, if it or a word made by
 leaving out one of its letters is a lexicon word or one made so of it (true of all words one edit
 apart), by walking the trie with the bit-parallel Levenshtein automaton of the word at distance 1.
-All lexicon words are in the trie.  A misspelling counts only if the sample's clean
+All lexicon words of ``SPELT`` characters or more are in the trie; words of any length count as they stand.  A misspelling counts only if the sample's clean
 documents don't use that word.
 
 Context.  A match is quoted if, within ``CONTEXT`` characters on its line, quotation marks open before
@@ -45,6 +45,8 @@ CONTEXT = 60
 #: Words whose weights a task remembers.
 SEEN = 200_000
 PREFIXES = range(4, 9)
+#: Characters of the shortest words whose misspellings count: one edit makes almost any word of a shorter one.
+SPELT = 3
 CUT = 0.7
 FEATURES = 5
 #: Bytes of text whose different words are looked up together.
@@ -197,7 +199,7 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, (toxic, half) in enumerate(zip(batch.column("toxic").to_pylist(), batch.column("half").to_pylist(), strict=True)):
             low = words.low[words.text_start[i] : words.text_start[i + 1]].tobytes().decode("utf-8", "replace")
             own = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low))
-            terms = {("w", w) for w in own if 3 <= len(w) <= 32} | {("p", w[:n]) for w in own for n in PREFIXES if n <= len(w)}
+            terms = {("w", w) for w in own} | {("p", w[:n]) for w in own for n in PREFIXES if n <= len(w)}
             counts.update((kind, term, toxic, half) for kind, term in terms)
         keys = list(counts)
         yield pa.RecordBatch.from_pydict(
@@ -221,7 +223,7 @@ def _lexicon(rows: list, toxic: np.ndarray, clean: np.ndarray, sizes: tuple[floa
     for i in np.flatnonzero((weight >= MIN_WEIGHT) & (toxic >= MIN_DOCS - 1)):
         kind, term = rows[i]["kind"], rows[i]["term"]
         (words if kind == "w" else starts)[term] = float(weight[i])
-        if kind == "w":
+        if kind == "w" and len(term) >= SPELT:
             fuzzy.append(term)
     return Lexicon(words, starts, fuzzy, ordinary)
 
@@ -246,10 +248,10 @@ def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tu
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~_held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int"))
-    # The sample is bounded by ``fit_rows``, so it can be broadcast.
+    # The sample is bounded by ``fit_rows``, so it can be broadcast.  An id that repeats gives one text, the least.
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample.withColumnRenamed("doc_id", "label_id")), F.col("doc_id") == F.col("label_id"))
     scratch = Scratch(documents.sparkSession)
-    texts = scratch.store(texts.select("doc_id", "text", "toxic", "half"), "toxic-sample")
+    texts = scratch.store(texts.groupBy("doc_id", "toxic", "half").agg(F.min("text").alias("text")), "toxic-sample")
     sizes = {(r["toxic"], r["half"]): float(r["count"]) for r in texts.groupBy("toxic", "half").count().collect()}
     t, c = np.array([sizes.get((1, h), 0.0) for h in (0, 1)]), np.array([sizes.get((0, h), 0.0) for h in (0, 1)])
     if not t.sum() or not c.sum():

@@ -403,7 +403,7 @@ def distance(a, b):
 def brute_toxicity(docs, toxic, half):
     """Scores by plain loops: ``toxic`` and ``half`` of each learned document, ``docs`` are (id, text)."""
     texts = {i: low(t) for i, t in docs}
-    terms_of = {i: {("w", w) for w in words(texts[i]) if 3 <= len(w) <= 32} | {("p", w[:n]) for w in words(texts[i]) for n in range(4, 9) if n <= len(w)} for i in toxic}
+    terms_of = {i: {("w", w) for w in words(texts[i])} | {("p", w[:n]) for w in words(texts[i]) for n in range(4, 9) if n <= len(w)} for i in toxic}
 
     def counts(halves):
         n = collections.Counter()
@@ -423,7 +423,7 @@ def brute_toxicity(docs, toxic, half):
         return {t: w for (k, t), w in chosen.items() if k == "w"}, {t: w for (k, t), w in chosen.items() if k == "p"}
 
     whole = lexicon((0, 1))
-    near = lambda w, names: [x for x in names if abs(len(x) - len(w)) < 2 and distance(w, x) <= 1]
+    near = lambda w, names: [x for x in names if len(x) > 2 and abs(len(x) - len(w)) < 2 and distance(w, x) <= 1]
     ordinary = {w for s in terms_of.values() for k, w in s if k == "w" and w not in whole[0] and every[(k, w), 0] >= 1 and near(w, whole[0])}
 
     def row(text, names, starts):
@@ -473,6 +473,17 @@ def test_toxicity_scores_equal_brute_force(spark):
     assert one[505] == one[507] and one[500] > one[506]
 
 
+def test_toxic_words_of_any_length_and_repeated_ids(spark):
+    long, short = "ばか" * 30, "zx"
+    docs = [(i, f"{sentence(i, 12)} {long if i % 6 == 0 else short if i % 6 == 3 else 'fine'}") for i in range(240)]
+    frame = spark.createDataFrame(docs + docs[:60] * 3 + [(900, f"now {long}"), (901, f"now {short}"), (902, "now zy"), (903, "all fine")], "doc_id bigint, text string")
+    marks = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(240)], "doc_id bigint, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(frame, marks).filter("doc_id >= 900").collect()}
+    assert got == {900: 1, 901: 1, 902: 0, 903: 0}
+    once = toxicity.score(frame.dropDuplicates(), marks).distinct().collect()
+    assert sorted(map(repr, once)) == sorted(map(repr, toxicity.score(frame, marks).distinct().collect()))
+
+
 def test_rare_and_short_lexicon_words_are_found_misspelt():
     rows = [{"kind": "w", "term": x} for x in ("grumble", "vile", "mud")]
     lexicon = toxicity._lexicon(rows, np.array([300.0, 3.0, 3.0]), np.zeros(3), (2000.0, 18_000.0))
