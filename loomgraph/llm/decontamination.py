@@ -141,7 +141,8 @@ def _extend(documents: DataFrame, candidates: DataFrame, windows: DataFrame, len
     """Windows of candidate documents that equal a test window: doc_id, text_hash, length, content, start, stop."""
     wanted = candidates.withColumnsRenamed({"doc_id": "w_id", "text_hash": "w_hash"})
     keyed = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    texts = keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_hash") == F.col("w_hash")))
+    # Candidates grow with the corpus: one plan at every size.
+    texts = keyed.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_hash") == F.col("w_hash")))
     texts = texts.select("doc_id", "text_hash", words_of(F.col("text")).alias("words"), "prints")
     texts = texts.dropDuplicates(["doc_id", "text_hash"])
     texts = _with_minima(texts, lengths)
