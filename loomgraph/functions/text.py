@@ -22,13 +22,23 @@ def trigrams(text: Column) -> Column:
     return F.when(n >= 3, F.array_distinct(runs)).when(n > 0, F.array(text)).otherwise(F.expr("cast(array() as array<string>)"))
 
 
-def fuzzy_score(value: Column, query: str) -> Column:
-    """How well ``query`` fits: 1000 equal, 800 or 600 less the length for a beginning or a part, else by gaps.
+def trimmed(text: Column) -> Column:
+    """Without blanks of any script at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def collapsed(text: Column) -> Column:
+    """Lower case, trimmed, with one space for every run of blanks."""
+    return F.regexp_replace(trimmed(F.lower(text)), r"(?U)\s+", " ")
+
+
+def fuzzy_score(value: Column, query: str | Column) -> Column:
+    """How well ``query`` (lower case if it is a column) fits: 1000 equal, 800 or 600 less the length for a beginning or a part, else by gaps.
 
     The last tier walks the query's characters through the value greedily and adds 10 less the gap
     (9 at most) for each; a missing character makes the score 0.
     """
-    v, q = F.lower(value), query.lower()
+    v, q = F.lower(value), F.lit(query.lower()) if isinstance(query, str) else query
     length = utf16_length(v)
     state = F.struct(F.lit(0).alias("at"), F.lit(0).alias("sum"), F.lit(True).alias("fits"))
 
@@ -41,7 +51,8 @@ def fuzzy_score(value: Column, query: str) -> Column:
             (s["fits"] & (found > 0)).alias("fits"),
         )
 
-    letters = F.array(*[F.lit(c) for c in q]) if q else F.expr("cast(array() as array<string>)")
+    none = F.expr("cast(array() as array<string>)")
+    letters = F.when(F.length(q) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.length(q), F.lit(1))), lambda i: F.substring(q, i, F.lit(1)))).otherwise(none)
     walked = F.aggregate(letters, state, step, lambda s: F.when(s["fits"], s["sum"]).otherwise(0))
     return (
         F.when(v == q, F.lit(1000))

@@ -235,7 +235,8 @@ class Navigator:
         return traversal.dfs(self.ids(ids), self.iterate_edges(relations), depth, direction)
 
     def topological_order(self, relations: Iterable[str] | None = None) -> DataFrame:
-        return traversal.topological_levels(self.nodes, self.iterate_edges(relations))
+        """Every node with its ``place`` in Kahn's order and its level."""
+        return traversal.topological_order(self.nodes, self.edges, relations)
 
     def strongly_connected_components(self, relations: Iterable[str] | None = None) -> DataFrame:
         return traversal.strong_components(self.nodes, self.iterate_edges(relations))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +18,8 @@ REPO = "repository_id"
 # Endings tried on a module's path, in this order.
 ENDINGS = (".js", ".mjs", ".cjs", ".ts", ".tsx", ".py", ".java", ".go", ".rs")
 _FILE = [REPO, "file_id"]
+#: More than the places of the references of one step in one file, 1 MiB long at most.
+_WITHIN = 1 << 32
 
 
 def file_index(files: DataFrame, resolve_index: bool = False) -> DataFrame:
@@ -82,14 +87,49 @@ def resolve_names(wanted: DataFrame, bindings: DataFrame, symbols: DataFrame) ->
     return full.withColumn("target", target).select(*wanted.columns, "target")
 
 
+_EVENTS = [REPO, "file_id", "start_offset", "end_offset", "scope_id"]
+
+
+def _innermost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reads scopes and places of many files in order of their starts and gives each place the innermost open scope.
+
+    ``open_scopes`` are those of the file that started and haven't ended, the last one on top.  Scopes of a file nest,
+    so the one on top is the answer; where they don't, the search goes on below.
+    """
+    file, open_scopes = None, []
+    for batch in batches:
+        rows: list[tuple] = []
+        for repo, file_id, start, end, scope_id in zip(*(batch.column(c).to_pylist() for c in _EVENTS), strict=True):
+            if (repo, file_id) != file:
+                file, open_scopes = (repo, file_id), []
+            while open_scopes and open_scopes[-1][0] < start:
+                open_scopes.pop()
+            if scope_id is None:
+                scope = next((s for e, s in reversed(open_scopes) if e >= end), None)
+                if scope is not None:
+                    rows.append((repo, file_id, start, end, scope))
+            else:
+                open_scopes.append((end, scope_id))
+        kinds = [batch.schema.field(c).type for c in _EVENTS]
+        columns = list(zip(*rows, strict=True)) or [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[*_EVENTS[:4], "scope"])
+
+
 def containing_scopes(places: DataFrame, symbols: DataFrame) -> DataFrame:
     """(repository_id, file_id, start_offset, end_offset, scope): the innermost scope around a place.
 
-    Of scopes that start together the outermost wins.  The range join is local to a file.
+    Of scopes that start together the outermost wins.  Scopes and places of a file are sorted once, by where they start,
+    and read in one sweep; a task reads many files.
     """
-    scopes = symbols.filter(F.col("kind").isin(list(OWNERS))).select(REPO, "file_id", F.col("start_offset").alias("s"), F.col("end_offset").alias("e"), F.col("id").alias("scope_id"), F.col("ord").alias("scope_ord"))
-    around = places.select(*_FILE, "start_offset", "end_offset").distinct().join(scopes, _FILE).filter("s <= start_offset and e >= end_offset")
-    return around.groupBy(*_FILE, "start_offset", "end_offset").agg(F.max_by("scope_id", F.struct("s", "e", -F.col("scope_ord"))).alias("scope"))
+    by = [*_FILE, "start_offset", "end_offset"]
+    scopes = symbols.filter(F.col("kind").isin(list(OWNERS))).select(*by, F.col("id").alias("scope_id"), "ord")
+    met = places.filter("start_offset is not null and end_offset is not null").select(*by).distinct()
+    met = met.withColumns({"scope_id": F.lit(None).cast("string"), "ord": F.lit(0).cast("bigint")})
+    # Of scopes that start together the last one read is on top: the longest, and of equal ones the first.
+    order = [*_FILE, "start_offset", F.col("scope_id").isNull(), "end_offset", F.desc("ord")]
+    rows = scopes.filter("start_offset is not null").unionByName(met).repartition(*_FILE).sortWithinPartitions(*order).select(*_EVENTS)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.mapInArrow(_innermost, ", ".join(f"{c} {kinds[c]}" for c in by) + ", scope string")
 
 
 def resolve(files: DataFrame, records: DataFrame, symbols: DataFrame, resolve_index: bool = False, split_implements: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -97,10 +137,13 @@ def resolve(files: DataFrame, records: DataFrame, symbols: DataFrame, resolve_in
     imports = resolve_modules(records.filter("category = 'imports'"), files, resolve_index)
     bindings = resolve_bindings(imports, records, symbols)
     file_id = F.concat(F.lit("file:"), "file_id")
-    stage = 1_000_000_000
+    places = files.select(REPO, F.col("path").alias("file_id"), F.col("ord").alias("file_ord"))
 
     def relation(rows: DataFrame, source, target, name: str, metadata, step: int) -> DataFrame:
-        return rows.filter(source.isNotNull() & target.isNotNull()).select(REPO, source.alias("source"), target.alias("target"), F.lit(name).alias("relation"), metadata.alias("metadata_json"), (F.col("ord") * 4 + step * stage).alias("ord"))
+        """Ordered by file, then step (imports, exports, calls, heritage), then place in the file."""
+        found = rows.filter(source.isNotNull() & target.isNotNull()).join(places, _FILE, "left")
+        place = (F.coalesce("file_ord", F.lit(0)) * 4 + step) * _WITHIN + F.col("ord")
+        return found.select(REPO, source.alias("source"), target.alias("target"), F.lit(name).alias("relation"), metadata.alias("metadata_json"), place.alias("ord"))
 
     meta = lambda key, column: F.to_json(F.struct(F.col(column).alias(key)))
     nothing = F.lit("{}")
@@ -112,8 +155,9 @@ def resolve(files: DataFrame, records: DataFrame, symbols: DataFrame, resolve_in
     classes = classes.join(own, [REPO, "file_id", "name"], "left")
     bases = resolve_names(classes.filter("extends is not null").select(*_FILE, "class_id", "ord", F.col("extends").alias("wanted")), bindings, symbols)
     listed = F.filter(F.flatten(F.transform("implements", lambda x: F.split(x, ","))), lambda x: x != "") if split_implements else F.col("implements")
-    kinds = classes.select(*_FILE, "class_id", "ord", F.posexplode(listed).alias("i", "wanted")).withColumn("ord", F.col("ord") * 1000 + F.col("i")).drop("i")
+    kinds = classes.select(*_FILE, "class_id", "ord", F.posexplode(listed).alias("i", "wanted")).withColumn("ord", F.col("ord") * 1000 + F.col("i") + 1).drop("i")
     kinds = resolve_names(kinds, bindings, symbols)
+    bases = bases.withColumn("ord", F.col("ord") * 1000)
     relations = (
         relation(imports, file_id, F.concat(F.lit("file:"), "target_file"), IMPORTS, meta("module", "module"), 0)
         .unionByName(relation(exports, file_id, F.col("target"), EXPORTS, meta("kind", "kind"), 1))

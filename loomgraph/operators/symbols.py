@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,28 +46,43 @@ def file_symbols(files: DataFrame, strict: bool = False) -> DataFrame:
     return rows.select(F.inline(both))
 
 
-def _nest(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-    """Declarations of one file: parents by a sweep over spans, ids by their parents' names."""
-    order = {category: i for i, category in enumerate(DEFINITIONS)}
-    frame = frame.assign(rank=frame["category"].map(order)).sort_values(["start_offset", "end_offset", "rank", "ord"], ascending=[True, False, True, True])
-    module = {"id": frame["module_id"].iloc[0], "qualified": frame["module_name"].iloc[0], "kind": "module", "start": -1, "end": 1 << 60}
-    stack, used, rows = [module], set(), []
-    for i, r in enumerate(frame.itertuples(index=False)):
-        while len(stack) > 1 and not (stack[-1]["start"] <= r.start_offset and stack[-1]["end"] >= r.end_offset):
-            stack.pop()
-        kind = DEFINITIONS[r.category]
-        parent = next((s for s in reversed(stack) if s["kind"] in ("class", "interface")), module) if kind == "method" else stack[-1]
-        name = f"{parent['qualified']}.{r.name}"
-        name = f"{name}#{r.start_offset}" if name in used else name
-        used.add(name)
-        rows.append({
-            "repository_id": r.repository_id, "id": name, "name": r.name, "kind": "constant" if kind == "variable" and r.kind == "const" else kind, "qualified_name": name, "parent": parent["id"],
-            "file_id": r.file_id, "exported": bool(r.exported) or bool(r.named_export), "start_line": r.start_line, "end_line": r.end_line, "start_offset": r.start_offset, "end_offset": r.end_offset,
-            "path": r.path, "language": r.language, "modifiers": [] if r.modifiers is None else list(r.modifiers), "parameters": [] if r.parameters is None else list(r.parameters), "return_type": r.return_type, "ord": int(r.file_ord) + 2 + i,
-        })
-        if kind in OWNERS:
-            stack.append({"id": name, "qualified": name, "kind": kind, "start": r.start_offset, "end": r.end_offset})
-    return pd.DataFrame(rows, columns=_FIELDS)
+_READ = (
+    "repository_id", "file_id", "path", "language", "category", "name", "kind", "modifiers", "parameters", "return_type", "start_line", "end_line", "start_offset", "end_offset", "module_id", "module_name", "file_ord",
+    "exported",
+)
+
+
+def _nest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Symbols of the declarations of many files, each file's in order: parents by a sweep over spans, ids by their parents' names."""
+    schema, file, module, stack, used, i = None, None, None, [], set(), 0
+    for batch in batches:
+        columns = {c: batch.column(c) for c in _READ}
+        out: dict[str, list] = {c: [] for c in ("id", "kind", "parent", "ord")}
+        keys = ("repository_id", "file_id", "category", "name", "kind", "start_offset", "end_offset", "module_id", "module_name", "file_ord")
+        for repo, file_id, category, own, own_kind, start, end, module_id, module_name, file_ord in zip(*(columns[c].to_pylist() for c in keys), strict=True):
+            if (repo, file_id) != file:
+                # A scope: id, qualified name, kind, start, end.
+                file, module, used, i = (repo, file_id), (module_id, module_name, "module", -1, 1 << 60), set(), 0
+                stack = [module]
+            while len(stack) > 1 and not (stack[-1][3] <= start and stack[-1][4] >= end):
+                stack.pop()
+            kind = DEFINITIONS[category]
+            parent = next((s for s in reversed(stack) if s[2] in ("class", "interface")), module) if kind == "method" else stack[-1]
+            name = f"{parent[1]}.{own}"
+            name = f"{name}#{start}" if name in used else name
+            used.add(name)
+            out["id"].append(name)
+            out["kind"].append("constant" if kind == "variable" and own_kind == "const" else kind)
+            out["parent"].append(parent[0])
+            out["ord"].append(file_ord + 2 + i)
+            if kind in OWNERS:
+                stack.append((name, name, kind, start, end))
+            i += 1
+        made = {"id": pa.array(out["id"], pa.string()), "kind": pa.array(out["kind"], pa.string()), "parent": pa.array(out["parent"], pa.string()), "ord": pa.array(out["ord"], pa.int64())}
+        made["qualified_name"] = made["id"]
+        arrays = [made[c] if c in made else columns[c] for c in _FIELDS]
+        schema = schema or pa.schema([pa.field(c, a.type) for c, a in zip(_FIELDS, arrays, strict=True)])
+        yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
 def extract_symbols(files: DataFrame, records: DataFrame, strict: bool = False) -> DataFrame:
@@ -75,9 +92,13 @@ def extract_symbols(files: DataFrame, records: DataFrame, strict: bool = False)
     exported = records.filter("category = 'exports' and name is not null").select("repository_id", "file_id", "name").distinct().withColumn("named_export", F.lit(True))
     found = records.filter(F.col("category").isin(list(DEFINITIONS)) & (F.col("name") != "") & (F.col("name") != "anonymous"))
     found = found.join(exported, ["repository_id", "file_id", "name"], "left").join(modules, ["repository_id", "file_id"])
-    columns = ["repository_id", "file_id", "path", "language", "category", "name", "kind", "modifiers", "parameters", "return_type", "start_line", "end_line", "start_offset", "end_offset", "ord", "module_id", "module_name", "file_ord"]
-    found = found.select(*columns, F.coalesce("exported", F.lit(False)).alias("exported"), F.coalesce("named_export", F.lit(False)).alias("named_export"))
-    return tops.unionByName(found.groupBy("repository_id", "file_id").applyInPandas(_nest, SYMBOLS))
+    none = {"modifiers": "array<string>", "parameters": "array<struct<name:string,type:string>>"}
+    found = found.withColumns({c: F.coalesce(c, F.array().cast(kind)) for c, kind in none.items()})
+    found = found.withColumn("exported", F.coalesce("exported", F.lit(False)) | F.coalesce("named_export", F.lit(False)))
+    rank = F.element_at(F.create_map(*[F.lit(x) for i, c in enumerate(DEFINITIONS) for x in (c, i)]), F.col("category"))
+    # A file, 1 MiB at most, is read in one task; a task reads many.
+    rows = found.repartition("repository_id", "file_id").sortWithinPartitions("repository_id", "file_id", "start_offset", F.desc("end_offset"), rank, "ord")
+    return tops.unionByName(rows.select(*_READ).mapInArrow(_nest, SYMBOLS))
 
 
 def check_unique(symbols: DataFrame) -> DataFrame:

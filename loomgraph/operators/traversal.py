@@ -6,14 +6,17 @@ Whatever is compared between rounds is a count or a hash, never a set of nodes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.session import Scratch, stored
 
+from .ranks import ranked
+
 REPO = "repository_id"
 _PAIR = [REPO, "id"]
 
@@ -157,6 +160,43 @@ def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return marked.select(REPO, "id", F.when(F.col("stuck"), None).otherwise(F.col("level")).alias("level"), F.coalesce("stuck", F.lit(False)).alias("unresolved"))
 
 
+def topological_order(nodes: DataFrame, edges: DataFrame, relations: Iterable[str] | None = None) -> DataFrame:
+    """(repository_id, id, level, unresolved, place): the order in which Kahn's queue gives the nodes, from 0 without gaps.
+
+    The queue starts with the nodes that nothing leads to, by ``ord``, and takes a node when the last one before it is
+    taken.  So it goes level by level, and a level's nodes follow the place of their last predecessor, then the order of
+    that one's edges: relations as given (else as the node meets them first), then ``ord``.  Each level is numbered over
+    all partitions; ``place`` is null for ``unresolved`` nodes.
+    """
+    scratch = Scratch(nodes.sparkSession)
+    named = None if relations is None else list(relations)
+    edges = edges if named is None else edges.filter(F.col("relation").isin(named))
+    levels = scratch.store(topological_levels(nodes, edges), "order-levels")
+    if named is None:
+        first = edges.groupBy(REPO, "src", "relation").agg(F.min("ord").alias("turn"))
+        turned = edges.join(first, [REPO, "src", "relation"])
+    else:
+        turned = edges.withColumn("turn", F.array_position(F.array(*map(F.lit, named)), F.col("relation")))
+    links = turned.groupBy(REPO, F.col("src").alias("id"), F.col("dst").alias("next")).agg(F.min(F.struct("turn", "ord")).alias("edge"))
+    known = levels.filter("not unresolved")
+    ahead = known.select(REPO, F.col("id").alias("next"), (F.col("level") - 1).alias("level"))
+    links = scratch.store(links.join(known.select(REPO, "id", "level"), _PAIR).join(ahead, [REPO, "next", "level"]), "order-links")
+    counts = known.groupBy(REPO, "level").agg(F.count("*").alias("n"))
+    before = counts.select(REPO, "level", (F.sum("n").over(Window.partitionBy(REPO).orderBy("level")) - F.col("n")).alias("before"))
+    last = known.agg(F.max("level")).first()[0]
+    turn = known.filter("level = 0").join(nodes.select(REPO, "id", "ord"), _PAIR).select(REPO, "id", F.struct("ord", "id").alias("key"))
+    parts = []
+    for level in range((last if last is not None else -1) + 1):
+        place = ranked(turn, [REPO], ["key"], "rank", scratch).select(REPO, "id", "rank", F.lit(level).alias("level"))
+        parts.append(place)
+        met = links.filter(F.col("level") == level).join(place.select(REPO, "id", "rank"), _PAIR)
+        turn = met.groupBy(REPO, F.col("next").alias("id")).agg(F.max(F.struct("rank", "edge")).alias("key"))
+    if not parts:
+        return levels.withColumn("place", F.lit(None).cast("bigint"))
+    every = reduce(DataFrame.unionByName, parts).join(before, [REPO, "level"]).select(REPO, "id", (F.col("rank") + F.col("before")).alias("place"))
+    return levels.join(every, _PAIR, "left")
+
+
 def _spread(values: DataFrame, links: DataFrame, best: str) -> DataFrame:
     """(repository_id, id, value) after each id has taken the ``best`` (min or max) value along the links, to the end."""
     take, now = F.min if best == "min" else F.max, None
@@ -244,8 +284,8 @@ def cycles(nodes: DataFrame, edges: DataFrame, components: DataFrame | None = No
 def condensation(nodes: DataFrame, edges: DataFrame, components: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(components with members, distinct edges between components, component of each node)."""
     parts = stored(strong_components(nodes, edges) if components is None else components, "condensed")
-    name: Column = F.concat(F.lit("scc:"), F.dense_rank().over(Window.partitionBy(REPO).orderBy("component")) - 1)
-    members = parts.groupBy(REPO, "component").agg(F.sort_array(F.collect_list("id")).alias("members")).withColumn("name", name)
+    members = parts.groupBy(REPO, "component").agg(F.sort_array(F.collect_list("id")).alias("members"))
+    members = ranked(members, [REPO], ["component"]).withColumn("name", F.concat(F.lit("scc:"), "place")).drop("place", "place_total")
     a = parts.select(REPO, F.col("id").alias("src"), F.col("component").alias("src_component"))
     b = parts.select(REPO, F.col("id").alias("dst"), F.col("component").alias("dst_component"))
     between = edges.join(a, [REPO, "src"]).join(b, [REPO, "dst"]).filter("src_component <> dst_component")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.operators import catalog, chunks, diagram, rag, resolve, symbols, traversal
+from loomgraph.operators import catalog, chunks, diagram, gram_index, rag, resolve, symbols, traversal, vector_index
+from loomgraph.session import shared_dir, stored
 from loomgraph.sources import files as scanned
 from loomgraph.sources import vector_store
 
@@ -244,6 +246,17 @@ def class_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traversal.topological_levels(nav.search_by_type("Class"), nav.iterate_edges(("EXTENDS",))).select("id", "level")
 
 
+@query(f"""
+WITH RECURSIVE {SQL_GRAPH}, ext AS (SELECT src, dst FROM k_rel WHERE relation = 'EXTENDS'),
+r AS (SELECT id, id AS head, 0 AS level FROM k_class WHERE id NOT IN (SELECT dst FROM ext) UNION ALL SELECT dst, head, level + 1 FROM r JOIN ext ON src = r.id)
+SELECT r.id, level, row_number() OVER (PARTITION BY h.repo ORDER BY level, h.file, h.i) - 1 AS place FROM r JOIN k_class h ON h.id = r.head""")
+def class_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order itself: a class after all that extend it, in the order of Kahn's queue."""
+    nav = code(spark, sf_dir).navigator
+    classes = nav.search_by_type("Class")
+    return traversal.topological_order(classes, nav.edges, ("EXTENDS",)).select("id", "level", "place")
+
+
 _CALL_REACH = f"""{SQL_GRAPH},
 e AS (SELECT src, dst FROM k_edges WHERE relation IN ('CONTAINS', 'CALLS') AND contains(src, '.o') AND NOT starts_with(src, 'module:')),
 reach AS (SELECT src AS a, dst AS b FROM e UNION SELECT a, dst FROM reach JOIN e ON src = b),
@@ -348,10 +361,6 @@ def chunk_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_CHUNKS} SELECT repo AS repository_id, count(*) AS n FROM k_chunk GROUP BY repo")
 def chunks_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks embedded, written to a store twice (the second time half of them, changed), and counted as they are there."""
-    import uuid
-
-    from loomgraph.session import shared_dir, stored
-
     embedded = stored(rag.embed_chunks(_chunks(spark, sf_dir).drop("start_offset"), rag.hashing_embedder(8)), "embedded")
     path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
     vector_store.write_upsert(spark, path, embedded)
@@ -373,6 +382,39 @@ def vector_search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "vec_id", F.round("score", 5).alias("score"), "place")
 
 
+def _index(spark: SparkSession, sf_dir: str, group: str | None = None) -> vector_index.VectorIndex:
+    return vector_index.build(table(spark, sf_dir, "embeddings"), f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}", "vec_id", "embedding", group)
+
+
+@query(ORACLE_SQL["vector_search_all"])
+def vector_index_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through the index, every list probed."""
+    asked = table(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0")
+    found = vector_index.search(_index(spark, sf_dir), asked, 5, "vec_id", "embedding", share=1.0)
+    return found.select("query_id", "vec_id", F.round("score", 5).alias("score"), "place")
+
+
+@query("""
+WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, (1 + list_cosine_similarity(v.e, q.e)) / 2 AS score FROM v JOIN v q USING (label) WHERE q.vec_id % 20 = 0)
+SELECT query_id, vec_id, round(score, 5) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS place FROM s) WHERE place <= 5""")
+def vector_index_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each query within its own label, as a question is asked within a repository; every list of the label probed."""
+    asked = table(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0")
+    found = vector_index.search(_index(spark, sf_dir, "label"), asked, 5, "vec_id", "embedding", "label", share=1.0)
+    return found.select("query_id", "vec_id", F.round("score", 5).alias("score"), "place")
+
+
+@query("SELECT count(*) AS n_queries, true AS enough FROM embeddings WHERE vec_id % 20 = 0")
+def vector_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether every twentieth vector finds nine tenths of its five nearest, when no more lists are probed than the fit asks for."""
+    vectors = table(spark, sf_dir, "embeddings")
+    asked = vectors.filter("vec_id % 20 = 0")
+    found = vector_index.search(_index(spark, sf_dir), asked, 5, "vec_id", "embedding")
+    exact = rag.search_many(vectors, asked, "vec_id", "embedding", 5)
+    return vector_index.recall(found, exact, "vec_id").select("n_queries", (F.col("recall") >= 0.9).alias("enough"))
+
+
 @query(r"""
 SELECT doc_id, text AS answer, round(n_chars / 100000.0, 6) AS confidence, 'chunk:' || doc_id AS chunk_id, source || '.txt' AS file_path, 'doc' || doc_id AS symbol_name, 1 AS start_line, n_chars::INTEGER AS end_line, 0 AS n_followup
 FROM documents WHERE text IS NOT NULL""")
@@ -391,6 +433,42 @@ def answers_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# -- search by trigrams ------------------------------------------------------------------------------
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every twentieth part's name as a query: as it is, padded, or (every 200th) abbreviated so that no name holds its trigrams; and a blank one."""
+    key, name = F.col("p_partkey"), F.col("p_name")
+    short = F.concat(F.substring(name, 1, 2), F.substring(name, -2, 2), F.when(key % 400 == 0, "zz").otherwise(""))
+    asked = F.when(key % 200 == 0, short).when(key % 40 == 0, F.concat(F.lit("  "), F.upper(name), F.lit("\t "))).when(key == 20, " ").otherwise(name)
+    return table(spark, sf_dir, "part").filter(key % 20 == 0).select(F.lit("T").alias(REPO), key.alias("query_id"), asked.alias("query"))
+
+
+@query("""
+WITH n AS (SELECT DISTINCT p_name AS name FROM part),
+a AS (
+  SELECT p_partkey AS query_id, lower(CASE WHEN p_partkey % 200 = 0 THEN left(p_name, 2) || right(p_name, 2) || CASE WHEN p_partkey % 400 = 0 THEN 'zz' ELSE '' END ELSE p_name END) AS q
+  FROM part WHERE p_partkey % 20 = 0 AND p_partkey <> 20),
+q AS (SELECT DISTINCT q, list_transform(range(1, length(q) - 1), lambda i: substr(q, i, 3)) AS grams FROM a),
+p AS (SELECT q, name, len(list_filter(grams, lambda g: NOT contains(name, g))) = 0 AS pooled FROM q, n),
+s AS (
+  SELECT q, name, pooled, list_reduce(list_prepend({'c': '', 'at': 0, 'n': 0, 'ok': true}, list_transform(range(1, length(q) + 1), lambda i: {'c': substr(q, i, 1), 'at': 0, 'n': 0, 'ok': true})),
+      lambda s, x: {'c': '', 'at': (s['at'] + strpos(substr(name, s['at'] + 1), x['c']))::INTEGER, 'n': (s['n'] + 10 - least(strpos(substr(name, s['at'] + 1), x['c']) - 1, 9))::INTEGER,
+                    'ok': s['ok'] AND strpos(substr(name, s['at'] + 1), x['c']) > 0}) AS walk
+  FROM p WHERE pooled OR q NOT IN (SELECT q FROM p WHERE pooled)),
+t AS (
+  SELECT q, name, CASE WHEN name = q THEN 1000 WHEN starts_with(name, q) THEN 800 - length(name) WHEN contains(name, q) THEN 600 - length(name) WHEN walk['ok'] THEN walk['n'] ELSE 0 END AS score FROM s),
+r AS (
+  SELECT q, p_partkey, name, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, name, p_partkey) AS place
+  FROM t JOIN part ON p_name = name WHERE score > 0)
+SELECT query_id, 'part:' || p_partkey AS id, name, score, place FROM a JOIN r USING (q) WHERE place <= 20""")
+def fuzzy_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many fuzzy queries answered from posting lists."""
+    parts = table(spark, sf_dir, "part").select(F.lit("T").alias(REPO), F.concat(F.lit("part:"), "p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_partkey").alias("ord"))
+    index = gram_index.build(parts, f"{shared_dir(spark)}/grams-{uuid.uuid4().hex}")
+    return gram_index.search_many(index, _asked(spark, sf_dir), 20, binary=True).drop(REPO)
+
+
 # -- jobs --------------------------------------------------------------------------------------------
 
 

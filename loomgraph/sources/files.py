@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions.paths import extension, ignored, language, normalized
+from loomgraph.operators.ranks import ranked
 
 MAX_BYTES = 1024 * 1024
 _COLUMNS = ("absolute_path", "extension", "language", "size", "last_modified", "ord", "content")
@@ -59,4 +60,4 @@ def parseable(sources: DataFrame) -> DataFrame:
 
 def in_path_order(files: DataFrame) -> DataFrame:
     """Numbers files by path within each repository."""
-    return files.withColumn("ord", (F.row_number().over(Window.partitionBy("repository_id").orderBy("path")) - 1).cast("bigint"))
+    return ranked(files, ["repository_id"], ["path"], "ord").withColumn("ord", F.col("ord").cast("bigint")).drop("ord_total")
