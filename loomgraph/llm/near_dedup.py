@@ -16,16 +16,18 @@ Classes.
 1. Rows of equal word sequences are one node (128 bits of the sequence); links join different nodes.
 2. Each band value links its nodes to the one of them that shares most bands with others: one
    candidate a node and band, left out where the numbers of regions rule a link out.
-3. Candidates are verified on the regions themselves (32 bits of each hash), which are only taken from
+3. Candidates are verified on the regions themselves, which are only taken from
    nodes that share a band; the verified links are contracted to classes.
 4. A band value that still holds several classes elects two new leaders, one of its first leader's class
    and one of the others, and its nodes of other classes are compared with them; this goes on round by
-   round, and each round's work is linear in what is left.  A value is done when it holds one class,
-   when all its pairs were compared, or when ``PATIENCE`` rounds in a row joined no classes of it.  In the
-   last case, possible where four nodes or more share a band value without resembling its leaders, a link
-   can be missed unless another of the 24 values shows it; README states the measured recall.
-5. Components come from alternating large-star and small-star steps over the links, as joins and
-   groupings; nothing is collected.
+   round, and each round's work is linear in what is left.  A value leaves the rounds when it holds one class,
+   when all its pairs were compared, or when ``PATIENCE`` rounds in a row joined no classes of it.
+5. Nodes of values that left with several classes are joined exactly: two of them can only reach the threshold
+   if they share one of the rarest fifth of their regions (prefix filtering, in the order of a histogram of
+   ``CELLS`` cells over all their regions), so pairs that share such a region, of different classes and of sizes that
+   allow a link, are verified.  What many texts have in common isn't among their rarest regions.
+6. Components come from alternating large-star and small-star steps over the links, as joins and
+   groupings; neither links nor nodes are collected.
 
 Defined cases: a text without words (null, empty, blanks) is a class of its own; rows are told apart by
 their texts, so a doc_id that repeats with other texts has a class for each, and rows without an id
@@ -39,6 +41,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -51,8 +54,10 @@ from .words import Words, mix, pieces
 BANDS, ROWS = 24, 4
 K = BANDS * ROWS
 THRESHOLD = 0.8
-#: Rounds without a new link after which a band value is done.
+#: Rounds without a new link after which a band value is left to the exact join.
 PATIENCE = 1
+#: Cells of the histogram that orders regions from rare to frequent: what the driver gets and tasks are sent, 2 MB.
+CELLS = 1 << 18
 #: Parts into which the rows of a class are dealt when its name changes.
 SALTS = 16
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -147,13 +152,61 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The regions of each text, as the upper halves of their hashes."""
+    """The hashes of the regions of each text."""
     for batch in pieces(batches, "text"):
         words = Words(batch.column("text"))
         owner, region = unit_regions(*words.shingles())
         offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(words.count)))]).astype(np.int32)
-        values = pa.array((region >> np.uint64(32)).astype(np.uint32).view(np.int32))
-        yield pa.RecordBatch.from_arrays([_nodes(words), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["node", "regions"])
+        yield pa.RecordBatch.from_arrays([_nodes(words), pa.ListArray.from_arrays(pa.array(offsets), pa.array(region.view(np.int64)))], names=["node", "regions"])
+
+
+def _cells(regions: np.ndarray) -> np.ndarray:
+    return (mix(regions.view(np.uint64)) % np.uint64(CELLS)).astype(np.int64)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many regions of a task's texts fall into each cell."""
+    n = np.zeros(CELLS, np.int64)
+    for batch in batches:
+        flat = batch.column("regions").flatten().to_numpy(zero_copy_only=False)
+        np.add.at(n, _cells(flat), 1)
+    cell = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n[cell])], names=["cell", "n"])
+
+
+def prefix_size(size: int) -> int:
+    """So many of the rarest regions of two sets must meet if the sets reach the threshold."""
+    return size - math.ceil(THRESHOLD * size - 1e-9) + 1
+
+
+def _exact(rest: DataFrame, roots: DataFrame, regions: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): the links among ``rest`` (value, node, size) between nodes whose classes differ."""
+    named = rest.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = named.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("value")
+    nodes = scratch.store(named.join(several.hint("merge"), "value", "left_semi").select("node", "root", "size").distinct(), "near-rest")
+    own = scratch.store(nodes.join(regions.hint("merge"), "node"), "near-rest-regions")
+    cells = own.select("regions").mapInArrow(lean(_counted), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros(CELLS, np.int64)
+    n[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            firsts, counts = [], []
+            for row in batch.column("regions"):
+                own = row.values.to_numpy(zero_copy_only=False)
+                order = np.lexsort((own, n[_cells(own)]))
+                firsts.append(own[order[: prefix_size(len(own))]])
+                counts.append(len(firsts[-1]))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+            values = pa.array(np.concatenate([np.zeros(0, np.int64), *firsts]))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("node", "root", "size")], pa.ListArray.from_arrays(offsets, values)], names=["node", "root", "size", "firsts"])
+
+    firsts = own.mapInArrow(lean(rare), "node binary, root binary, size int, firsts array<bigint>").select("node", "root", "size", F.explode("firsts").alias("region"))
+    shared = firsts.groupBy("region").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("region")
+    met = scratch.store(firsts.join(shared.hint("merge"), "region", "left_semi"), "near-rare")
+    one, two = (met.select("region", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "root", "size")]) for k in ("a", "b"))
+    pairs = one.join(two.hint("merge"), "region").filter(f"node_a < node_b and root_a <> root_b and least(size_a, size_b) >= {THRESHOLD} * greatest(size_a, size_b)")
+    return scratch.store(_verify(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), regions), "near-exact")
 
 
 def _verify(pairs: DataFrame, regions: DataFrame) -> DataFrame:
@@ -229,7 +282,7 @@ def _linked(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     # The texts involved grow with the corpus: one plan at every size.  Copies of a text meet on the map side.
     involved = together.select("node").distinct().join(own.select("node", "tag").hint("merge"), "node").select("tag")
     wanted = rows.select("tag", "text").dropDuplicates(["tag"]).join(involved.hint("merge"), "tag", "left_semi").select("text")
-    regions = scratch.store(wanted.mapInArrow(lean(_regions), "node binary, regions array<int>"), "near-regions")
+    regions = scratch.store(wanted.mapInArrow(lean(_regions), "node binary, regions array<bigint>"), "near-regions")
     alone = together.withColumn("root", F.col("node"))
     links = scratch.store(_verify(_candidates(alone, first), regions).select("a", "b"), "near-links")
 
@@ -237,7 +290,7 @@ def _linked(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     roots = components(links)
     led = F.col("node") == F.col("lead.node")
     left = alone.join(first.hint("merge"), "value").select("value", "node", "size", "root", led.alias("led"), F.col("lead.node").alias("main"), F.lit(-1).alias("idle"))
-    names, turn = roots.withColumnsRenamed({"root": "named", "node": "root"}), 0
+    names, turn, rest = roots.withColumnsRenamed({"root": "named", "node": "root"}), 0, []
     while True:
         turn += 1
         # From the second round on, a class may hold many rows under one name: its rows are dealt by salt.
@@ -249,10 +302,12 @@ def _linked(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
             F.min("root").alias("low"), F.max("root").alias("high"), F.count_if(~F.col("led")).alias("fresh"),
             F.max(F.when(F.col("node") == F.col("main"), F.col("root"))).alias("main_root"), F.max("idle").alias("idle"), F.bool_or("renamed").alias("renamed"),
         )
-        # A value stays while it holds several classes, two nodes that haven't led, and hasn't been idle too long.
-        state = state.filter("low <> high and fresh > 1").select("value", "main_root", F.when(F.col("renamed"), 0).otherwise(F.col("idle") + 1).alias("idle")).filter(F.col("idle") < PATIENCE)
+        # A value stays while it holds several classes and two nodes that haven't led; too long idle, it is left to the exact join.
+        state = state.filter("low <> high and fresh > 1").select("value", "main_root", F.when(F.col("renamed"), 0).otherwise(F.col("idle") + 1).alias("idle"))
         now = left.drop("idle", "renamed").join(state.hint("merge"), "value").withColumn("seat", F.col("root") == F.col("main_root")).drop("main_root")
         now = scratch.store(now, "near-left")
+        rest.append(now.filter((F.col("idle") >= PATIENCE) & ~F.col("led")).select("value", "node", "size"))
+        now = now.filter(F.col("idle") < PATIENCE)
         if now.isEmpty():
             break
         # One leader a seat: the least hash among those that haven't led.
@@ -265,6 +320,11 @@ def _linked(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
         names = _hooked(more)
     if turn > 1:
         roots = components(links)
+    left_over = reduce(DataFrame.unionByName, rest)
+    if not left_over.isEmpty():
+        more = _exact(left_over, roots, regions, scratch)
+        if not more.isEmpty():
+            roots = components(links.unionByName(more))
     roots = scratch.store(own.select("node").join(roots.hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("root")), "near-roots")
     return sketches, roots
 

@@ -327,8 +327,13 @@ def test_near_classes(spark, odd, none):
     assert left.columns == odd.columns and {r["doc_id"] for r in left.collect()} >= {1, 2, 6, 9, None} and 7 not in {r["doc_id"] for r in left.collect()}
 
 
-def test_classes_of_a_band_value_without_a_common_text(spark, monkeypatch):
-    """Copies of an unseen text, near 0.8 to one another, and chains: links that the first leader doesn't see."""
+@pytest.mark.parametrize("patience", [0, 1])
+def test_classes_of_a_band_value_without_a_common_text(spark, monkeypatch, patience):
+    """Copies of an unseen text, near 0.8 to one another, and chains: links that the first leader doesn't see.
+
+    Without patience all that the first leader leaves goes to the exact join.
+    """
+    monkeypatch.setattr(near_dedup, "PATIENCE", patience)
     rng = np.random.default_rng(4)
     docs = []
     for g in range(3):
