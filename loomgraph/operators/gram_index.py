@@ -42,14 +42,15 @@ def build(nodes: DataFrame, path: str) -> GramIndex:
     ids = ranked(nodes.filter("name is not null").select(REPO, "id", "name", "ord"), [REPO, "name"], ["ord", "id"], "spot", scratch).drop("spot_total")
     ids.write.parquet(f"{path}/ids")
     scratch.keep()
-    names = spark.read.parquet(f"{path}/ids").filter("spot = 0").select(REPO, "name")
+    names = spark.read.schema(ids.schema).parquet(f"{path}/ids").filter("spot = 0").select(REPO, "name")
     names.select(REPO, F.explode(trigrams(collapsed(F.col("name")))).alias("gram"), "name").repartitionByRange(REPO, "gram", "name").sortWithinPartitions(REPO, "gram").write.parquet(f"{path}/grams")
-    spark.read.parquet(f"{path}/grams").groupBy(REPO, "gram").agg(F.count("*").alias("n")).write.parquet(f"{path}/counts")
+    spark.read.schema("repository_id string, gram string, name string").parquet(f"{path}/grams").groupBy(REPO, "gram").agg(F.count("*").alias("n")).write.parquet(f"{path}/counts")
     return load(spark, path)
 
 
 def load(spark: SparkSession, path: str) -> GramIndex:
-    return GramIndex(*(spark.read.parquet(f"{path}/{part}") for part in ("grams", "counts", "ids")))
+    schemas = {"grams": "repository_id string, gram string, name string", "counts": "repository_id string, gram string, n bigint", "ids": "repository_id string, id string, name string, ord bigint, spot bigint"}
+    return GramIndex(*(spark.read.schema(kind).parquet(f"{path}/{part}") for part, kind in schemas.items()))
 
 
 def _pooled(index: GramIndex, asked: DataFrame) -> DataFrame:

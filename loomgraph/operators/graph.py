@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.paths import prefixes
@@ -91,10 +91,8 @@ def parent_edges(symbols: DataFrame) -> DataFrame:
     )
 
 
-def relation_edges(relations: DataFrame, stage: int) -> DataFrame:
-    return relations.select(
-        "repository_id", F.col("source").alias("src"), F.col("target").alias("dst"), "relation", "metadata_json", (F.col("ord") + _LATER * 256 * stage).alias("ord")
-    )
+def relation_edges(relations: DataFrame, after: int) -> DataFrame:
+    return relations.select("repository_id", F.col("source").alias("src"), F.col("target").alias("dst"), "relation", "metadata_json", (F.col("ord") + after).alias("ord"))
 
 
 def build_graph(symbols: DataFrame, relations: DataFrame, usages: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -113,12 +111,7 @@ def build_graph(symbols: DataFrame, relations: DataFrame, usages: DataFrame | No
         F.lit(-1).cast("bigint").alias("ord"),
     )
     nodes = first_nodes(repositories.unionByName(symbol_nodes(symbols)).unionByName(folder_nodes(files)))
-    edges = containment_edges(files).unionByName(parent_edges(symbols)).unionByName(relation_edges(relations, 2))
+    edges = containment_edges(files).unionByName(parent_edges(symbols)).unionByName(relation_edges(relations, _LATER * 512))
     if usages is not None:
-        edges = edges.unionByName(relation_edges(usages, 3))
+        edges = edges.unionByName(relation_edges(usages, 1 << 61))
     return nodes, valid_edges(edges, nodes)
-
-
-def numbered(df: DataFrame, *keys: str, by: str = "ord") -> DataFrame:
-    """Adds ``place``, the row's number (from 0) within ``keys`` by ``by``."""
-    return df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(by)) - 1)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import search, traversal
+from .adjacency import Adjacency, store
 from .graph import CALLS, CONTAINS, DECLARES, EXPORTS, EXTENDS, IMPLEMENTS, IMPORTS, READS, STRUCTURE, USES, WRITES
 
 DEPENDENCIES = (IMPORTS, CALLS, EXTENDS, IMPLEMENTS, USES, READS, WRITES)
@@ -24,13 +25,19 @@ REPO = "repository_id"
 class Navigator:
     """The 39 questions that can be asked of a knowledge graph."""
 
-    def __init__(self, nodes: DataFrame, edges: DataFrame):
-        self.nodes, self.edges = nodes, edges
+    def __init__(self, nodes: DataFrame, edges: DataFrame, adjacent: dict[str, Adjacency] | None = None):
+        self.nodes, self.edges, self.adjacent = nodes, edges, adjacent
+
+    def indexed(self, buckets: int | None = None) -> Navigator:
+        """The same questions over edges stored by source and by target, so that asking doesn't shuffle edges."""
+        return Navigator(self.nodes, self.edges, {by: store(self.edges, by, buckets) for by in ("src", "dst")})
 
     # -- lookups -------------------------------------------------------------------------------
 
     def repository(self, repository_id: str) -> Navigator:
         """The same questions about one repository; prunes partitions of tables written by repository."""
+        if self.adjacent is not None:
+            raise ValueError("take the repository first, then index it")
         return Navigator(self.nodes.filter(F.col(REPO) == repository_id), self.edges.filter(F.col(REPO) == repository_id))
 
     def ids(self, of: Ids) -> DataFrame:
@@ -52,20 +59,26 @@ class Navigator:
     def iterate_edges(self, relations: Iterable[str] | None = None) -> DataFrame:
         return self.edges if relations is None else self.edges.filter(F.col("relation").isin(list(relations)))
 
+    def _met(self, by: str, ids: Ids, relations: Iterable[str] | None) -> list[DataFrame]:
+        if self.adjacent is not None:
+            return self.adjacent[by].met(self.ids(ids), relations)
+        return [self.iterate_edges(relations).join(self.ids(ids).withColumnRenamed("id", by), [REPO, by], "left_semi")]
+
     def edges_from(self, ids: Ids, relations: Iterable[str] | None = None) -> DataFrame:
-        return self.iterate_edges(relations).join(self.ids(ids).withColumnRenamed("id", "src"), [REPO, "src"], "left_semi")
+        return reduce(DataFrame.unionByName, self._met("src", ids, relations))
 
     def edges_to(self, ids: Ids, relations: Iterable[str] | None = None) -> DataFrame:
-        return self.iterate_edges(relations).join(self.ids(ids).withColumnRenamed("id", "dst"), [REPO, "dst"], "left_semi")
+        return reduce(DataFrame.unionByName, self._met("dst", ids, relations))
 
     def neighbors(self, ids: Ids, relations: Iterable[str] | None = None, direction: str = "outgoing") -> DataFrame:
         """Distinct (repository_id, id, neighbor)."""
         parts = []
-        if direction in ("outgoing", "both"):
-            parts.append(self.edges_from(ids, relations).select(REPO, F.col("src").alias("id"), F.col("dst").alias("neighbor")))
-        if direction in ("incoming", "both"):
-            parts.append(self.edges_to(ids, relations).select(REPO, F.col("dst").alias("id"), F.col("src").alias("neighbor")))
-        return reduce(DataFrame.unionByName, parts).distinct()
+        for by, other, when in (("src", "dst", ("outgoing", "both")), ("dst", "src", ("incoming", "both"))):
+            if direction in when:
+                parts += [met.select(REPO, F.col(by).alias("id"), F.col(other).alias("neighbor")).distinct() for met in self._met(by, ids, relations)]
+        found = reduce(DataFrame.unionByName, parts)
+        # Parts of one direction have no id in common.
+        return found.distinct() if direction == "both" else found
 
     def has_edge(self, pairs: DataFrame, relations: Iterable[str] | None = None) -> DataFrame:
         """Those of the pairs (repository_id, src, dst) that an edge joins in this direction."""
@@ -99,6 +112,8 @@ class Navigator:
     def parents(self) -> DataFrame:
         """(repository_id, id, parent): the first parent of every node that has one."""
         held = self.iterate_edges(STRUCTURE)
+        if self.adjacent is not None and self.adjacent["dst"].heavy is None:
+            held = self.adjacent["dst"].light.filter(F.col("relation").isin(list(STRUCTURE)))
         return held.groupBy(REPO, F.col("dst").alias("id")).agg(F.min_by("src", "ord").alias("parent"))
 
     def get_parent(self, ids: Ids) -> DataFrame:

@@ -18,7 +18,7 @@ REPO = "repository_id"
 # Endings tried on a module's path, in this order.
 ENDINGS = (".js", ".mjs", ".cjs", ".ts", ".tsx", ".py", ".java", ".go", ".rs")
 _FILE = [REPO, "file_id"]
-#: More than the places of the references of one step in one file, 1 MiB long at most.
+#: More than a thousand times the places of the references of one step in one file, 1 MiB long at most.
 _WITHIN = 1 << 32
 
 
@@ -137,12 +137,12 @@ def resolve(files: DataFrame, records: DataFrame, symbols: DataFrame, resolve_in
     imports = resolve_modules(records.filter("category = 'imports'"), files, resolve_index)
     bindings = resolve_bindings(imports, records, symbols)
     file_id = F.concat(F.lit("file:"), "file_id")
-    places = files.select(REPO, F.col("path").alias("file_id"), F.col("ord").alias("file_ord"))
+    places = files.select(REPO, F.col("path").alias("file_id"), F.col("ord").alias("file_ord")).join(records.groupBy(*_FILE).agg(F.min("ord").alias("first")), _FILE)
 
-    def relation(rows: DataFrame, source, target, name: str, metadata, step: int) -> DataFrame:
-        """Ordered by file, then step (imports, exports, calls, heritage), then place in the file."""
-        found = rows.filter(source.isNotNull() & target.isNotNull()).join(places, _FILE, "left")
-        place = (F.coalesce("file_ord", F.lit(0)) * 4 + step) * _WITHIN + F.col("ord")
+    def relation(rows: DataFrame, source, target, name: str, metadata, step: int, turn=None) -> DataFrame:
+        """Ordered by file, then step (imports, exports, calls, heritage), then place in the file, then ``turn``."""
+        found = rows.filter(source.isNotNull() & target.isNotNull()).join(places, _FILE)
+        place = (F.col("file_ord") * 4 + step) * _WITHIN + (F.col("ord") - F.col("first")) * 1000 + (F.lit(0) if turn is None else turn)
         return found.select(REPO, source.alias("source"), target.alias("target"), F.lit(name).alias("relation"), metadata.alias("metadata_json"), place.alias("ord"))
 
     meta = lambda key, column: F.to_json(F.struct(F.col(column).alias(key)))
@@ -155,15 +155,14 @@ def resolve(files: DataFrame, records: DataFrame, symbols: DataFrame, resolve_in
     classes = classes.join(own, [REPO, "file_id", "name"], "left")
     bases = resolve_names(classes.filter("extends is not null").select(*_FILE, "class_id", "ord", F.col("extends").alias("wanted")), bindings, symbols)
     listed = F.filter(F.flatten(F.transform("implements", lambda x: F.split(x, ","))), lambda x: x != "") if split_implements else F.col("implements")
-    kinds = classes.select(*_FILE, "class_id", "ord", F.posexplode(listed).alias("i", "wanted")).withColumn("ord", F.col("ord") * 1000 + F.col("i") + 1).drop("i")
+    kinds = classes.select(*_FILE, "class_id", "ord", F.posexplode(listed).alias("i", "wanted"))
     kinds = resolve_names(kinds, bindings, symbols)
-    bases = bases.withColumn("ord", F.col("ord") * 1000)
     relations = (
         relation(imports, file_id, F.concat(F.lit("file:"), "target_file"), IMPORTS, meta("module", "module"), 0)
         .unionByName(relation(exports, file_id, F.col("target"), EXPORTS, meta("kind", "kind"), 1))
         .unionByName(relation(calls, F.col("scope"), F.col("target"), CALLS, meta("callee", "wanted"), 2))
         .unionByName(relation(bases, F.col("class_id"), F.col("target"), EXTENDS, nothing, 3))
-        .unionByName(relation(kinds, F.col("class_id"), F.col("target"), IMPLEMENTS, nothing, 3))
+        .unionByName(relation(kinds, F.col("class_id"), F.col("target"), IMPLEMENTS, nothing, 3, F.col("i") + 1))
     )
 
     def reference(rows: DataFrame, kind: str, name, target) -> DataFrame:

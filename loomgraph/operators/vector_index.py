@@ -100,22 +100,24 @@ def build(vectors: DataFrame, path: str, key: str = "id", column: str = "embeddi
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     rows.mapInArrow(assign, f"{kinds}, list bigint").write.parquet(f"{path}/assigned")
-    assigned = spark.read.parquet(f"{path}/assigned")
+    assigned = spark.read.schema(f"{kinds}, list bigint").parquet(f"{path}/assigned")
     sizes = assigned.groupBy("group", "list").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / PART))
     sizes.write.parquet(f"{path}/sizes")
-    sizes = spark.read.parquet(f"{path}/sizes")
+    sizes = spark.read.schema(sizes.schema).parquet(f"{path}/sizes")
     dealt = assigned.join(sizes.select("group", "list", "parts"), ["group", "list"]).withColumn("part", F.pmod(F.xxhash64("key"), "parts")).drop("parts")
     dealt.repartition("list", "part").sortWithinPartitions("list", "group").write.partitionBy("list").parquet(f"{path}/lists")
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/assigned")
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-    spark.createDataFrame([(i, c.tolist(), share) for i, c in enumerate(centroids)], "list bigint, centroid array<double>, share double").coalesce(1).write.parquet(f"{path}/centroids")
+    kind = rows.schema["key"].dataType.simpleString()
+    spark.createDataFrame([(i, c.tolist(), share, kind) for i, c in enumerate(centroids)], "list bigint, centroid array<double>, share double, key_type string").coalesce(1).write.parquet(f"{path}/centroids")
     return load(spark, path)
 
 
 def load(spark: SparkSession, path: str) -> VectorIndex:
     rows = spark.read.parquet(f"{path}/centroids").orderBy("list").collect()
-    lists = spark.read.parquet(f"{path}/lists").withColumn("list", F.col("list").cast("bigint"))
-    return VectorIndex(lists, spark.read.parquet(f"{path}/sizes"), np.array([r["centroid"] for r in rows]), rows[0]["share"])
+    # An index of nothing has no files to take a schema from.
+    lists = spark.read.schema(f"`group` string, key {rows[0]['key_type']}, vector array<double>, part bigint, list bigint").parquet(f"{path}/lists")
+    return VectorIndex(lists, spark.read.schema("`group` string, list bigint, n bigint, parts bigint").parquet(f"{path}/sizes"), np.array([r["centroid"] for r in rows]), rows[0]["share"])
 
 
 def _probes(index: VectorIndex, queries: DataFrame, least: int, share: float) -> DataFrame:

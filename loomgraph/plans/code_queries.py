@@ -257,6 +257,21 @@ def class_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traversal.topological_order(classes, nav.edges, ("EXTENDS",)).select("id", "level", "place")
 
 
+@query(f"""
+WITH {SQL_GRAPH} SELECT 'caller' AS role, repo AS repository_id, dst AS id, src AS neighbor FROM k_edges WHERE relation = 'CALLS' GROUP BY ALL
+UNION ALL SELECT 'child', repo, src, dst FROM k_edges WHERE relation = 'CONTAINS' GROUP BY ALL
+UNION ALL SELECT 'dependent', repo, dst, src FROM k_edges WHERE relation IN ('IMPORTS', 'CALLS', 'EXTENDS', 'IMPLEMENTS') GROUP BY ALL
+UNION ALL SELECT 'parent', repo, id, parent FROM k_sym WHERE parent IS NOT NULL AND kind IN ('class', 'method')""")
+def adjacent_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Callers, dependents and children of all nodes, and parents of classes and methods, from stored adjacency."""
+    nav = code(spark, sf_dir).navigator.indexed()
+    every = nav.node_ids()
+    held = nav.get_parent(nav.nodes.filter("type in ('Class', 'Method')")).withColumnRenamed("parent", "neighbor")
+    asked = {"caller": nav.get_callers(every), "child": nav.get_children(every).withColumnRenamed("child", "neighbor"), "dependent": nav.get_dependents(every), "parent": held}
+    rows = [found.select(F.lit(role).alias("role"), REPO, "id", "neighbor") for role, found in asked.items()]
+    return rows[0].union(rows[1]).union(rows[2]).union(rows[3])
+
+
 _CALL_REACH = f"""{SQL_GRAPH},
 e AS (SELECT src, dst FROM k_edges WHERE relation IN ('CONTAINS', 'CALLS') AND contains(src, '.o') AND NOT starts_with(src, 'module:')),
 reach AS (SELECT src AS a, dst AS b FROM e UNION SELECT a, dst FROM reach JOIN e ON src = b),
