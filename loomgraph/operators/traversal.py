@@ -197,17 +197,78 @@ def topological_order(nodes: DataFrame, edges: DataFrame, relations: Iterable[st
     return levels.join(every, _PAIR, "left")
 
 
-def _spread(values: DataFrame, links: DataFrame, best: str) -> DataFrame:
-    """(repository_id, id, value) after each id has taken the ``best`` (min or max) value along the links, to the end."""
-    take, now = F.min if best == "min" else F.max, None
+def _least_before(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(repository_id, id, value): the smallest id that reaches each end of the links (repository_id, id, next).
+
+    A round takes a step along the links and then a jump: what reaches the id that is the value so far reaches this one
+    too.  So rounds follow the logarithm of a path where ids fall along it, and never its length alone.
+    """
+    ends = links.select(REPO, "id").unionByName(links.select(REPO, F.col("next").alias("id"))).distinct()
+    values = scratch.store(ends.withColumn("value", F.col("id")), "spread")
+    mark = _mark(values)
     while True:
         sent = values.join(links, _PAIR).select(REPO, F.col("next").alias("id"), "value")
-        after = stored(values.unionByName(sent).groupBy(*_PAIR).agg(take("value").alias("value")), "spread")
-        was, now, values = now, _mark(after), after
-        if was == now:
+        step = values.unionByName(sent).groupBy(*_PAIR).agg(F.min("value").alias("value"))
+        jump = values.select(REPO, F.col("id").alias("value"), F.col("value").alias("further"))
+        after = scratch.store(step.join(jump, [REPO, "value"]).select(REPO, "id", F.least("value", "further").alias("value")), "spread")
+        scratch.clear(values)
+        values, was, mark = after, mark, _mark(after)
+        if was == mark:
             return values
 
 
+def _inner(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """The links among nodes that have both a way in and a way out, as nodes on a cycle do."""
+    size = links.count()
+    while True:
+        both = links.select(REPO, "id").distinct().join(links.select(REPO, F.col("next").alias("id")), _PAIR, "left_semi")
+        kept = scratch.store(links.join(both, _PAIR, "left_semi").join(both.withColumnRenamed("id", "next"), [REPO, "next"], "left_semi"), "scc-inner")
+        scratch.clear(links)
+        links, was, size = kept, size, kept.count()
+        if was == size:
+            return links
+
+
+def _shortened(links: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(links, passed, loops): links past the nodes that have one way in and one way out.
+
+    ``passed`` (repository_id, id, before, after) are the nodes of a chain with the nodes around it; they are in a
+    component with these if these are in one.  ``loops`` (repository_id, id, component) are chains that close.  Chains
+    are followed by doubling pointers, so rounds follow the logarithm of their length.
+    """
+    out = links.groupBy(*_PAIR).agg(F.count("*").alias("n_out"), F.min("next").alias("after"))
+    into = links.groupBy(REPO, F.col("next").alias("id")).agg(F.count("*").alias("n_in"), F.min("id").alias("before"))
+    chain = scratch.store(out.join(into, _PAIR).filter("n_out = 1 and n_in = 1").select(REPO, "id", "before", "after"), "scc-chain")
+    if chain.isEmpty():
+        none = links.select(REPO, "id", F.col("next").alias("before"), F.col("next").alias("after")).limit(0)
+        return links, none, none.select(REPO, "id", F.col("id").alias("component"))
+    ids = chain.select(REPO, "id")
+    # Pointers both ways at once; ``low`` is the least id passed.  A pointer that has left the chain stays.
+    ways = scratch.store(
+        chain.select(REPO, "id", F.lit(1).alias("way"), F.col("after").alias("to"), F.col("id").alias("low")).unionByName(chain.select(REPO, "id", F.lit(0).alias("way"), F.col("before").alias("to"), F.col("id").alias("low"))), "scc-way"
+    )
+    n, length = chain.count(), 1
+    while length <= 2 * n:
+        ahead = ways.select(REPO, F.col("id").alias("to"), "way", F.col("to").alias("further"), F.col("low").alias("lower"))
+        after = ways.join(ahead, [REPO, "to", "way"], "left").select(REPO, "id", "way", F.coalesce("further", "to").alias("to"), F.least("low", F.coalesce("lower", "low")).alias("low"))
+        after = scratch.store(after, "scc-way")
+        scratch.clear(ways)
+        ways, length = after, 2 * length
+        inside = ways.join(ids.withColumnRenamed("id", "to"), [REPO, "to"], "left_semi")
+        # What still points into a chain is a loop if all chains with an end have been walked.
+        if inside.isEmpty():
+            break
+    within = ids.withColumnRenamed("id", "to").withColumn("inside", F.lit(True))
+    ends = ways.join(within, [REPO, "to"], "left").groupBy(*_PAIR).agg(
+        F.max(F.when(F.col("way") == 1, F.col("to"))).alias("after"), F.max(F.when(F.col("way") == 0, F.col("to"))).alias("before"), F.min("low").alias("low"), F.bool_or(F.coalesce("inside", F.lit(False))).alias("loop"),
+    )
+    ends = scratch.store(ends, "scc-ends")
+    loops = ends.filter("loop").select(REPO, "id", F.col("low").alias("component"))
+    passed = ends.filter("not loop").select(REPO, "id", "before", "after")
+    rest = links.join(ids, _PAIR, "left_anti").join(ids.withColumnRenamed("id", "next"), [REPO, "next"], "left_anti")
+    return scratch.store(rest.unionByName(passed.select(REPO, F.col("before").alias("id"), F.col("after").alias("next"))).distinct(), "scc-short"), passed, loops
+
+
 def _mark(table: DataFrame) -> tuple:
     """What tells a table of a round from the next one's: its size and the sum of its rows' hashes."""
     return tuple(table.agg(F.count("*"), F.sum(F.xxhash64(*table.columns).cast("decimal(38,0)"))).first())
@@ -240,37 +301,50 @@ def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(repository_id, id, component): component is its smallest id.
 
-    Nodes without a way in or out are peeled off first.  In what is left each node takes the smallest
-    id that reaches it; the nodes that reach the owner of their id within the same label are its
-    component, and the rest goes another round (the colouring method of Orzan).
+    Nodes without a way in or out are peeled off, and chains are replaced by one link.  In what is left a component is
+    where the smallest id that reaches a node is also the smallest that it reaches, within the nodes that share the
+    former; the rest goes another round.  No round follows the length of a chain: see ``_shortened``, ``_least_before``.
     """
-    left = stored(_links(edges.filter("src <> dst"), "outgoing"), "scc-links")
-    found = None
+    scratch = Scratch(nodes.sparkSession)
+    left = scratch.store(_links(edges.filter("src <> dst"), "outgoing"), "scc-links")
+    found: list[DataFrame] = []
+    chains: list[DataFrame] = []
     while True:
-        while True:
-            # A node on a cycle has both a way in and a way out.
-            inner = left.select(REPO, "id").distinct().join(left.select(REPO, F.col("next").alias("id")), _PAIR, "left_semi")
-            trimmed = stored(left.join(inner, _PAIR, "left_semi").join(inner.withColumnRenamed("id", "next"), [REPO, "next"], "left_semi"), "scc-trim")
-            same = trimmed.count() == left.count()
-            left = trimmed
-            if same:
-                break
+        left = _inner(left, scratch)
+        if left.isEmpty():
+            break
+        left, passed, loops = _shortened(left, scratch)
+        chains.append(passed)
+        found.append(loops)
+        # A chain whose ends are one node is a cycle through it: the node's own component, found below or alone here.
+        left = scratch.store(left.filter("id <> next"), "scc-links")
         if left.isEmpty():
             break
-        label = _spread(left.select(REPO, "id", F.col("id").alias("value")).distinct(), left, "min")
-        color_a, color_b = label.withColumnRenamed("value", "a"), label.select(REPO, F.col("id").alias("next"), F.col("value").alias("b"))
-        within = left.join(color_a, _PAIR).join(color_b, [REPO, "next"]).filter("a = b")
-        backward = stored(within.select(REPO, F.col("next").alias("id"), F.col("id").alias("next")), "scc-back")
-        owners = label.filter("id = value").select(REPO, "id")
-        reached = bfs(owners, backward.select(REPO, F.col("id").alias("src"), F.col("next").alias("dst"))).select(REPO, "id").distinct()
-        part = stored(label.join(reached, _PAIR, "left_semi").select(REPO, "id", F.col("value").alias("component")), "scc-part")
-        found = part if found is None else found.unionByName(part)
+        first = _least_before(left, scratch)
+        a, b = first.withColumnRenamed("value", "a"), first.select(REPO, F.col("id").alias("next"), F.col("value").alias("b"))
+        within = scratch.store(left.join(a, _PAIR).join(b, [REPO, "next"]).filter("a = b").select(REPO, F.col("next").alias("id"), F.col("id").alias("next")), "scc-back")
+        reached = _least_before(within, scratch).withColumnRenamed("value", "least")
+        part = scratch.store(first.join(reached, _PAIR, "left").filter("coalesce(least, id) = value").select(REPO, "id", F.col("value").alias("component")), "scc-part")
+        found.append(part)
         gone = part.select(REPO, "id")
-        left = stored(left.join(gone, _PAIR, "left_anti").join(gone.withColumnRenamed("id", "next"), [REPO, "next"], "left_anti"), "scc-links")
+        left = scratch.store(left.join(gone, _PAIR, "left_anti").join(gone.withColumnRenamed("id", "next"), [REPO, "next"], "left_anti"), "scc-links")
     known = nodes.select(REPO, "id")
-    if found is None:
+    if not found:
         return known.withColumn("component", F.col("id"))
-    return known.join(found, _PAIR, "left").select(REPO, "id", F.coalesce("component", "id").alias("component"))
+    parts = scratch.store(reduce(DataFrame.unionByName, found), "scc-found")
+    # The last chains first: their ends may be nodes of chains found before them, never of later ones.
+    for passed in reversed(chains):
+        ends = [parts.select(REPO, F.col("id").alias(end), F.col("component").alias(f"of_{end}")) for end in ("before", "after")]
+        own = passed.join(ends[0], [REPO, "before"], "left").join(ends[1], [REPO, "after"], "left")
+        of = [F.coalesce(F.col(f"of_{end}"), F.col(end)) for end in ("before", "after")]
+        parts = parts.unionByName(own.filter(of[0] == of[1]).select(REPO, "id", of[0].alias("component")))
+        # A node that only chains join to itself has no component of its own yet.
+        alone = own.filter(of[0] == of[1]).filter(F.col("of_before").isNull()).select(REPO, F.col("before").alias("id"), of[0].alias("component")).distinct()
+        parts = scratch.store(parts.unionByName(alone), "scc-found")
+    # Names: the smallest id of each, chains included.
+    names = parts.groupBy(REPO, "component").agg(F.min("id").alias("named"))
+    named = parts.join(names, [REPO, "component"]).select(REPO, "id", "named")
+    return known.join(named, _PAIR, "left").select(REPO, "id", F.coalesce("named", "id").alias("component"))
 
 
 def cycles(nodes: DataFrame, edges: DataFrame, components: DataFrame | None = None) -> DataFrame:

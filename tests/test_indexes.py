@@ -285,3 +285,49 @@ def test_questions_do_not_shuffle_stored_edges(spark):
                     depth = indent
                     above.append(line)
             assert not [line for line in above if "Exchange" in line], final
+
+
+# -- strong components -------------------------------------------------------------------------------
+
+
+def strong(ids, pairs):
+    reach = {i: {i} for i in ids}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            if a in reach and b in reach and not reach[b] <= reach[a]:
+                reach[a] |= reach[b]
+                changed = True
+    return {i: min(j for j in ids if j in reach[i] and i in reach[j]) for i in ids}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_strong_components_of_chains_loops_and_random_graphs(spark, seed):
+    draw = random.Random(seed)
+    ids = [f"n{i:02}" for i in range(45)]
+    order = draw.sample(ids, 45)
+    pairs = [(draw.choice(ids), draw.choice(ids)) for _ in range(20 + 12 * seed)]
+    chain = order[: 10 + seed]
+    pairs += list(zip(chain, chain[1:], strict=False)) + [(chain[-1], chain[0])] * (seed % 2) + [(order[20], order[21]), (order[21], order[20])]
+    nodes, edges = graph_of(spark, ids, [(a, b, "CALLS") for a, b in pairs])
+    assert {r["id"]: r["component"] for r in traversal.strong_components(nodes, edges).collect()} == strong(ids, pairs)
+
+
+def test_a_long_loop_takes_few_rounds(spark, monkeypatch):
+    from loomgraph.session import Scratch
+
+    n = 10_000
+    draw = random.Random(0)
+    order = draw.sample(range(n), n)
+    rows = spark.createDataFrame([("r", f"n{a}", f"n{b}", "CALLS", "{}", i) for i, (a, b) in enumerate(zip(order, order[1:] + order[:1], strict=True))], EDGES)
+    spurs = spark.createDataFrame([("r", f"n{order[0]}", "out", "CALLS", "{}", n), ("r", "in", f"n{order[5]}", "CALLS", "{}", n + 1), ("r", f"n{order[9]}", f"n{order[7]}", "CALLS", "{}", n + 2)], EDGES)
+    nodes = spark.createDataFrame([("r", f"n{i}", "Function", "x", "x", None, True, None, None, i) for i in range(n)] + [("r", x, "Function", "x", "x", None, True, None, None, n) for x in ("in", "out")], NODES)
+    written = []
+    plain = Scratch.store
+    monkeypatch.setattr(Scratch, "store", lambda self, df, label: written.append(label) or plain(self, df, label))
+    for edges in (rows, rows.unionByName(spurs)):
+        written.clear()
+        got = {r["component"]: r["count"] for r in traversal.strong_components(nodes, edges).groupBy("component").count().collect()}
+        assert got == {"n0": n, "in": 1, "out": 1}
+        assert len([x for x in written if x in ("scc-way", "spread")]) <= 30
