@@ -22,10 +22,11 @@ Classes.
    and one of the others, and its nodes of other classes are compared with them; this goes on round by
    round, and each round's work is linear in what is left.  A value leaves the rounds when it holds one class,
    when all its pairs were compared, or when ``PATIENCE`` rounds in a row joined no classes of it.
-5. Nodes of values that left with several classes are joined exactly: two of them can only reach the threshold
-   if they share one of the rarest fifth of their regions (prefix filtering, in the order of a histogram of
-   ``CELLS`` cells over all their regions), so pairs that share such a region, of different classes and of sizes that
-   allow a link, are verified.  What many texts have in common isn't among their rarest regions.
+5. Nodes of values that left with several classes are joined exactly, by prefix filtering.  Regions are ordered from
+   rare to frequent, by a histogram of ``CELLS`` cells over all those nodes' regions.  Two of them can only reach the
+   threshold if one of the rarest ninth of the smaller one's regions is among the rarest fifth of the larger one's, with
+   enough regions behind both; such pairs, of different classes, are verified.  A node that is further from the text its
+   group has in common than the threshold allows has a ninth of its own, so what a group shares makes no pairs.
 6. Components come from alternating large-star and small-star steps over the links, as joins and
    groupings; neither links nor nodes are collected.
 
@@ -174,9 +175,10 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n[cell])], names=["cell", "n"])
 
 
-def prefix_size(size: int) -> int:
-    """So many of the rarest regions of two sets must meet if the sets reach the threshold."""
-    return size - math.ceil(THRESHOLD * size - 1e-9) + 1
+def prefix_sizes(size: int) -> tuple[int, int]:
+    """Of two sets that reach the threshold, these many of the rarest regions of the smaller and of the larger one meet."""
+    least = THRESHOLD * size - 1e-9
+    return size - math.ceil(2 * least / (1 + THRESHOLD)) + 1, size - math.ceil(least) + 1
 
 
 def _exact(rest: DataFrame, roots: DataFrame, regions: DataFrame, scratch: Scratch) -> DataFrame:
@@ -191,21 +193,27 @@ def _exact(rest: DataFrame, roots: DataFrame, regions: DataFrame, scratch: Scrat
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            firsts, counts = [], []
+            region, at, short, counts = [], [], [], []
             for row in batch.column("regions"):
                 own = row.values.to_numpy(zero_copy_only=False)
                 order = np.lexsort((own, n[_cells(own)]))
-                firsts.append(own[order[: prefix_size(len(own))]])
-                counts.append(len(firsts[-1]))
-            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-            values = pa.array(np.concatenate([np.zeros(0, np.int64), *firsts]))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("node", "root", "size")], pa.ListArray.from_arrays(offsets, values)], names=["node", "root", "size", "firsts"])
-
-    firsts = own.mapInArrow(lean(rare), "node binary, root binary, size int, firsts array<bigint>").select("node", "root", "size", F.explode("firsts").alias("region"))
-    shared = firsts.groupBy("region").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("region")
-    met = scratch.store(firsts.join(shared.hint("merge"), "region", "left_semi"), "near-rare")
-    one, two = (met.select("region", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "root", "size")]) for k in ("a", "b"))
-    pairs = one.join(two.hint("merge"), "region").filter(f"node_a < node_b and root_a <> root_b and least(size_a, size_b) >= {THRESHOLD} * greatest(size_a, size_b)")
+                few, many = prefix_sizes(len(own))
+                region.append(own[order[:many]])
+                at.append(np.arange(many, dtype=np.int32))
+                short.append(at[-1] < few)
+                counts.append(many)
+            of = np.repeat(np.arange(len(counts)), counts)
+            columns = [batch.column(c).take(pa.array(of)) for c in ("node", "root", "size")]
+            columns += [pa.array(np.concatenate([np.zeros(0, kind), *x])) for x, kind in ((region, np.int64), (at, np.int32), (short, bool))]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "root", "size", "region", "at", "short"])
+
+    firsts = scratch.store(own.mapInArrow(lean(rare), "node binary, root binary, size int, region bigint, at int, short boolean"), "near-rare")
+    shared = firsts.groupBy("region").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.bool_or("short").alias("short")).filter("low <> high and short").select("region")
+    met = firsts.join(shared.hint("merge"), "region", "left_semi")
+    one, two = (met.select("region", "short", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "root", "size", "at")]) for k in ("a", "b"))
+    fits = f"(size_a < size_b or size_a = size_b and node_a < node_b) and root_a <> root_b and size_a >= {THRESHOLD}D * size_b"
+    behind = f"least(size_a - at_a, size_b - at_b) >= {THRESHOLD / (1 + THRESHOLD)!r}D * (size_a + size_b) - 1e-6D"
+    pairs = one.filter("short").drop("short").join(two.drop("short").hint("merge"), "region").filter(f"{fits} and {behind}")
     return scratch.store(_verify(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), regions), "near-exact")
 
 
