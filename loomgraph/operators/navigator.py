@@ -246,6 +246,10 @@ class Navigator:
         start = ids.select(REPO, "id").distinct() if isinstance(ids, DataFrame) else self.ids(ids)
         return traversal.bfs(start, self.iterate_edges(relations), depth, direction)
 
+    def distances(self, ids: Ids, depth: int, relations: Iterable[str] | None = None, direction: str = "outgoing") -> DataFrame:
+        """What each id reaches by itself, where ``bfs`` merges the starts."""
+        return traversal.distances(self.ids(ids), self.iterate_edges(relations), depth, direction)
+
     def dfs(self, ids: Ids, depth: int | None = None, relations: Iterable[str] | None = None, direction: str = "outgoing") -> DataFrame:
         return traversal.dfs(self.ids(ids), self.iterate_edges(relations), depth, direction)
 

@@ -48,6 +48,44 @@ def bfs(start: DataFrame, edges: DataFrame, depth: int | None = None, direction:
     return seen
 
 
+#: Starts in one word of bits; the sign bit stays free.
+_WORD = 63
+
+
+def distances(start: DataFrame, edges: DataFrame, depth: int, direction: str = "outgoing") -> DataFrame:
+    """(repository_id, start, id, depth): what each start reaches within ``depth`` steps, and in how many at least.
+
+    All starts go at once: they are numbered within their repository, ``_WORD`` of them are the bits of a word, and a row
+    (node, word) carries those that reach the node.  A round spreads words along the links, joins them by ``bit_or`` and
+    takes out the bits seen before, so a node that many starts reach is met once a word, not once a start.
+    """
+    scratch = Scratch(start.sparkSession)
+    links = scratch.store(_links(edges, direction), "distance-links")
+    numbered = ranked(start.select(REPO, "id").distinct(), [REPO], ["id"], "n", scratch)
+    numbered = scratch.store(numbered.select(REPO, "id", F.floor(F.col("n") / _WORD).alias("word"), (F.col("n") % _WORD).cast("int").alias("bit")), "distance-starts")
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bit"))
+    front = scratch.store(numbered.select(REPO, "id", "word", one.alias("bits")), "distance-front")
+    seen, fronts = front, [front]
+    for level in range(1, depth + 1):
+        sent = front.join(links, _PAIR).groupBy(REPO, F.col("next").alias("id"), "word").agg(F.bit_or("bits").alias("sent"))
+        met = sent.join(seen.withColumnRenamed("bits", "before"), [REPO, "id", "word"], "full")
+        before = F.coalesce("before", F.lit(0).cast("bigint"))
+        fresh = F.coalesce("sent", F.lit(0).cast("bigint")).bitwiseAND(F.bitwise_not(before))
+        # One table a round holds what is seen so far and what is new: the next round reads it alone.
+        state = scratch.store(met.select(REPO, "id", "word", before.bitwiseOR(fresh).alias("bits"), fresh.alias("fresh")), "distance-state")
+        if level > 1:
+            scratch.clear(seen)
+        front, seen = state.filter("fresh <> 0").select(REPO, "id", "word", F.col("fresh").alias("bits")), state.drop("fresh")
+        front = scratch.store(front, "distance-front")
+        if front.isEmpty():
+            break
+        fronts.append(front)
+    reached = reduce(DataFrame.unionByName, [f.withColumn("depth", F.lit(level)) for level, f in enumerate(fronts)])
+    bit = F.explode(F.filter(F.sequence(F.lit(0), F.lit(_WORD - 1)), lambda b: F.call_function("shiftright", F.col("bits"), b).bitwiseAND(1) == 1))
+    told = reached.select(REPO, "id", "word", "depth", bit.alias("bit"))
+    return told.join(numbered.withColumnRenamed("id", "start"), [REPO, "word", "bit"]).select(REPO, "start", "id", "depth")
+
+
 def follow(start: DataFrame, step: DataFrame) -> DataFrame:
     """(repository_id, id, ancestor, depth) along a table with at most one ``base`` per id; each id is its own ancestor at 0.
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loomgraph.operators import catalog, chunks, diagram, gram_index, rag, resolve, symbols, traversal, vector_index
 from loomgraph.session import shared_dir, stored
 from loomgraph.sources import files as scanned
-from loomgraph.sources import vector_store
+from loomgraph.sources import file_source, vector_store
 
 from .code_graph import REPO, SQL_FILES, SQL_GRAPH, SQL_REFERENCES, code
 from .trade_graph import table
@@ -61,6 +61,18 @@ def file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(REPO, "path", "extension", "language", "size", "ord", F.sha2("content", 256).alias("content_sha256"))
 
 
+@query(ORACLE_SQL["file_scan"])
+def folder_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same documents laid out as files and listed folder by folder, ignored ones never opened."""
+    docs = table(spark, sf_dir, "documents").filter("text is not null")
+    folder = F.when(F.col("doc_id") % 5 == 0, "node_modules/d").when(F.col("doc_id") % 5 == 1, "./src/d").otherwise("lib/d")
+    ending = F.when(F.col("doc_id") % 3 == 0, ".py").when(F.col("doc_id") % 3 == 1, ".md").otherwise(".go")
+    root = f"{shared_dir(spark)}/laid-out-{uuid.uuid4().hex}"
+    file_source.lay_out(docs.select("source", F.concat(folder, "doc_id", ending).alias("path"), F.encode("text", "UTF-8").alias("content")), root)
+    rows = scanned.file_table(file_source.scan_folders(spark, root, repositories=True), F.col("source"))
+    return rows.select(REPO, "path", "extension", "language", "size", "ord", F.sha2("content", 256).alias("content_sha256"))
+
+
 @query(f"""
 WITH {_SCANNED}
 SELECT repository_id, path FROM k_kept WHERE right(path, 3) IN ('.py', '.go') AND text <> ''""")
@@ -272,6 +284,33 @@ def adjacent_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows[0].union(rows[1]).union(rows[2]).union(rows[3])
 
 
+@query(f"""
+WITH RECURSIVE {SQL_GRAPH}, e AS (SELECT src, dst FROM k_edges WHERE relation IN ('CONTAINS', 'CALLS', 'EXTENDS')),
+r AS (SELECT id AS start, id, 0 AS depth FROM k_class WHERE k % 20 = 0 UNION SELECT start, dst, depth + 1 FROM r JOIN e ON src = r.id WHERE depth < 3)
+SELECT start, id, min(depth) AS depth FROM r GROUP BY ALL""")
+def class_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every twentieth class reaches in three steps, each for itself."""
+    nav = code(spark, sf_dir).navigator
+    starts = nav.search_by_type("Class").filter(F.substring_index("id", ".o", -1).cast("bigint") % 20 == 0)
+    return nav.distances(starts, 3, ("CONTAINS", "CALLS", "EXTENDS")).select("start", "id", "depth")
+
+
+@query(f"""
+WITH {SQL_GRAPH}, l AS (
+  SELECT repo, unnest(['digraph CodeKnowledgeGraph {{', '  graph [rankdir="LR", bgcolor="#ffffff", fontname="Arial"];',
+    '  node [style="filled", fillcolor="#ffffff", fontname="Arial", penwidth="1.5"];', '  edge [fontname="Arial", fontsize="10", color="#64748b"];']) AS line FROM (SELECT DISTINCT repo FROM k_files)
+  UNION ALL SELECT DISTINCT repo, '}}' FROM k_files
+  UNION ALL SELECT repo, '  "' || src || '" -> "' || dst || '" [label="' || relation || '"];' FROM k_edges)
+SELECT repo AS repository_id, line, count(*) AS n FROM l GROUP BY ALL UNION ALL SELECT repo, 'nodes', count(*) FROM k_nodes GROUP BY repo""")
+def dot_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code graph's DOT text, written in order to part files and read back: its lines, those of nodes counted."""
+    nav = code(spark, sf_dir).navigator
+    path = f"{shared_dir(spark)}/dot-{uuid.uuid4().hex}"
+    diagram.write_dot(nav.nodes, nav.edges, path)
+    line = F.when(F.col("value").startswith('  "') & ~F.col("value").contains('" -> "'), "nodes").otherwise(F.col("value"))
+    return spark.read.text(path).groupBy(REPO, line.alias("line")).agg(F.count("*").alias("n"))
+
+
 _CALL_REACH = f"""{SQL_GRAPH},
 e AS (SELECT src, dst FROM k_edges WHERE relation IN ('CONTAINS', 'CALLS') AND contains(src, '.o') AND NOT starts_with(src, 'module:')),
 reach AS (SELECT src AS a, dst AS b FROM e UNION SELECT a, dst FROM reach JOIN e ON src = b),
@@ -373,14 +412,30 @@ def chunk_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunks(spark, sf_dir).select("id", *[F.array_join(f"metadata.{n}", ",").alias(n) for n in names])
 
 
-@query(f"WITH {_CHUNKS} SELECT repo AS repository_id, count(*) AS n FROM k_chunk GROUP BY repo")
-def chunks_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks embedded, written to a store twice (the second time half of them, changed), and counted as they are there."""
+def _stored_twice(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """The path and schema of a store to which chunks were written twice, the second time the classes, changed."""
     embedded = stored(rag.embed_chunks(_chunks(spark, sf_dir).drop("start_offset"), rag.hashing_embedder(8)), "embedded")
     path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
     vector_store.write_upsert(spark, path, embedded)
     vector_store.write_upsert(spark, path, embedded.filter("chunk_type = 'class'").withColumn("content", F.concat("content", F.lit("!"))))
-    return spark.read.parquet(path).groupBy(F.col("metadata.repository_id").alias(REPO)).agg(F.countDistinct("id").alias("n"))
+    return path, vector_store.schema_of(embedded)
+
+
+@query(f"WITH {_CHUNKS} SELECT repo AS repository_id, count(*) AS n FROM k_chunk GROUP BY repo")
+def chunks_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks embedded, written to a store twice, and counted as they are there."""
+    path, schema = _stored_twice(spark, sf_dir)
+    return vector_store.read(spark, path, schema).groupBy(REPO).agg(F.countDistinct("id").alias("n"))
+
+
+@query(f"""
+WITH {_CHUNKS} SELECT 2 AS version, repo AS repository_id, chunk_id AS id, sha256(content || CASE WHEN kind = 'class' THEN '!' ELSE '' END) AS content_sha256, 8 AS size FROM k_chunk
+UNION ALL SELECT 1, repo, chunk_id, sha256(content), 8 FROM k_chunk""")
+def chunk_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the store holds after the second write, and what a reader of the first version still sees."""
+    path, schema = _stored_twice(spark, sf_dir)
+    rows = [vector_store.read(spark, path, schema, v).select(F.lit(v).alias("version"), REPO, "id", F.sha2("content", 256).alias("content_sha256"), F.size("embedding").alias("size")) for v in (1, 2)]
+    return rows[0].union(rows[1])
 
 
 # -- retrieval ---------------------------------------------------------------------------------------

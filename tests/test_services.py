@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import paths, text
 from loomgraph.operators import catalog, rag, resolve
 from loomgraph.schemas import CHUNKS, JOBS
-from loomgraph.sources import vector_store
+from loomgraph.sources import vector_store, versions
 from loomgraph.streaming import jobs
 
 
@@ -60,11 +60,12 @@ def test_store_and_answer(spark, tmp_path):
     assert vector_store.write_upsert(spark, path, changed) == {"stored": 1, "matched": 1, "modified": 1, "upserted": 0}
     other = rag.embed_chunks(chunk_rows(spark, ["open the gate"], "other"), embedder)
     vector_store.write_upsert(spark, path, other)
-    assert spark.read.parquet(path).count() == 4
+    schema = vector_store.schema_of(first)
+    assert vector_store.read(spark, path, schema).count() == 4
     assert vector_store.write_upsert(spark, path, first.limit(0))["stored"] == 0
     with pytest.raises(ValueError):
         vector_store.write_upsert(spark, path, chunk_rows(spark, ["x"]))
-    table = spark.read.parquet(path)
+    table = vector_store.read(spark, path, schema)
     hits = [r["content"] for r in rag.retrieve(table, "close the window", "r", embedder, 2).collect()]
     assert hits[0] == "close the window" and len(hits) == 2
     seen = []
@@ -76,9 +77,49 @@ def test_store_and_answer(spark, tmp_path):
     plan = rag.retrieve(table, "close the window", "r", embedder, 2)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(repository_id" in plan
     twice = first.unionByName(first.withColumn("content", F.lit("zzz")))
-    assert vector_store.write_upsert(spark, path, twice)["stored"] == 3 and spark.read.parquet(path).filter("repository_id = 'r' and content = 'zzz'").count() == 3
+    assert vector_store.write_upsert(spark, path, twice)["stored"] == 3 and vector_store.read(spark, path, schema).filter("repository_id = 'r' and content = 'zzz'").count() == 3
     assert "USER: hi" in seen[0] and "LINES: ?-?" in seen[0] and seen[0].index("CHUNK_ID: chunk:1") < seen[0].index("\n\n---\n\n")
-    assert "No matching" in rag.build_prompt("q", None) and "\nNone\n" in rag.build_prompt("q", None)
+    assert "No matching" in rag.build_prompt("q", None) and "\nNone\n" in rag.build_prompt("q", None) and rag.build_prompt("q", "c", instructions="own").startswith("own\n")
+
+
+def test_versions_are_atomic(spark, tmp_path, monkeypatch):
+    path, schema = str(tmp_path / "table"), "repository_id string, id string, content string"
+    rows = lambda *r: spark.createDataFrame(list(r), schema)
+    seen = lambda v=None: {tuple(r) for r in versions.read(spark, path, schema, v).select("repository_id", "id", "content").collect()}
+    assert seen() == set()
+    first = rows(("a", "1", "x"), ("b", "2", "y"))
+    assert versions.write(spark, path, schema, lambda old: first, first) == 1
+    reader = versions.read(spark, path, schema)
+    assert versions.write(spark, path, schema, lambda old: old.withColumn("content", F.lit("z")), first.filter("repository_id = 'a'")) == 2
+    assert seen() == {("a", "1", "z"), ("b", "2", "y")} and seen(1) == {("a", "1", "x"), ("b", "2", "y")}
+    assert {tuple(r) for r in reader.collect()} == seen(1)
+
+    # A write that dies before its commit leaves what is there readable.
+    def die(*args):
+        raise RuntimeError("lost")
+
+    commit = versions._commit
+    monkeypatch.setattr(versions, "_commit", die)
+    with pytest.raises(RuntimeError):
+        versions.write(spark, path, schema, lambda old: rows(("a", "1", "half")), first)
+    assert seen() == {("a", "1", "z"), ("b", "2", "y")} and versions.versions(spark, path) == [1, 2]
+
+    # Another writer commits first: the change is made again on what that one wrote.
+    def late(spark_, where, number, name):
+        if versions._commit is late:
+            monkeypatch.setattr(versions, "_commit", commit)
+            versions.write(spark, path, schema, lambda old: old.withColumn("content", F.concat("content", F.lit("1"))), first)
+        return commit(spark_, where, number, name)
+
+    monkeypatch.setattr(versions, "_commit", late)
+    assert versions.write(spark, path, schema, lambda old: old.withColumn("content", F.concat("content", F.lit("2"))), first) == 4
+    assert seen() == {("a", "1", "z12"), ("b", "2", "y12")}
+    with pytest.raises(versions.Conflict):
+        commit(spark, path, 4, "x")
+    # A repository without rows goes; old versions and lost writes are swept up.
+    assert versions.write(spark, path, schema, lambda old: old.limit(0), first.filter("repository_id = 'b'")) == 5
+    assert versions.vacuum(spark, path) == 6 - len({r["write"] for r in versions._manifest(spark, path, 5).collect()}) + 1
+    assert seen() == {("a", "1", "z12")} and versions.versions(spark, path) == [5]
 
 
 def test_catalog_rules(spark):
