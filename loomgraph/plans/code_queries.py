@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from loomgraph.operators import catalog, chunks, diagram, gram_index, rag, resol
 from loomgraph.session import shared_dir, stored
 from loomgraph.sources import files as scanned
 from loomgraph.sources import file_source, vector_store
+from loomgraph.streaming import status
 
 from .code_graph import REPO, SQL_FILES, SQL_GRAPH, SQL_REFERENCES, code
 from .trade_graph import table
@@ -542,6 +544,37 @@ def fuzzy_many(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- jobs --------------------------------------------------------------------------------------------
 
 
+_FOLLOWS = " ".join(f"WHEN '{a}' THEN status IN ({', '.join(repr(b) for b in sorted(after))})" for a, after in status.FOLLOWS.items())
+
+
+@query(f"""
+WITH RECURSIVE e AS (
+  SELECT user_id, CASE event_type WHEN 'signup' THEN 'QUEUED' WHEN 'view' THEN 'CLONING' WHEN 'click' THEN 'PARSING' WHEN 'purchase' THEN 'COMPLETED' WHEN 'error' THEN 'FAILED' END AS status,
+         CASE WHEN event_id % 3 = 0 THEN floor(value * 3)::INTEGER END AS progress, ts FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, status) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM e),
+r AS (
+  SELECT DISTINCT user_id, 0::BIGINT AS i, 'NOT_STARTED' AS status, 0 AS progress, TIMESTAMP '1970-01-01' AS moment, 0::BIGINT AS counted, n FROM o
+  UNION ALL
+  SELECT user_id, i, CASE WHEN ok THEN status ELSE was END, CASE WHEN NOT ok THEN had WHEN progress IS NOT NULL THEN progress
+           ELSE CASE status WHEN 'QUEUED' THEN 0 WHEN 'CLONING' THEN 5 WHEN 'PARSING' THEN 45 ELSE 100 END END, CASE WHEN ok THEN ts ELSE moment END, counted + ok::BIGINT, n
+  FROM (SELECT o.user_id, o.i, o.n, o.status, o.progress, o.ts, r.status AS was, r.progress AS had, r.moment, r.counted, coalesce(o.progress BETWEEN 0 AND 100, true) AND o.ts > r.moment AND ok0 AS ok
+        FROM (SELECT o.*, r.status AS was0, CASE r.status {_FOLLOWS.replace("status IN", "o.status IN")} END AS ok0 FROM o JOIN r ON r.user_id = o.user_id AND o.i = r.i + 1) o JOIN r ON r.user_id = o.user_id AND o.i = r.i + 1))
+SELECT user_id::VARCHAR AS repository_id, status, progress, counted, n - counted AS ignored FROM r WHERE i = n""")
+def status_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as reports on runs, played in three parts through the stream of status machines: what holds in the end."""
+    kinds = {"signup": "QUEUED", "view": "CLONING", "click": "PARSING", "purchase": "COMPLETED", "error": "FAILED"}
+    name = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])[F.col("event_type")]
+    events = table(spark, sf_dir, "events")
+    rows = events.select(F.col("user_id").cast("string").alias("repository_id"), name.alias("status"), F.when(F.col("event_id") % 3 == 0, F.floor(F.col("value") * 3).cast("int")).alias("progress"), F.col("ts").cast("timestamp").alias("at"))
+    where = f"{shared_dir(spark)}/status-{uuid.uuid4().hex}"
+    cuts = events.agg(F.percentile_approx("ts", [0.33, 0.67], 1000)).first()[0]
+    parts = [F.col("at") < cuts[0], (F.col("at") >= cuts[0]) & (F.col("at") < cuts[1]), F.col("at") >= cuts[1]]
+    for part in parts:
+        rows.filter(part).write.mode("append").parquet(f"{where}/events")
+        status.run(spark, f"{where}/events", f"{where}/told", f"{where}/state", "3650 days", timedelta(days=3650))
+    return status.latest(spark.read.parquet(f"{where}/told")).drop("at")
+
+
 @query("""
 SELECT 'handled' AS outcome, count(*) AS n FROM orders WHERE o_orderkey <> (SELECT min(o_orderkey) FROM orders)
 UNION ALL SELECT 'poisoned', count(*) FROM orders WHERE o_orderkey = (SELECT min(o_orderkey) FROM orders)
