@@ -44,10 +44,15 @@ def bfs(start: DataFrame, edges: DataFrame, depth: int | None = None, direction:
         front = stored(fresh, "bfs")
         if front.isEmpty():
             break
-        seen = seen.unionByName(front)
+        seen = _compacted(seen.unionByName(front), level)
     return seen
 
 
+def _compacted(seen: DataFrame, level: int) -> DataFrame:
+    """What is seen so far, as one table every few levels, so that neither plans nor files add up."""
+    return stored(seen, "seen") if level % 8 == 0 else seen
+
+
 #: Starts in one word of bits; the sign bit stays free.
 _WORD = 63
 
@@ -100,7 +105,7 @@ def follow(start: DataFrame, step: DataFrame) -> DataFrame:
         front = stored(ahead.join(seen.select(REPO, "id", "ancestor"), [REPO, "id", "ancestor"], "left_anti"), "follow")
         if front.isEmpty():
             return seen
-        seen = seen.unionByName(front)
+        seen = _compacted(seen.unionByName(front), level)
 
 
 def nearest_above(ids: DataFrame, parents: DataFrame, targets: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text
-from loomgraph.operators import adjacency, gram_index, rag, ranks, resolve, search, symbols, traversal, vector_index
+from loomgraph.operators import adjacency, diagram, gram_index, rag, ranks, resolve, search, symbols, traversal, vector_index
 from loomgraph.operators.navigator import Navigator
 from loomgraph.schemas import EDGES, NODES, SYMBOLS
 
@@ -331,3 +331,53 @@ def test_a_long_loop_takes_few_rounds(spark, monkeypatch):
         got = {r["component"]: r["count"] for r in traversal.strong_components(nodes, edges).groupBy("component").count().collect()}
         assert got == {"n0": n, "in": 1, "out": 1}
         assert len([x for x in written if x in ("scc-way", "spread")]) <= 30
+
+
+# -- distances, text in order ------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("direction", ["outgoing", "both"])
+def test_distances_of_many_starts(spark, direction):
+    draw = random.Random(9)
+    ids = [f"n{i}" for i in range(150)]
+    pairs = [(draw.choice(ids), draw.choice(ids)) for _ in range(220)] + [("n0", i) for i in ids[:80]]
+    nodes, edges = graph_of(spark, ids, [(a, b, "CALLS") for a, b in pairs])
+    ahead = {}
+    for a, b in pairs:
+        ahead.setdefault(a, set()).add(b)
+        if direction == "both":
+            ahead.setdefault(b, set()).add(a)
+    want = set()
+    for start in ids:
+        seen, front = {start: 0}, [start]
+        for depth in range(1, 4):
+            front = sorted({x for i in front for x in ahead.get(i, ())} - set(seen))
+            seen |= dict.fromkeys(front, depth)
+        want |= {(start, i, d) for i, d in seen.items()}
+    got = traversal.distances(nodes, edges, 3, direction).collect()
+    assert len(got) == len(want) and {(r["start"], r["id"], r["depth"]) for r in got} == want
+    assert {(r["start"], r["id"]) for r in traversal.distances(nodes.limit(1), edges, 0).collect()} == {("n0", "n0")}
+
+
+def test_deep_walks_are_compacted(spark):
+    ids = [f"n{i:02}" for i in range(30)]
+    nodes, edges = graph_of(spark, ids, [(a, b, "EXTENDS") for a, b in zip(ids, ids[1:], strict=False)])
+    assert {(r["id"], r["depth"]) for r in traversal.bfs(nodes.filter("id = 'n00'"), edges).collect()} == {(i, n) for n, i in enumerate(ids)}
+
+
+def test_dot_text_in_part_files(spark):
+    import glob
+
+    ids = [f"n{i:03}" for i in range(200)]
+    nodes, edges = graph_of(spark, ids, [(a, b, "CALLS") for a, b in zip(ids, ids[1:], strict=False)])
+    path = folder(spark)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        diagram.write_dot(nodes, edges, path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = sorted(glob.glob(f"{path}/repository_id=r/part-*"))
+    written = "".join(open(p).read() for p in parts).splitlines()
+    assert len(parts) > 1 and written == diagram.to_dot(nodes, edges).first()["dot"].split("\n")
+    numbered = diagram.numbered_dot(nodes, edges).orderBy("number").collect()
+    assert [r["line"] for r in numbered] == written and [r["number"] for r in numbered] == list(range(len(written)))
