@@ -182,7 +182,7 @@ def prefix_sizes(size: int) -> tuple[int, int]:
 
 
 def _exact(rest: DataFrame, roots: DataFrame, regions: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b): the links among ``rest`` (value, node, size) between nodes whose classes differ."""
+    """(a, b, ra, rb): the links among ``rest`` (value, node, size) between nodes of different classes, and these."""
     named = rest.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     several = named.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("value")
     nodes = scratch.store(named.join(several.hint("merge"), "value", "left_semi").select("node", "root", "size").distinct(), "near-rest")
@@ -214,7 +214,8 @@ def _exact(rest: DataFrame, roots: DataFrame, regions: DataFrame, scratch: Scrat
     fits = f"(size_a < size_b or size_a = size_b and node_a < node_b) and root_a <> root_b and size_a >= {THRESHOLD}D * size_b"
     behind = f"least(size_a - at_a, size_b - at_b) >= {THRESHOLD / (1 + THRESHOLD)!r}D * (size_a + size_b) - 1e-6D"
     pairs = one.filter("short").drop("short").join(two.drop("short").hint("merge"), "region").filter(f"{fits} and {behind}")
-    return scratch.store(_verify(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), regions), "near-exact")
+    pairs = pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), F.col("root_a").alias("ra"), F.col("root_b").alias("rb")).distinct()
+    return scratch.store(_verify(pairs, regions), "near-exact")
 
 
 def _verify(pairs: DataFrame, regions: DataFrame) -> DataFrame:
@@ -328,13 +329,15 @@ def _linked(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
         names = _hooked(more)
     if turn > 1:
         roots = components(links)
-    left_over = reduce(DataFrame.unionByName, rest)
+    left_over, joined = reduce(DataFrame.unionByName, rest), None
     if not left_over.isEmpty():
         more = _exact(left_over, roots, regions, scratch)
-        if not more.isEmpty():
-            roots = components(links.unionByName(more))
-    roots = scratch.store(own.select("node").join(roots.hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("root")), "near-roots")
-    return sketches, roots
+        # The classes that these links join, few beside all links, get one name.
+        joined = components(more.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).withColumnsRenamed({"root": "named", "node": "root"})
+    roots = own.select("node").join(roots.hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    if joined is not None:
+        roots = roots.join(joined, "root", "left").select("node", F.coalesce("named", "root").alias("root"))
+    return sketches, scratch.store(roots, "near-roots")
 
 
 def _classes(rows: DataFrame, order: Column, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
