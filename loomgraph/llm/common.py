@@ -72,8 +72,8 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def join_weighed(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
-    """``rows`` joined with ``table`` on ``key``, which is unique in the table; ``weight`` is how many rows have it.
+def join_weighed(rows: DataFrame, table: DataFrame, key: str | list[str], weight: str) -> DataFrame:
+    """``rows`` joined with ``table`` on ``key`` (columns without nulls), unique in the table; ``weight`` is how many rows have it.
 
     Keys of a thousandth of all rows or more, a thousand keys at most, are broadcast; the others are shuffled.
     """

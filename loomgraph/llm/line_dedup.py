@@ -5,17 +5,22 @@ A run is a sequence of consecutive non-blank lines of one document.  Every run o
 overlap) is deleted; shorter repeats stay.
 
 1. Windows: from each line on the shortest stretch with ``MIN_WORDS`` words (forward), and up to each
-   line likewise (backward).  The smallest line hash of a window is its fingerprint.  Whether a line
-   is chosen depends on the window's lines only, so two runs of enough words share a fingerprint.
-2. Fingerprint positions are counted over the corpus; windows whose fingerprint stands at a single
-   place can't repeat and go no further.
-3. The windows left are matched by their whole content: the first place of each content stays, and
-   every other place is a repeat.  Forward windows extend a match to the left end of the common run
-   and backward windows to its right end, so their union is the whole run.
+   line likewise (backward).  The line with the smallest hash of a window is its fingerprint.  Which line is
+   chosen depends on the window's lines only, so two runs of enough words share a fingerprint.
+2. Fingerprint positions are joined with the number of places their line was chosen at.  A position that
+   stands alone can't repeat and goes no further.
+3. Around every position left the match is extended both ways: the windows that chose it reach up to
+   ``MIN_WORDS`` words to its left and right, and are matched by 128 bits of all their lines.  The first
+   place of each content stays, and every other place is a repeat.  A common run's forward windows begin
+   at its left end and its backward windows end at its right end, so their union is the whole run.
+   (Line-by-line extension against one earlier place would lose what only another place shares, and
+   against all places would make all pairs of a group.)
 4. Overlapping repeats are merged into stretches of lines, which are cut from the text.
 
-A very common line is one row per place in each step, counts are combined before the shuffle, and
-the joins that bring counts and first places back are ordinary joins, which Spark splits when skewed.
+Lines are stored by number and hashes, without their text; content is gathered around joined positions
+only.  A very common line is one row per place in each step, counts are combined before the shuffle, and
+counts and first places of frequent lines and windows come back by broadcast, a thousand at most; the
+others by merge joins.
 
 Defined cases: lines end at ``\\n``; a line is blank if it holds only spaces, and lines are compared
 without outer spaces; blank lines inside a deleted run go with it; a null text stays null; rows that
@@ -28,67 +33,85 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import Scratch, join_weighed
 
 MIN_WORDS = 50
+_DOC = ("doc_id", "text_hash")
 
 
 def _lines(documents: DataFrame) -> DataFrame:
-    """doc_id, text_hash, ln, h, s, e of the non-blank lines; s and e count the words before and up to it."""
+    """doc_id, text_hash, ln, h, h2, s, e of the non-blank lines; s and e count the words before and up to it."""
     split = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("ln", "line"))
     kept = split.withColumn("line", F.trim("line")).filter("line != ''")
-    hashed = kept.select("doc_id", "text_hash", "ln", F.xxhash64("line").alias("h"), F.hash("line").alias("h2"), F.size(F.split("line", " +")).cast("bigint").alias("w"))
-    dealt = hashed.repartition("doc_id", "text_hash").dropDuplicates(["doc_id", "text_hash", "ln"])
-    upto = Window.partitionBy("doc_id", "text_hash").orderBy("ln").rowsBetween(Window.unboundedPreceding, 0)
-    return dealt.withColumn("e", F.sum("w").over(upto)).withColumn("s", F.col("e") - F.col("w"))
+    words = F.size(F.split("line", " +")).cast("bigint")
+    hashed = kept.select(*_DOC, "ln", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"), words.alias("w"))
+    dealt = hashed.repartition(*_DOC).dropDuplicates([*_DOC, "ln"])
+    upto = Window.partitionBy(*_DOC).orderBy("ln").rowsBetween(Window.unboundedPreceding, 0)
+    counted = dealt.withColumn("e", F.sum("w").over(upto))
+    return counted.select(*_DOC, "ln", "h", "h2", (F.col("e") - F.col("w")).alias("s"), "e")
 
 
-def _windows(lines: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, text_hash, s, e, first_ln, last_ln, key, print, print_at of all forward and backward windows."""
-    doc = Window.partitionBy("doc_id", "text_hash")
-    forward = doc.orderBy("s").rangeBetween(0, min_words - 1)
-    backward = doc.orderBy("e").rangeBetween(-(min_words - 1), 0)
+def _frames(min_words: int) -> dict:
+    doc = Window.partitionBy(*_DOC)
+    return {"f": doc.orderBy("s").rangeBetween(0, min_words - 1), "b": doc.orderBy("e").rangeBetween(-(min_words - 1), 0)}
+
+
+def _positions(lines: DataFrame, min_words: int) -> DataFrame:
+    """print, doc_id, text_hash, s of the lines that some window chooses, each once."""
+    whole = {kind: F.max("e").over(frame) - F.min("s").over(frame) >= min_words for kind, frame in _frames(min_words).items()}
+    chosen = [F.when(whole[kind], F.min(F.struct("h", "s")).over(frame)) for kind, frame in _frames(min_words).items()]
+    picked = lines.select(*_DOC, F.array(*chosen).alias("chosen")).select(*_DOC, F.explode(F.array_compact("chosen")).alias("p"))
+    return picked.select("p.h", *_DOC, "p.s").withColumnRenamed("h", "print").distinct()
+
+
+def _extended(lines: DataFrame, joined: DataFrame, min_words: int) -> DataFrame:
+    """doc_id, text_hash, s, e, first_ln, last_ln, key, key2 of the windows around ``joined`` positions."""
+    same = lines.doc_id.eqNullSafe(joined.doc_id) & (lines.text_hash == joined.text_hash) & (lines.s == joined.s)
+    marked = lines.join(joined.withColumn("live", F.lit(True)), same, "left").select(
+        *[lines[c] for c in lines.columns], F.coalesce("live", F.lit(False)).alias("live")
+    )
     parts = []
-    for kind, frame in (("f", forward), ("b", backward)):
-        own = lines.select(
-            "doc_id",
-            "text_hash",
+    for kind, frame in _frames(min_words).items():
+        own = marked.select(
+            *_DOC,
             F.min("s").over(frame).alias("s"),
             F.max("e").over(frame).alias("e"),
             F.min("ln").over(frame).alias("first_ln"),
             F.max("ln").over(frame).alias("last_ln"),
             F.collect_list(F.struct("h", "h2")).over(frame).alias("content"),
-            F.min(F.struct("h", "s")).over(frame).alias("p"),
-        ).filter(F.col("e") - F.col("s") >= min_words)
-        parts.append(
-            own.select(
-                "doc_id", "text_hash", "s", "e", "first_ln", "last_ln",
-                F.xxhash64(F.lit(kind), "content").alias("key"), F.hash(F.lit(kind), "content").alias("key2"),
-                F.col("p.h").alias("print"), F.col("p.s").alias("print_at"),
-            )
-        )
+            F.min(F.struct("h", "s", "live")).over(frame).alias("p"),
+        ).filter((F.col("e") - F.col("s") >= min_words) & F.col("p.live"))
+        keys = [F.xxhash64(F.lit(seed), F.lit(kind), "content").alias(name) for seed, name in ((1, "key"), (2, "key2"))]
+        parts.append(own.select(*_DOC, "s", "e", "first_ln", "last_ln", *keys))
     return parts[0].unionByName(parts[1])
 
 
 def repeated_stretches(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, text_hash, stretches (array of first and last line to delete) of documents with repeats."""
-    windows = stored(_windows(_lines(documents), min_words), "line-windows")
-    places = windows.select("print", "doc_id", "text_hash", "print_at").distinct()
-    shared = places.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1").select("print")
-    live = stored(windows.join(shared, "print").drop("print", "print_at"), "line-matches")
-
-    at = F.struct("doc_id", "text_hash", "s", "e")
-    first = live.groupBy("key", "key2").agg(F.min(at).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    scratch = Scratch(documents.sparkSession)
+    lines = scratch.store(_lines(documents), "line-hashes")
+    places = scratch.store(_positions(lines, min_words), "line-positions")
+    shared = scratch.store(places.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1"), "line-prints")
+    joined = join_weighed(places, shared, "print", "n").select(*_DOC, "s")
+    live = scratch.store(_extended(lines, joined, min_words), "line-windows")
+    scratch.keep(live)
+
+    at = F.struct(*_DOC, "s", "e")
+    first = live.groupBy("key", "key2").agg(F.min(at).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    first = scratch.store(first, "line-firsts")
     same_doc = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
-    later = live.join(first, ["key", "key2"]).filter(~same_doc | (F.col("s") >= F.col("first.e")))
+    later = join_weighed(live, first, ["key", "key2"], "n").filter(~same_doc | (F.col("s") >= F.col("first.e")))
 
-    doc = Window.partitionBy("doc_id", "text_hash")
+    doc = Window.partitionBy(*_DOC)
     ordered = doc.orderBy("s", "e")
     reach = F.max("e").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
-    opened = later.select("doc_id", "text_hash", "s", "e", "first_ln", "last_ln", F.when(F.col("s") <= reach, 0).otherwise(1).alias("opens"))
+    opened = later.select(*_DOC, "s", "e", "first_ln", "last_ln", F.when(F.col("s") <= reach, 0).otherwise(1).alias("opens"))
     islands = opened.withColumn("island", F.sum("opens").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = islands.groupBy("doc_id", "text_hash", "island").agg(F.min("first_ln").alias("first_ln"), F.max("last_ln").alias("last_ln"))
-    return merged.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("first_ln", "last_ln"))).alias("stretches"))
+    merged = islands.groupBy(*_DOC, "island").agg(F.min("first_ln").alias("first_ln"), F.max("last_ln").alias("last_ln"))
+    stretches = merged.groupBy(*_DOC).agg(F.sort_array(F.collect_list(F.struct("first_ln", "last_ln"))).alias("stretches"))
+    stretches = scratch.store(stretches, "line-stretches")
+    scratch.keep(stretches)
+    return stretches
 
 
 def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -157,6 +158,17 @@ def test_line_dedup(spark, odd, none):
     assert None in texts[1] and texts[11] == ["a b c ", "a b c "] and texts[13] == ["x\ny"]
 
 
+def test_line_dedup_of_runs_shared_with_several_places(spark):
+    """Runs that different earlier places share in part, in any order and over many partitions."""
+    dice = random.Random(3)
+    line = [f"l{k} " + sentence(100 + k, dice.choice([4, 9, 19, 30, 60])) for k in range(14)]
+    docs = {i: "\n".join(line[dice.randrange(14)] if dice.random() < 0.3 else line[(i + k) % 14] for k in range(dice.randrange(2, 14))) for i in range(60)}
+    docs[60] = "\n".join(line[0] for _ in range(200))
+    frame = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string").repartition(7)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(frame).collect()}
+    assert got == brute_lines(docs, line_dedup.MIN_WORDS)
+
+
 def test_lm_scoring_counts_every_word_and_bigram(spark, odd, none):
     # 66,000 words that are more frequent than the last four: a capped vocabulary can't tell those apart.
     docs = [(i, " ".join(f"v{k}" for k in range(i % 2 * 33_000, i % 2 * 33_000 + 33_000))) for i in range(6)]
