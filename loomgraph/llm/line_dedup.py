@@ -20,7 +20,7 @@ overlap) is deleted; shorter repeats stay.
 Lines are stored by number and hashes, without their text; content is gathered around joined positions
 only.  A very common line is one row per place in each step, counts are combined before the shuffle, and
 counts and first places of frequent lines and windows come back by broadcast, a thousand at most; the
-others by merge joins.
+others by merge joins, one plan at every size.
 
 Defined cases: lines end at ``\\n``; a line is blank if it holds only spaces, and lines are compared
 without outer spaces; blank lines inside a deleted run go with it; a null text stays null; rows that
@@ -67,7 +67,7 @@ def _positions(lines: DataFrame, min_words: int) -> DataFrame:
 def _extended(lines: DataFrame, joined: DataFrame, min_words: int) -> DataFrame:
     """doc_id, text_hash, s, e, first_ln, last_ln, key, key2 of the windows around ``joined`` positions."""
     same = lines.doc_id.eqNullSafe(joined.doc_id) & (lines.text_hash == joined.text_hash) & (lines.s == joined.s)
-    marked = lines.join(joined.withColumn("live", F.lit(True)), same, "left").select(
+    marked = lines.join(joined.withColumn("live", F.lit(True)).hint("merge"), same, "left").select(
         *[lines[c] for c in lines.columns], F.coalesce("live", F.lit(False)).alias("live")
     )
     parts = []
@@ -121,7 +121,7 @@ def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     keyed = documents.select("doc_id", "text")
     lines = F.split("text", "\n")
     match = F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.xxhash64("text") == F.col("found_hash"))
-    joined = keyed.join(found, match, "left").select("doc_id", "text", lines.alias("lines"), "stretches")
+    joined = keyed.join(found.hint("merge"), match, "left").select("doc_id", "text", lines.alias("lines"), "stretches")
     stay = F.filter("lines", lambda x, i: ~F.exists("stretches", lambda r: (i >= r["first_ln"]) & (i <= r["last_ln"])))
     left = F.when(F.col("stretches").isNull(), F.col("lines")).otherwise(stay)
     return joined.select("doc_id", "text", "lines", left.alias("left")).select(
