@@ -17,7 +17,7 @@ from loomgraph.functions.paths import language
 from loomgraph.operators import graph, resolve, symbols
 from loomgraph.operators.navigator import Navigator
 from loomgraph.schemas import AST_RECORDS
-from loomgraph.session import stored
+from loomgraph.session import shared_dir, stored
 from loomgraph.sources.files import in_path_order
 
 from .trade_graph import table
@@ -120,12 +120,26 @@ class Code:
         return Navigator(stored(nodes, "nodes"), stored(edges, "edges"))
 
 
-_BUILT: dict[tuple[str, str], Code] = {}
+_BUILT: dict[tuple, Code] = {}
+_READ = ("nation", "customer", "orders", "lineitem")
+
+
+def _stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    """When each table that the code derives from was last written, and its bytes."""
+    conf, found = spark._jsc.hadoopConfiguration(), []
+    for name in _READ:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        system = path.getFileSystem(conf)
+        found.append((system.getFileStatus(path).getModificationTime(), system.getContentSummary(path).getLength()))
+    return tuple(found)
 
 
 def code(spark: SparkSession, sf_dir: str) -> Code:
-    """The code of one folder of tables; an application builds it once, as a user builds a graph once and asks often."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The code of one folder of tables; an application builds it once, as a user builds a graph once and asks often.
+
+    It is built anew when a table was written since, or the shared folder changed.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, shared_dir(spark), _stamp(spark, sf_dir))
     if key not in _BUILT:
         _BUILT.clear()
         _BUILT[key] = Code(spark, sf_dir)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 from datetime import timedelta
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -332,6 +334,17 @@ def call_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code(spark, sf_dir).navigator.find_cycles(("CONTAINS", "CALLS")).select("component", F.array_join("members", ",").alias("members"))
 
 
+@query(f"""
+WITH RECURSIVE {_CALL_REACH}, x AS (SELECT e.src, e.dst, e.relation FROM k_edges e WHERE e.relation IN ('CONTAINS', 'CALLS')),
+l AS (SELECT coalesce(a.component, src) AS src, coalesce(b.component, dst) AS dst FROM x LEFT JOIN comp a ON a.id = src LEFT JOIN comp b ON b.id = dst)
+SELECT DISTINCT src, dst FROM l WHERE src <> dst""")
+def call_condensation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code graph with each group of nodes that call each other as one."""
+    nav = code(spark, sf_dir).navigator
+    _, edges, _ = traversal.condensation(nav.nodes, nav.iterate_edges(("CONTAINS", "CALLS")))
+    return edges.select("src", "dst").distinct()
+
+
 # -- architecture ------------------------------------------------------------------------------------
 
 _UNITS = f"""{SQL_GRAPH},
@@ -358,6 +371,18 @@ def arch_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.select(REPO, "src", "dst", F.array_join("relations", ",").alias("relations"))
 
 
+@query(f"""
+WITH {_UNITS}, n AS (
+  SELECT repo, unit, row_number() OVER (PARTITION BY repo ORDER BY unit) AS i FROM (
+    SELECT repo, src AS unit FROM k_between UNION SELECT repo, dst FROM k_between UNION SELECT repo, unit FROM k_file_module))
+SELECT b.repo AS repository_id, src, dst, relations FROM k_between b
+WHERE EXISTS (SELECT 1 FROM n WHERE n.repo = b.repo AND unit = src AND i <= 80) AND EXISTS (SELECT 1 FROM n WHERE n.repo = b.repo AND unit = dst AND i <= 80)""")
+def arch_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a diagram of each repository shows: its first 80 units and the edges between them."""
+    _, edges = diagram.build_diagram(code(spark, sf_dir).navigator)
+    return edges.select(REPO, "src", "dst", F.array_join("relations", ",").alias("relations"))
+
+
 @query(f"""
 WITH RECURSIVE {_UNITS}, start AS (SELECT 'file:' || bare || ext AS id FROM k_cust WHERE c_custkey = 2),
 e AS (SELECT src, dst, relation FROM k_rel WHERE relation <> 'EXPORTS'), u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
@@ -399,6 +424,13 @@ def chunks_built(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "chunk_type", "symbol_id", "symbol_name", "parent_symbol", "content", "start_offset", F.col("metadata.visibility").alias("visibility"), F.col("metadata.content_hash").alias("content_hash"))
 
 
+@query(f"""
+WITH {_CHUNKS} SELECT repo AS repository_id, id AS symbol_id, row_number() OVER (PARTITION BY repo ORDER BY start_offset, id) - 1 AS place FROM k_chunk""")
+def chunk_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every chunk in its repository."""
+    return chunks.ordered(_chunks(spark, sf_dir)).select(REPO, "symbol_id", "place")
+
+
 def _listed(where: str, a: str = "src", b: str = "dst") -> str:
     return f"(SELECT string_agg(DISTINCT {b}, ',' ORDER BY {b}) FROM k_edges e WHERE {where} AND e.{a} = c.id)"
 
@@ -440,6 +472,32 @@ def chunk_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows[0].union(rows[1])
 
 
+_LETTERS = "etaoinsr"
+
+
+def _letter_counts(texts: list[str]) -> np.ndarray:
+    """An embedder whose vectors SQL can tell: how often a text holds each of eight letters."""
+    return np.array([[t.count(c) for c in _LETTERS] for t in texts], dtype=np.float32).reshape(len(texts), len(_LETTERS))
+
+
+def _told(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as an embedded chunk of its source's repository."""
+    docs = table(spark, sf_dir, "documents").filter("text is not null")
+    name = F.concat(F.lit("doc"), F.col("doc_id"))
+    meta = F.struct(F.col("source").alias("repository_id"), F.concat(name, F.lit(".txt")).alias("file_path"), F.lit(1).alias("start_line"), F.size(F.split("text", "\n")).alias("end_line"))
+    rows = docs.select(name.alias("id"), name.alias("symbol_id"), F.lit("function").alias("symbol_type"), name.alias("symbol_name"), F.col("text").alias("content"), meta.alias("metadata"), F.lit(None).cast("array<float>").alias("embedding"))
+    return rag.embed_chunks(rows, _letter_counts)
+
+
+_SQL_LETTERS = "[" + ", ".join(f"length(text) - length(replace(text, '{c}', ''))" for c in _LETTERS) + "]"
+
+
+@query(f"SELECT 'doc' || doc_id AS id, array_to_string({_SQL_LETTERS}, ',') AS vector FROM documents WHERE text IS NOT NULL")
+def chunks_embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vector of every document, number by number."""
+    return _told(spark, sf_dir).select("id", F.array_join(F.transform("embedding", lambda x: x.cast("bigint").cast("string")), ",").alias("vector"))
+
+
 # -- retrieval ---------------------------------------------------------------------------------------
 
 
@@ -454,6 +512,24 @@ def vector_search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "vec_id", F.round("score", 5).alias("score"), "place")
 
 
+_QUESTION = "where are nations stored"
+
+
+@query(f"""
+WITH v AS (SELECT 'doc' || doc_id AS id, text, {_SQL_LETTERS}::DOUBLE[] AS e FROM documents WHERE text IS NOT NULL AND source = (SELECT min(source) FROM documents)),
+q AS (SELECT {_SQL_LETTERS}::DOUBLE[] AS e FROM (SELECT '{_QUESTION}' AS text)),
+s AS (SELECT id, text, round((1 + list_cosine_similarity(v.e, q.e)) / 2, 5) AS score FROM v, q WHERE list_sum(v.e) > 0 ORDER BY (1 + list_cosine_similarity(v.e, q.e)) / 2 DESC, id LIMIT 5)
+SELECT '{_QUESTION}' AS question, row_number() OVER (ORDER BY score DESC, id) - 1 AS place, id AS chunk_id, score, id || '.txt' AS file_path, len(string_split(text, chr(10))) AS end_line,
+  'seen ' || (SELECT count(*) FROM s) AS answer FROM s""")
+def question_answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question put to one source's documents, from the search over all of them to the parsed reply, with what it rests on."""
+    first = table(spark, sf_dir, "documents").agg(F.min("source")).first()[0]
+    reply = lambda prompt: json.dumps({"answer": f"seen {prompt.count('CHUNK_ID: ')}"})
+    told = rag.answer(_told(spark, sf_dir), _QUESTION, first or "none", _letter_counts, reply)
+    rows = told.select("question", F.col("parsed.answer").alias("answer"), F.posexplode("chunks").alias("place", "c"))
+    return rows.select("question", F.col("place").cast("bigint").alias("place"), F.col("c.id").alias("chunk_id"), F.round("c.score", 5).alias("score"), F.col("c.file_path").alias("file_path"), F.col("c.end_line").cast("bigint").alias("end_line"), "answer")
+
+
 def _index(spark: SparkSession, sf_dir: str, group: str | None = None) -> vector_index.VectorIndex:
     return vector_index.build(table(spark, sf_dir, "embeddings"), f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}", "vec_id", "embedding", group)
 

@@ -167,3 +167,46 @@ def test_job_stream(spark, tmp_path):
         jobs.consume(spark, queue, check, dead, handle).awaitTermination()
     assert sorted(done) == [1, 2]
     assert sorted(r["error"] for r in spark.read.parquet(dead).collect()) == ["not a job", "poisoned"]
+
+
+def test_a_handler_that_is_down_keeps_its_jobs(spark, tmp_path, monkeypatch):
+    queue, check, dead = str(tmp_path / "q"), str(tmp_path / "c"), str(tmp_path / "d")
+    jobs.publish(spark, queue, spark.createDataFrame([("u", i, "i", "url") for i in range(40)], JOBS))
+    monkeypatch.setattr(jobs, "MAX_CALLS", 9)
+    calls, done = [], []
+
+    def down(frame):
+        calls.append(1)
+        raise RuntimeError("down")
+
+    with pytest.raises(Exception, match="over and over"):
+        jobs.consume(spark, queue, check, dead, down).awaitTermination()
+    assert len(calls) == 9
+    jobs.consume(spark, queue, check, dead, lambda f: done.extend(r["repository_id"] for r in f.collect())).awaitTermination()
+    assert sorted(done) == list(range(40))
+
+
+def test_jobs_handled_one_by_one_in_the_tasks(spark, tmp_path):
+    queue, check, dead, out = (str(tmp_path / n) for n in "qcdo")
+    jobs.publish(spark, queue, spark.createDataFrame([("u", i, "i", "url") for i in range(40)], JOBS).repartition(3))
+    spark.createDataFrame([("not json",)], "value string").write.mode("append").text(f"{queue}/repo-analysis")
+
+    def handle(job):
+        import os
+
+        os.makedirs(out, exist_ok=True)
+        with open(f"{out}/{job['repository_id']}", "a") as file:
+            file.write("x")
+        if job["repository_id"] % 10 == 3:
+            raise RuntimeError("poisoned")
+
+    def down(job):
+        raise RuntimeError("down")
+
+    with pytest.raises(Exception, match="40 of 40 jobs failed"):
+        jobs.consume_each(spark, queue, check, dead, down).awaitTermination()
+    for _ in range(2):
+        jobs.consume_each(spark, queue, check, dead, handle).awaitTermination()
+    tries = {int(f.name): len(f.read_text()) for f in (tmp_path / "o").iterdir()}
+    assert tries == {i: 3 if i % 10 == 3 else 1 for i in range(40)}
+    assert sorted(r["error"] for r in spark.read.parquet(dead).collect()) == ["not a job", *["poisoned"] * 4]
