@@ -1,5 +1,7 @@
 """The code graph makes no more of its tables than a question needs."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,3 +44,17 @@ def test_questions_about_a_relation_make_its_edges_only(spark, data, fresh, monk
     assert {r[0] for r in edges[0].select("relation").distinct().collect()} == {ONE_RELATION[name]}
     whole = code_graph.code(spark, data).navigator.edges.filter(F.col("relation") == ONE_RELATION[name])
     assert sorted(map(tuple, edges[0].collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_a_name_is_looked_up_once_a_file(spark):
+    symbols = spark.createDataFrame(
+        [("r", "a.C", "C", "class", "module:a", "a.js", True, 1), ("r", "a.C.m", "m", "method", "a.C", "a.js", False, 2)],
+        "repository_id string, id string, name string, kind string, parent string, file_id string, exported boolean, ord bigint",
+    )
+    bindings = spark.createDataFrame([("r", "b.js", "x", "a.js", "a.C", 1)], "repository_id string, file_id string, local string, target_file string, target string, ord bigint")
+    wanted = spark.createDataFrame([("r", "b.js", name, i) for i, name in enumerate(["x.m", "x.m", "x", "C", "no", "no", None])], "repository_id string, file_id string, wanted string, n int")
+    found = resolve.resolve_names(wanted, bindings, symbols)
+    assert found.columns == ["repository_id", "file_id", "wanted", "n", "target"]
+    assert [r["target"] for r in found.orderBy("n").collect()] == ["a.C.m", "a.C.m", "a.C", "a.C", None, None, None]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Aggregate \[repository_id#\d+, file_id#\d+, wanted#\d+\]", plan)
