@@ -28,6 +28,8 @@ FIT_VECTORS = 20_000
 MAX_LISTS = 4096
 #: Vectors of a part of a list, and queries of a block, that meet in a task.
 PART, BLOCK = 8192, 1024
+#: Rows that are held against all centroids at once.
+ROWS = 256
 #: Sample vectors that are taken as queries to measure how far a probe has to go, and neighbours of each.
 TRIALS, NEAR = 256, 5
 
@@ -48,6 +50,11 @@ def _unit(rows: list) -> np.ndarray:
     return a / np.where(size > 0, size, 1)
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for i in range(0, batch.num_rows, ROWS):
+        yield batch.slice(i, ROWS)
+
+
 def centroids_of(sample: np.ndarray, lists: int, rounds: int = 12) -> np.ndarray:
     """Spherical k-means: unit centroids; one that loses all its vectors takes the vector worst served."""
     found = sample[np.random.default_rng(7).permutation(len(sample))[:lists]].copy()
@@ -95,8 +102,9 @@ def build(vectors: DataFrame, path: str, key: str = "id", column: str = "embeddi
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                near = _unit(batch.column("vector").to_pylist()) @ centroids.T
-                yield batch.append_column("list", pa.array(near.argmax(axis=1), pa.int64()))
+                # A few rows at a time: all of a batch against all centroids would grow with the lists.
+                near = [(_unit(part.column("vector").to_pylist()) @ centroids.T).argmax(axis=1) for part in _parts(batch)]
+                yield batch.append_column("list", pa.array(np.concatenate(near), pa.int64()))
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     rows.mapInArrow(assign, f"{kinds}, list bigint").write.parquet(f"{path}/assigned")
@@ -127,19 +135,23 @@ def _probes(index: VectorIndex, queries: DataFrame, least: int, share: float) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for query_id, group, vector, own in zip(*(batch.column(c).to_pylist() for c in ("query_id", "group", "vector", "held")), strict=True):
-                lists, n = np.array([h["list"] for h in own]), np.array([h["n"] for h in own])
-                order = np.argsort(-(centroids[lists] @ _unit([vector])[0]), kind="stable")
-                before = np.cumsum(n[order]) - n[order]
-                pool = max(least, math.ceil(share * n.sum()))
-                rows += [(query_id, group, vector, int(lists[j]), rank) for rank, j in enumerate(order[before < pool].tolist())]
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = [batch.schema.field(c).type for c in ("query_id", "group", "vector")] + [pa.int64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["query_id", "group", "vector", "list", "rank"])
+            for part in _parts(batch):
+                yield from probed(part)
+
+    def probed(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """The lists that each query of ``part`` probes; its id and vector aren't copied for each of them."""
+        own, ends, found = part.column("held"), part.column("held").offsets.to_numpy(), []
+        all_lists, all_n = (own.values.field(c).to_numpy(zero_copy_only=False) for c in ("list", "n"))
+        for i, vector in enumerate(part.column("vector").to_pylist()):
+            lists, n = all_lists[ends[i] : ends[i + 1]], all_n[ends[i] : ends[i + 1]]
+            order = np.argsort(-(centroids[lists] @ _unit([vector])[0]), kind="stable")
+            before = np.cumsum(n[order]) - n[order]
+            found.append(lists[order[before < max(least, math.ceil(share * n.sum()))]])
+        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("query_id", "group", "vector")), pa.array(found, pa.list_(pa.int64()))], names=["query_id", "group", "vector", "lists"])
 
     kind = queries.schema["query_id"].dataType.simpleString()
-    return queries.join(held, "group").mapInArrow(run, f"query_id {kind}, `group` string, vector array<double>, list bigint, rank int")
+    asked = queries.join(held, "group").mapInArrow(run, f"query_id {kind}, `group` string, vector array<double>, lists array<bigint>")
+    return asked.select("query_id", "group", "vector", F.posexplode("lists").alias("rank", "list")).select("query_id", "group", "vector", "list", "rank")
 
 
 def search(index: VectorIndex, queries: DataFrame, limit: int = 5, key: str = "id", column: str = "embedding", group: str | Column | None = None, candidates: int | None = None, share: float | None = None) -> DataFrame:
