@@ -152,3 +152,47 @@ def test_diagram_cut_and_labels(spark):
     assert "  N0([ab&quot;c&quot; d])" in text.split("\n")
     line = diagram.dot_lines(odd, edges.limit(0)).filter("part = 1").first()["line"]
     assert 'label="ExternalDependency\\\\na[b]\\"c\\"\\n(d)"' in line
+
+
+def test_what_many_nodes_point_to_is_met_in_no_single_task(spark, monkeypatch):
+    from loomgraph.operators import traversal
+
+    monkeypatch.setattr(traversal, "_MANY", 100)
+    of = spark.range(1000, numPartitions=4)
+    parents = of.selectExpr("'R' as repository_id", "concat('a', id) as id", "concat('b', id % 50) as parent").unionByName(
+        spark.range(50).selectExpr("'R' as repository_id", "concat('b', id) as id", "if(id < 40, 'c', 'd') as parent")
+    ).unionByName(spark.range(1).selectExpr("'R' as repository_id", "'c' as id", "'top' as parent"))
+    ids = parents.select("repository_id", "id")
+    targets = spark.createDataFrame([("R", "top")], "repository_id string, id string")
+    joined = []
+    followed = traversal._followed
+
+    def watched(rows, further, count, scratch):
+        out = followed(rows, further, count, scratch)
+        joined.append((count, out.filter("done").count()))
+        return out
+
+    monkeypatch.setattr(traversal, "_followed", watched)
+    found = {r["id"]: r["container"] for r in traversal.nearest_above(ids, parents, targets).collect()}
+    assert len(found) == 1051
+    assert all(found[f"a{i}"] == ("top" if i % 50 < 40 else None) for i in range(1000))
+    assert all(found[f"b{i}"] == ("top" if i < 40 else None) for i in range(50)) and found["c"] == "top"
+    # What has met its target, or the top, is not joined again.
+    assert [count for count, _ in joined] == sorted((count for count, _ in joined), reverse=True) and joined[-1][0] == joined[-1][1]
+
+
+def test_context_of_a_few_nodes_walks_few_parents(spark, monkeypatch):
+    from loomgraph.operators import traversal
+    from loomgraph.operators.navigator import Navigator
+    from loomgraph.schemas import EDGES, NODES
+
+    node = lambda i, kind: ("R", i, kind, i, i, None, False, None, None, 0)
+    nodes = spark.createDataFrame([node("f", "File"), node("m", "Module"), node("c", "Class"), *[node(f"x{i}", "Method") for i in range(200)]], NODES)
+    links = [("f", "m"), ("m", "c"), *[("c", f"x{i}") for i in range(200)]]
+    edges = spark.createDataFrame([("R", a, b, "CONTAINS", "{}", i) for i, (a, b) in enumerate(links)], EDGES)
+    walked = []
+    above = traversal.nearest_above
+    monkeypatch.setattr(traversal, "nearest_above", lambda ids, parents, targets: walked.append(parents.count()) or above(ids, parents, targets))
+    row = Navigator(nodes, edges).get_documentation_context("c").first()
+    assert (row["parent"], row["file"], row["module"], len(row["children"])) == ("m", "f", "m", 200)
+    assert walked == [2, 2]
