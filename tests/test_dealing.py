@@ -49,3 +49,20 @@ def test_a_file_is_read_in_one_task(split_joins, tmp_path):
     calls = records.filter("category = 'methods'").select("repository_id", "file_id", (F.col("start_offset") + 1).alias("start_offset"), (F.col("start_offset") + 2).alias("end_offset"))
     scopes = resolve.containing_scopes(calls, made)
     assert scopes.join(methods, (scopes.scope == methods.id) & (scopes.start_offset == methods.start_offset + 1)).count() == 8 * 400
+
+
+def test_what_no_line_makes_is_derived_without_lines(spark, data):
+    import __spark_entry__
+    from loomgraph.plans import code_graph
+
+    code_graph.forget()
+    queries = __spark_entry__.queries()
+    for name in ("modules_resolved", "bindings", "default_exports"):
+        assert queries[name](spark, data).count() > 0
+    own = code_graph.code(spark, data)
+    assert "records" not in own.__dict__ and "symbols" not in own.__dict__
+    columns = own.outer_symbols.columns
+    few = own.outer_symbols.drop("ord")
+    every = own.symbols.filter("kind <> 'method'").select(*columns).drop("ord")
+    assert few.exceptAll(every).isEmpty() and every.exceptAll(few).isEmpty()
+    code_graph.forget()
