@@ -19,7 +19,7 @@ def rows_of(df):
     return sorted(map(tuple, df.collect()))
 
 
-@pytest.mark.parametrize("name", ["arch_edges"])
+@pytest.mark.parametrize("name", ["arch_edges", "arch_shown"])
 def test_a_diagram_of_modules_makes_no_symbols(spark, data, fresh, monkeypatch, name):
     def never(*_):
         raise AssertionError("symbols made")
